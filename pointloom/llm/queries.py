@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointloom.llm import packing, simhash
+from pointloom.llm import chat, licenses, packing, rules, simhash
+from pointloom.plans.scratch import written
 from pointloom.plans.session import arrow_batches
 
 
@@ -20,13 +22,39 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), params)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = rules.RuleParams()
+    docs = _table(spark, sf_dir, "documents")
+    measured = written(rules.measure(docs, params).select("doc_id", *rules.MEASURES), "measures")
+    return rules.verdicts(rules.judge(measured, rules.references(measured, params), params))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    return chat.digest(chat.format_conversations(turns.unionByName(extra)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_licenses": op5_licenses,
     "op7_simhash": op7_simhash,
+    "op9_chat": op9_chat,
 }
 
 ORACLES: dict[str, str] = {}
