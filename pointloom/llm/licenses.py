@@ -99,7 +99,9 @@ def rules() -> list[tuple[str, str, str, int]]:
             ends = "(?: only| or (?:at your option )?(?:any )?later)?"
             found.append((f"{label}-{code}", "spdx", f"{tag} {version}{ends}", 0))
             found.append((f"{label}-{code}", keyword, f"{name}(?: v| version)? ?{version}{ends}", 1))
-            found.append((f"{label}-{code}", f" {label.replace('-', ' ')} ", f"{label.replace('-', ' ')} ?v?{version}{ends}", 1))
+            if "gpl" in label or label == "apache":
+                short = f"{label} ?v?{version}{ends}"
+                found.append((f"{label}-{code}", label, short, 1))
         found.append((label, keyword, name, 2))
         found.append((label, keyword, f"licen[sc]ed under(?: the)?(?: terms of)?(?: the)? {name}", 1))
     for parts in CC_PARTS:
@@ -117,17 +119,24 @@ def rules() -> list[tuple[str, str, str, int]]:
     return sorted(found, key=lambda r: r[3])
 
 
-def any_keyword() -> str:
-    """A pattern over raw texts that every detection and base phrase satisfies."""
-    words = {keyword for _, keyword, _, _ in rules()} | {phrase for phrase, _ in BASE}
-    words -= {w for w in words if any(o != w and o in w for o in words)}
+#: Every match of a rule or base phrase holds one of these.
+STEMS = [
+    "licen", "copyright", "gpl", "reserved", "permission", "domain", "redistribut", "proprietary",
+    "unauthori", "commercial", "warranty", "apache", "creative",
+]
+
+
+def may_match(text: Column) -> Column:
+    """The prefilter over raw texts: plain searches, and one pattern for the word ``cc``."""
+    low = F.lower(text)
 
-    def shown(word: str) -> str:
-        before = f"(?<!{LETTER})" * word.startswith(" ")
-        after = f"(?!{LETTER})" * word.endswith(" ")
-        return before + word.strip().replace(" ", GAPS) + after
+    def held(x: Column) -> Column:
+        found = F.contains(x, F.lit("cc")) & x.rlike(f"(?<!{LETTER})cc(?:0|(?!{LETTER}))")
+        for stem in STEMS:
+            found = found | F.contains(x, F.lit(stem))
+        return found
 
-    return "(?i)" + "|".join(sorted(map(shown, words)))
+    return let(low, held)
 
 
 def base_starts(words: Column, phrase: str) -> Column:
@@ -205,7 +214,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     none = F.array().cast("array<struct<first:int,end:int,priority:int,label:string>>")
     raw = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(id_col, raw.alias("_raw"))
-    out = out.withColumn("_pass", F.col("_raw").rlike(any_keyword()))
+    out = out.withColumn("_pass", may_match(F.col("_raw")))
     split = F.array_remove(F.split("_raw", GAPS), "")
     lower = F.array_remove(F.split(F.translate("_raw", UPPER, LOWER), GAPS), "")
     out = out.select(
