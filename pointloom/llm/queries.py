@@ -12,6 +12,7 @@ from pointloom.llm import (
     langid,
     licenses,
     mixing,
+    oracles,
     packing,
     quality,
     rules,
@@ -77,12 +78,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
         F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
-        F.lit(said).alias("text"),
+        F.lit(oracles.SAID).alias("text"),
     )
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
@@ -127,4 +127,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": oracles.op4(), "op9_chat": oracles.OP9}
