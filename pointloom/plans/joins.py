@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of a table, written as JSON, that a broadcast may hold at most.
+MOST_BYTES = 8 << 20
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is.
 
-    The rows are counted up to the limit only; a larger table is left to a
-    shuffled join with adaptive skew handling.
+def broadcast_if_small(
+    df: DataFrame, most_rows: int = 20_000, most_bytes: int = MOST_BYTES
+) -> DataFrame:
+    """``df`` marked for broadcast if its rows and bytes are within bounds, else as it is.
+
+    Both are measured on the first ``most_rows + 1`` rows only; a larger table is
+    left to a shuffled join with adaptive skew handling.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    found = df.limit(most_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")
+    ).first()
+    return F.broadcast(df) if found["n"] <= most_rows and found["bytes"] <= most_bytes else df
