@@ -153,15 +153,15 @@ def logit(p: Column) -> Column:
 def prior_strength(rates: DataFrame, center: Column, params: QualityParams) -> float:
     """Documents that the prior is worth: within-group variance over between-group variance.
 
-    ``rates`` has n and s (documents and summed probabilities of each group) and
+    ``rates`` has _n and _s (documents and summed probabilities of each group) and
     whatever ``center`` reads.
     """
-    mean = F.col("s") / F.col("n")
-    row = rates.where("n > 1").agg(
-        F.sum("n").alias("n"),
+    mean = F.col("_s") / F.col("_n")
+    row = rates.where("_n > 1").agg(
+        F.sum("_n").alias("n"),
         F.count("*").alias("k"),
-        F.sum(F.col("n") * F.pow(mean - center, F.lit(2))).alias("between"),
-        F.sum(F.col("n") * center * (1 - center)).alias("within"),
+        F.sum(F.col("_n") * F.pow(mean - center, F.lit(2))).alias("between"),
+        F.sum(F.col("_n") * center * (1 - center)).alias("within"),
     ).first()
     if not row["k"] or not row["n"]:
         return params.most_prior
@@ -172,16 +172,16 @@ def prior_strength(rates: DataFrame, center: Column, params: QualityParams) -> f
 
 
 def site_rates(scored: DataFrame, params: QualityParams) -> tuple[DataFrame, float]:
-    """(host, path) rows with n, s and the host's shrunk rate; the global rate.
+    """(host, path) rows with _n, _s and the host's shrunk rate; the global rate.
 
     ``scored`` has _host, _path and _p.
     """
-    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_p").alias("s"))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum("_p").alias("_s"))
+    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    total = hosts.agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")).first()
     overall = (total["s"] / total["n"]) if total["n"] else 0.5
     strength = prior_strength(hosts, F.lit(overall), params)
-    shrunk = hosts.select("_host", ((F.col("s") + strength * overall) / (F.col("n") + strength)).alias("_host_rate"))
+    shrunk = hosts.select("_host", ((F.col("_s") + strength * overall) / (F.col("_n") + strength)).alias("_host_rate"))
     joined = paths.join(shrunk, "_host")
     within = prior_strength(joined, F.col("_host_rate"), params)
     return joined.withColumn("_strength", F.lit(within)), overall
@@ -190,13 +190,13 @@ def site_rates(scored: DataFrame, params: QualityParams) -> tuple[DataFrame, flo
 def judge(scored: DataFrame, rates: DataFrame, overall: float, params: QualityParams) -> DataFrame:
     """``scored`` with _path_rate (of the path's other documents), _posterior and _kept."""
     joined = scored.join(broadcast_if_small(rates), ["_host", "_path"], "left")
-    others = F.greatest(F.lit(0.0), F.col("s") - F.col("_p"))
+    others = F.greatest(F.lit(0.0), F.col("_s") - F.col("_p"))
     rate = (others + F.col("_strength") * F.col("_host_rate")) / (
-        F.greatest(F.col("n") - 1, F.lit(0)) + F.col("_strength")
+        F.greatest(F.col("_n") - 1, F.lit(0)) + F.col("_strength")
     )
     odds = logit(F.col("_p")) + params.site_weight * (logit(rate) - logit(F.lit(overall)))
     return (
         joined.withColumns({"_path_rate": rate, "_posterior": 1 / (1 + F.exp(-odds))})
         .withColumn("_kept", F.col("_posterior") >= params.least_probability)
-        .drop("n", "s", "_host_rate", "_strength")
+        .drop("_n", "_s", "_host_rate", "_strength")
     )

@@ -118,6 +118,4 @@ def shard(
     placed = ranged.join(table, ["_range", "_part"]).select(
         id_col, "size", "text_crc32", "_key", "_sub", "shard"
     )
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(64, math.ceil(8 * tasks / params.shards))
-    return number_within(placed, ["shard"], ["_sub", "_key", "size"], "slot", salts).drop("_key", "_sub")
+    return number_within(placed, ["shard"], ["_sub", "_key", "size"], "slot").drop("_key", "_sub")

@@ -65,17 +65,23 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit integer."""
-    fields = [docs.schema[id_col], T.StructField("fp", T.LongType())]
+    """(id, _hash, fp): a hash of the text and the fingerprint as a signed 64-bit integer."""
+    fields = [
+        docs.schema[id_col],
+        T.StructField("_hash", T.LongType()),
+        T.StructField("fp", T.LongType()),
+    ]
 
     def prints(batches):
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
+            values = np.array([fingerprint(t.as_py(), width) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values.view(np.int64))], [f.name for f in fields]
+                [batch.column(0), batch.column(1), pa.array(values.view(np.int64))],
+                [f.name for f in fields],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(prints, T.StructType(fields))
+    rows = docs.select(id_col, F.xxhash64(text_col).alias("_hash"), text_col)
+    return rows.mapInArrow(prints, T.StructType(fields))
 
 
 def block_orders() -> list[tuple[int, int, int, int]]:
@@ -244,19 +250,17 @@ def _groups(fp: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return np.concatenate([empty, *src]), np.concatenate([empty, *dst])
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4
-) -> DataFrame:
-    """(id, fingerprint, component_id, component_size) of every row of ``docs``.
+def classify(
+    docs: DataFrame, id_col: str, text_col: str, width: int, radius: int
+) -> tuple[DataFrame, DataFrame]:
+    """All rows as (id, _hash, fp), and (fp, component_size, _first) of each distinct fingerprint.
 
-    Texts are whole; A-Z is lower-cased; words are split at ASCII white space.
-    Cases: a null or wordless text has fingerprint zero and is linked like any
-    other; fewer than ``width`` words are one shingle; equal texts and repeated
-    rows share a component; ``component_id`` is the smallest id reachable, null
-    ids aside; an empty table gives an empty result; other columns are not read.
+    ``_first`` names one row of the component: the smallest id, null ids last,
+    then the smallest hash of the text.
     """
     prints = written(with_fingerprints(docs, id_col, text_col, width), "prints")
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("_rows"))
+    row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("_hash").alias("hash"))
+    distinct = prints.groupBy("fp").agg(F.min(row).alias("_least"), F.count("*").alias("_rows"))
     parts = connected_components(trie_links(distinct.select("fp"), radius))
     classes = written(
         distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -265,12 +269,43 @@ def near_duplicates(
         "classes",
     )
     least = classes.groupBy("_class").agg(
-        F.min("_least").alias("component_id"), F.sum("_rows").alias("component_size")
+        F.min("_least").alias("_first"), F.sum("_rows").alias("component_size")
     )
-    named = classes.join(least, "_class").select("fp", "component_id", "component_size")
-    return prints.join(named, "fp").select(
+    return prints, classes.join(least, "_class").select("fp", "component_size", "_first")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4
+) -> DataFrame:
+    """(id, fingerprint, component_id, component_size) of every row of ``docs``.
+
+    Texts are whole; A-Z is lower-cased; words are split at ASCII white space.
+    Cases: a null or wordless text has fingerprint zero and is linked like any
+    other; fewer than ``width`` words are one shingle; equal texts and repeated
+    rows share a component; ``component_id`` is the smallest id reachable, null
+    ids aside; an empty table gives an empty result; other columns are not read.
+    """
+    prints, classes = classify(docs, id_col, text_col, width, radius)
+    return prints.join(classes, "fp").select(
         id_col,
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
+        F.col("_first.id").alias("component_id"),
         "component_size",
     )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4
+) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each component stays.
+
+    It is the row with the smallest id; among rows with that id, or where all ids
+    are null, the one with the smallest hash of the text.  Of repeated rows one stays.
+    """
+    _, classes = classify(docs, id_col, text_col, width, radius)
+    kept = classes.select(F.col("_first.id").alias("_kept"), F.col("_first.hash").alias("_of")).distinct()
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")
+    )
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_of"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
