@@ -20,23 +20,44 @@ are drawn alike (the draw hashes id and seed); an empty table gives an empty res
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions.lets import let
 from pointloom.plans.joins import broadcast_if_small
 from pointloom.plans.scratch import drop, written
 
-#: Topics in order: the first whose pattern is found names the document.
-TOPICS = [
-    ("legal", r"(?i)licen[sc]e|copyright|all rights reserved|general public"),
-    ("contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+?[0-9][0-9 ()-]{8,}[0-9]"),
-    ("table", r"(?:\|[^|\n]*){4}"),
-    ("list", r"(?m)^\s*(?:[-*]|[0-9]+[.)])\s"),
-    ("question", r"\?"),
-]
+@dataclass(frozen=True)
+class Topic:
+    """A topic: one of ``stems`` (lower case) stands in the lower-cased text and ``pattern`` is found.
+
+    Either part may be left out; plain searches come first, so few texts reach the pattern.
+    """
+
+    name: str
+    stems: tuple[str, ...] = ()
+    pattern: str | None = None
+
+    def found(self, text: Column, low: Column) -> Column:
+        test = F.lit(True)
+        if self.stems:
+            test = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in self.stems])
+        return test & text.rlike(self.pattern) if self.pattern else test
+
+
+#: Topics in order: the first that is found names the document.
+TOPICS = (
+    Topic("legal", ("license", "licence", "copyright", "all rights reserved", "general public")),
+    Topic("contact", ("@",), r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    Topic("contact", (), r"[0-9][0-9 ()-]{8,}[0-9]"),
+    Topic("table", ("|",), r"(?:\|[^|\n]*){4}"),
+    Topic("list", (), r"(?m)^\s*(?:[-*]|[0-9]+[.)])\s"),
+    Topic("question", ("?",)),
+)
 OTHER_TOPIC = "prose"
 REST = "*"
 
@@ -57,33 +78,42 @@ class MixParams:
     most_rounds: int = 60
     tolerance: float = 1e-6
     seed: int = 17
-    topics: list[tuple[str, str]] = field(default_factory=lambda: list(TOPICS))
+    topics: tuple[Topic, ...] = TOPICS
+
+
+def topic_names(params: MixParams) -> list[str]:
+    return [*dict.fromkeys(t.name for t in params.topics), OTHER_TOPIC]
 
 
 def topic_of(text: Column, params: MixParams) -> Column:
-    found = F.lit(OTHER_TOPIC)
-    for name, pattern in reversed(params.topics):
-        found = F.when(text.rlike(pattern), name).otherwise(found)
-    return F.coalesce(found, F.lit(OTHER_TOPIC))
+    def named(low: Column) -> Column:
+        found = F.lit(OTHER_TOPIC)
+        for topic in reversed(params.topics):
+            found = F.when(topic.found(text, low), topic.name).otherwise(found)
+        return found
+
+    return let(F.lower(text), named)
 
 
 def tokens_of(text: Column) -> Column:
-    """Words at white space, the token count of this operator."""
-    return F.coalesce(F.size(F.array_remove(F.split(text, r"\s+"), "")), F.lit(0)).cast("long")
+    """Words at ASCII white space, the token count of this operator."""
+    return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def with_cells(
     docs: DataFrame, params: MixParams, text_col: str = "text", source_col: str = "source",
     lang_col: str = "lang",
 ) -> DataFrame:
+    """``docs`` without its text, source and language, but with the cell and tokens of each row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumns(
         {
             "_m_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
             "_m_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
-            "_m_topic": topic_of(F.coalesce(F.col(text_col), F.lit("")), params),
-            "_m_tokens": F.greatest(tokens_of(F.coalesce(F.col(text_col), F.lit(""))), F.lit(0)),
+            "_m_topic": topic_of(text, params),
+            "_m_tokens": tokens_of(text),
         }
-    )
+    ).drop(text_col, source_col, lang_col)
 
 
 def flattened(totals: dict[str, float], power: float, given: dict[str, float] | None) -> dict[str, float]:
@@ -110,7 +140,7 @@ def rake(cells: DataFrame, params: MixParams) -> Raked:
     totals = cells.groupBy("lang").agg(F.sum("tokens").alias("n"))
     top = totals.orderBy(F.desc("n"), "lang").limit(params.most_languages).collect()
     langs = [r["lang"] for r in top]
-    topics = [name for name, _ in params.topics] + [OTHER_TOPIC]
+    topics = topic_names(params)
     # at most ``most_languages`` rows
     named = F.broadcast(spark.createDataFrame([(x,) for x in langs], "lang string").withColumn("own", F.lit(1)))
     grouped = cells.join(named, "lang", "left").withColumn(
@@ -212,8 +242,13 @@ def mix(
     docs: DataFrame, params: MixParams, id_col: str = "doc_id", text_col: str = "text",
     source_col: str = "source", lang_col: str = "lang",
 ) -> DataFrame:
-    """``docs`` with ``_m_factor``, ``_m_probability`` and ``_m_kept`` and the cell's columns."""
-    marked = with_cells(docs, params, text_col, source_col, lang_col)
+    """``docs`` with its cell's columns, ``_m_factor``, ``_m_probability`` and ``_m_kept``.
+
+    Text, source and language are left out; a caller that wants them back carries
+    them in another column.  The marked rows are written, so that each text is
+    searched once.
+    """
+    marked = written(with_cells(docs, params, text_col, source_col, lang_col), "marked")
     cells = written(
         marked.groupBy(
             F.col("_m_source").alias("source"), F.col("_m_lang").alias("lang"), F.col("_m_topic").alias("topic")
