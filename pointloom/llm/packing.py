@@ -109,17 +109,41 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
+def starting_basis(
+    size: np.ndarray, demand: np.ndarray, capacity: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (columns) and their use that meet ``demand`` exactly, one for each size.
+
+    Each pattern is filled with the largest sizes still wanted and used until one
+    of them runs out; later patterns lack that size, so the basis is triangular.
+    """
+    left, wanted = demand.astype(float), np.ones(len(size), bool)
+    basis, use = np.zeros((len(size), len(size))), np.zeros(len(size))
+    order = np.argsort(-size, kind="stable")
+    for column in range(len(size)):
+        room = capacity
+        for k in order[wanted[order]]:
+            basis[k, column] = room // size[k]
+            room %= size[k]
+        held = np.flatnonzero(basis[:, column])
+        ratio = left[held] / basis[held, column]
+        use[column] = ratio.min()
+        left = np.maximum(left - use[column] * basis[:, column], 0)
+        wanted[held[ratio.argmin()]] = False
+    return basis, use
+
+
 def generate_columns(
     size: np.ndarray, demand: np.ndarray, capacity: int, most_pivots: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Solve the cutting-stock linear program; return patterns (rows) and their use.
 
-    Revised simplex: the basis starts with one-size patterns; the knapsack's
-    pattern enters while its value at the current prices exceeds one sequence.
+    Revised simplex: the basis starts with patterns filled from the largest size
+    down; the knapsack's pattern enters while its value at the current prices
+    exceeds one sequence.
     """
-    basis = np.diag(np.floor(capacity / size)).astype(float)
-    inverse = np.diag(1 / np.diag(basis))
-    use = inverse @ demand
+    basis, use = starting_basis(size, demand, capacity)
+    inverse = np.linalg.inv(basis) if len(size) else basis
     for _ in range(most_pivots):
         prices = np.maximum(inverse.sum(axis=0), 0)
         worth, column = knapsack(prices, size, capacity)
