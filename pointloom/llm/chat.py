@@ -6,8 +6,8 @@ and each ``</turn>`` has one more backslash in front, so the end of a turn can
 appear nowhere else and the change is undone by taking one backslash away.
 
 A turn is first written with its text as it is and parsed again by the grammar;
-only where the parsed turn differs from the source is the text escaped.  The
-finished conversation is parsed as a whole and compared with the source again
+where the parsed turn differs from the source, or the text holds a control string
+that a reader could take for a mark, the text is escaped.  The finished conversation is parsed as a whole and compared with the source again
 (``round_trip``).
 
 Cases: a null text or role counts as empty; turns are ordered by turn (nulls
@@ -89,8 +89,9 @@ def format_conversations(
     )
     plain = parse(F.concat(head(F.col("_role")), F.col("_text"), F.lit(END)))
     source = F.array(F.struct(F.col("_role").alias("role"), F.col("_text").alias("text")))
+    clean = (plain == source) & ~F.col("_text").rlike(CONTROL)
     rows = rows.withColumn(
-        "_body", F.when(plain == source, F.col("_text")).otherwise(escape(F.col("_text")))
+        "_body", F.when(clean, F.col("_text")).otherwise(escape(F.col("_text")))
     ).withColumn("_head", head(F.col("_role")))
     by_turn = Window.partitionBy(conv_col).orderBy("_turn", "_role", "_text")
     size = F.length("_head") + F.length("_body") + len(END)
