@@ -86,10 +86,15 @@ class QualityModel:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> QualityModel:
-    """Ridge logistic regression by Newton steps; the intercept is not penalised."""
+    """Ridge logistic regression by Newton steps on standardised features.
+
+    The intercept is not penalised; the weights returned are those of the raw features.
+    """
     if not len(y) or y.min() == y.max():
         return QualityModel([0.0] * x.shape[1], 0.0)
-    full = np.hstack([x, np.ones((len(x), 1))])
+    center, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    full = np.hstack([(x - center) / scale, np.ones((len(x), 1))])
     penalty = np.diag([ridge] * x.shape[1] + [1e-9])
     beta = np.zeros(full.shape[1])
     for _ in range(50):
@@ -100,7 +105,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> QualityModel:
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return QualityModel(beta[:-1].tolist(), float(beta[-1]))
+    weights = beta[:-1] / scale
+    return QualityModel(weights.tolist(), float(beta[-1] - weights @ center))
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
