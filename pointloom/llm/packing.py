@@ -111,15 +111,16 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
 
 def starting_basis(
     size: np.ndarray, demand: np.ndarray, capacity: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and their use that meet ``demand`` exactly, one for each size.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns (columns), their inverse and their use, which meets ``demand`` exactly.
 
     Each pattern is filled with the largest sizes still wanted and used until one
-    of them runs out; later patterns lack that size, so the basis is triangular.
+    of them runs out; later patterns lack that size, so with rows in the order in
+    which sizes run out the basis is triangular and substitution inverts it.
     """
     left, wanted = demand.astype(float), np.ones(len(size), bool)
     basis, use = np.zeros((len(size), len(size))), np.zeros(len(size))
-    order = np.argsort(-size, kind="stable")
+    order, ended = np.argsort(-size, kind="stable"), np.zeros(len(size), int)
     for column in range(len(size)):
         room = capacity
         for k in order[wanted[order]]:
@@ -129,8 +130,16 @@ def starting_basis(
         ratio = left[held] / basis[held, column]
         use[column] = ratio.min()
         left = np.maximum(left - use[column] * basis[:, column], 0)
-        wanted[held[ratio.argmin()]] = False
-    return basis, use
+        ended[column] = held[ratio.argmin()]
+        wanted[ended[column]] = False
+    rows, solved = basis[ended], np.zeros_like(basis)
+    for k in range(len(size)):
+        solved[k] = -(rows[k, :k, None] * solved[:k]).sum(axis=0)
+        solved[k, k] += 1
+        solved[k] /= rows[k, k]
+    inverse = np.zeros_like(basis)
+    inverse[:, ended] = solved
+    return basis, inverse, use
 
 
 def generate_columns(
@@ -142,8 +151,7 @@ def generate_columns(
     down; the knapsack's pattern enters while its value at the current prices
     exceeds one sequence.
     """
-    basis, use = starting_basis(size, demand, capacity)
-    inverse = np.linalg.inv(basis) if len(size) else basis
+    basis, inverse, use = starting_basis(size, demand, capacity)
     for _ in range(most_pivots):
         prices = np.maximum(inverse.sum(axis=0), 0)
         worth, column = knapsack(prices, size, capacity)

@@ -89,3 +89,12 @@ def test_knapsack_equals_brute_force():
         3 * a + 4 * b + 5 * c for a in range(5) for b in range(4) for c in range(3) if 2 * a + 3 * b + 4 * c <= 9
     )
     assert counts @ np.array([2, 3, 4]) <= 9
+
+
+def test_starting_basis_is_inverted():
+    draw = np.random.default_rng(2)
+    size = np.sort(draw.choice(np.arange(1, 256), 90, replace=False))
+    demand = draw.integers(1, 500, 90)
+    basis, inverse, use = packing.starting_basis(size, demand, 256)
+    assert np.allclose(basis @ inverse, np.eye(90)) and np.allclose(basis @ use, demand)
+    assert (use >= 0).all() and (size @ basis <= 256).all()
