@@ -1,10 +1,12 @@
 """Mixing sources to target weights: raking, then sampling by calibrated probabilities.
 
-Documents fall into cells of source, language and topic.  Iterative proportional
-fitting finds a factor for each source, language and topic so that the cells'
-tokens, times their factors, have the target marginals.  A document is then kept
-with a probability in proportion to its cell's factor; the scale is set so that
-the expected tokens are the wanted share of all, with probabilities of 1 at most.
+Documents fall into cells of source, language and topic.  A document is kept with
+its cell's probability: the product of a factor for its source, its language and
+its topic, 1 at most.  Iterative proportional fitting under that bound finds the
+factors: cells at the bound are taken as they are and the others make up for
+them, so that the expected sample has the target marginals and the wanted share
+of all tokens.  A category with fewer tokens than its target gives all it has and
+the targets of the others rise evenly; how far this moves the targets is logged.
 
 Only the cells take part in the fitting: documents are summed once, with
 map-side aggregation, so a hot source is one row for each language and topic.
@@ -20,7 +22,8 @@ are drawn alike (the draw hashes id and seed); an empty table gives an empty res
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -31,6 +34,9 @@ from pointloom.functions.lets import let
 from pointloom.plans.joins import broadcast_if_small
 from pointloom.plans.scratch import drop, written
 
+LOG = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Topic:
     """A topic: one of ``stems`` (lower case) stands in the lower-cased text and ``pattern`` is found.
@@ -60,6 +66,8 @@ TOPICS = (
 )
 OTHER_TOPIC = "prose"
 REST = "*"
+#: Probabilities from here on count as 1.
+BOUND = 1 - 1e-12
 
 
 @dataclass(frozen=True)
@@ -123,18 +131,40 @@ def flattened(totals: dict[str, float], power: float, given: dict[str, float] |
     return {k: v / total for k, v in weights.items()} if total else {}
 
 
+def reachable(goal: np.ndarray, held: np.ndarray, total: float) -> np.ndarray:
+    """``goal`` scaled to the sum ``total`` with no more than ``held`` in any category."""
+    out = np.zeros(len(goal))
+    free = goal > 0
+    while free.any():
+        out[free] = goal[free] * max(0.0, total - out[~free].sum()) / goal[free].sum()
+        over = free & (out > held)
+        if not over.any():
+            break
+        out[over] = held[over]
+        free &= ~over
+    return out
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> float:
+    """Total variation between two tables of weights."""
+    return float(np.abs(a / (a.sum() or 1) - b / (b.sum() or 1)).sum() / 2)
+
+
 @dataclass(frozen=True)
 class Raked:
     cells: DataFrame  # source, lang, topic, tokens, factor
     rounds: int
     error: float
+    #: Total variation between wanted and reachable targets of each axis.
+    moved: dict[str, float] = field(default_factory=dict)
 
 
-def rake(cells: DataFrame, params: MixParams) -> Raked:
+def rake(cells: DataFrame, params: MixParams, bounded: bool = False) -> Raked:
     """Factors of all cells (source, lang, topic, tokens) by iterative proportional fitting.
 
     Sources are fitted first in each round, row by row; the languages and topics
-    then follow from the summed language x topic matrix.
+    then follow from the summed language x topic matrix.  If ``bounded``, factors
+    are probabilities: 1 at most, and targets are for ``token_share`` of all tokens.
     """
     spark = cells.sparkSession
     totals = cells.groupBy("lang").agg(F.sum("tokens").alias("n"))
@@ -158,6 +188,15 @@ def rake(cells: DataFrame, params: MixParams) -> Raked:
     shape = (len(langs) + 1, len(topics))
     power_sum = rows.where("tokens > 0").agg(F.sum(F.pow("tokens", F.lit(params.source_power)))).first()[0] or 1.0
     wanted = all_tokens * F.pow("tokens", F.lit(params.source_power)) / power_sum
+    moved = {}
+    kept_tokens = min(1.0, params.token_share) * all_tokens if bounded else all_tokens
+    if bounded and all_tokens:
+        rise = F.pow("tokens", F.lit(params.source_power - 1))
+        level = scale_to(rows.withColumn("factor", rise), params.token_share)
+        held_to = F.col("tokens") * F.least(F.lit(1.0), rise * level)
+        away = F.abs(wanted / all_tokens - held_to / kept_tokens) / 2
+        moved["source"] = rows.where("tokens > 0").agg(F.sum(away)).first()[0]
+        wanted = held_to
     sums = rows.select(F.explode("n")).groupBy("key").agg(F.sum("value").alias("v")).collect()
     seen = np.zeros(len(pairs))
     for r in sums:
@@ -167,6 +206,10 @@ def rake(cells: DataFrame, params: MixParams) -> Raked:
     topic_goal = flattened(dict(zip(topics, seen.sum(0), strict=True)), params.topic_power, params.topic_targets)
     goal_l = np.array([lang_goal.get(x, 0.0) for x in [*langs, REST]]) * all_tokens
     goal_t = np.array([topic_goal.get(x, 0.0) for x in topics]) * all_tokens
+    if bounded:
+        own_l, own_t = goal_l, goal_t
+        goal_l, goal_t = reachable(own_l, seen.sum(1), kept_tokens), reachable(own_t, seen.sum(0), kept_tokens)
+        moved |= {"lang": apart(own_l, goal_l), "topic": apart(own_t, goal_t)}
     f_lang, f_topic = np.ones(shape[0]), np.ones(shape[1])
 
     def source_factor(weights: np.ndarray) -> Column:
@@ -176,31 +219,58 @@ def rake(cells: DataFrame, params: MixParams) -> Raked:
             F.lit(0.0),
             lambda acc, e: acc + e["value"] * F.get(factors, e["key"]),
         )
-        return F.when(fitted > 0, wanted / fitted).otherwise(F.lit(1.0))
+        if not bounded:
+            return F.when(fitted > 0, wanted / fitted).otherwise(F.lit(1.0))
+
+        def again(acc: Column, _: Column) -> Column:
+            """The factor that suits the cells below the bound, those at it being fixed."""
+
+            def free(e: Column) -> Column:
+                return acc["f"] * F.get(factors, e["key"]) < BOUND
+
+            parts = F.aggregate(
+                F.map_entries("n"),
+                F.struct(F.lit(0.0).alias("free"), F.lit(0.0).alias("held")),
+                lambda x, e: F.struct(
+                    (x["free"] + F.when(free(e), e["value"] * F.get(factors, e["key"])).otherwise(0.0)).alias("free"),
+                    (x["held"] + F.when(free(e), 0.0).otherwise(e["value"].cast("double"))).alias("held"),
+                ),
+            )
+            better = let(parts, lambda x: F.when(x["free"] > 0, F.greatest(acc["f"], (wanted - x["held"]) / x["free"])).otherwise(acc["f"]))
+            new = let(better, lambda f: F.struct(f.alias("f"), (f <= acc["f"]).alias("done")))
+            return F.when(acc["done"], acc).otherwise(new)
+
+        first = F.struct((wanted / fitted).alias("f"), F.lit(False).alias("done"))
+        steps = F.sequence(F.lit(1), F.lit(min(len(pairs), 64)))
+        return F.when(fitted > 0, F.aggregate(steps, first, again, lambda acc: acc["f"])).otherwise(F.lit(params.token_share))
 
     rounds, error = 0, 0.0
     for rounds in range(1, params.most_rounds + 1):
         if not all_tokens:
             break
         scaled = rows.withColumn("f", source_factor(np.outer(f_lang, f_topic)))
-        matrix = np.zeros(len(pairs))
+        matrix, held = np.zeros(len(pairs)), np.zeros(len(pairs))
+        weights = F.array(*map(F.lit, np.outer(f_lang, f_topic).reshape(-1).tolist()))
+        free = F.col("f") * F.get(weights, F.col("key")) < BOUND if bounded else F.lit(True)
         for r in (
             scaled.select("f", F.explode("n").alias("key", "value"))
             .groupBy("key")
-            .agg(F.sum(F.col("f") * F.col("value")).alias("v"))
+            .agg(
+                F.sum(F.when(free, F.col("f") * F.col("value")).otherwise(0.0)).alias("v"),
+                F.sum(F.when(free, 0).otherwise(F.col("value"))).alias("held"),
+            )
             .collect()
         ):
-            matrix[r["key"]] = r["v"]
-        matrix = matrix.reshape(shape)
+            matrix[r["key"]], held[r["key"]] = r["v"], r["held"]
+        matrix, held = matrix.reshape(shape), held.reshape(shape)
         # margins as the sources' fit left them: what this round still has to move
-        now_l = f_lang * (matrix @ f_topic)
-        now_t = f_topic * (f_lang @ matrix)
+        now_l = f_lang * (matrix @ f_topic) + held.sum(1)
+        now_t = f_topic * (f_lang @ matrix) + held.sum(0)
         error = float(max(np.abs(now_l - goal_l).max(), np.abs(now_t - goal_t).max()) / all_tokens)
         if error < params.tolerance:
             break
-        with np.errstate(divide="ignore", invalid="ignore"):
-            f_lang = np.nan_to_num(goal_l / (matrix @ f_topic), nan=1.0, posinf=1.0)
-            f_topic = np.nan_to_num(goal_t / (f_lang @ matrix), nan=1.0, posinf=1.0)
+        f_lang = _refitted(f_lang, matrix @ f_topic, held.sum(1), goal_l)
+        f_topic = _refitted(f_topic, f_lang @ matrix, held.sum(0), goal_t)
     fitted = rows.withColumn("f", source_factor(np.outer(f_lang, f_topic))).select("source", "f")
     lang_f = F.create_map(*[F.lit(v) for p in zip([*langs, REST], f_lang.tolist(), strict=True) for v in p])
     topic_f = F.create_map(*[F.lit(v) for p in zip(topics, f_topic.tolist(), strict=True) for v in p])
@@ -211,9 +281,22 @@ def rake(cells: DataFrame, params: MixParams) -> Raked:
         "tokens",
         (F.col("f") * F.element_at(lang_f, F.col("_lang")) * F.element_at(topic_f, F.col("topic"))).alias("factor"),
     )
+    if bounded:
+        raked = raked.withColumn("factor", F.least(F.lit(1.0), "factor"))
     out = written(raked, "raked")
     drop(rows)
-    return Raked(out, rounds, error)
+    if bounded and (error >= params.tolerance or max(moved.values(), default=0.0) >= params.tolerance):
+        LOG.warning("targets moved by %s (total variation); languages or topics are off by %.3g of all tokens", moved, error)
+    return Raked(out, rounds, error, moved)
+
+
+def _refitted(factor: np.ndarray, rate: np.ndarray, held: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Factors at which free cells (``rate`` for a factor of 1) and held ones reach ``goal``."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        exact = np.nan_to_num((goal - held) / rate, nan=1.0, posinf=1.0)
+        # held cells alone exceed the goal, or none is free: the whole category is scaled
+        whole = np.nan_to_num(factor * goal / (factor * rate + held), nan=1.0, posinf=1.0)
+    return np.where((held > 0) & ((held >= goal) | (rate <= 0)), whole, exact).clip(0.0, 1e9)
 
 
 def scale_to(cells: DataFrame, share: float) -> float:
@@ -246,7 +329,7 @@ def mix(
 
     Text, source and language are left out; a caller that wants them back carries
     them in another column.  The marked rows are written, so that each text is
-    searched once.
+    searched once.  The factor is the probability over the wanted share.
     """
     marked = written(with_cells(docs, params, text_col, source_col, lang_col), "marked")
     cells = written(
@@ -255,14 +338,13 @@ def mix(
         ).agg(F.sum("_m_tokens").alias("tokens")),
         "cells",
     )
-    raked = rake(cells, params).cells
-    scale = scale_to(raked, params.token_share)
+    raked = rake(cells, params, bounded=True).cells
     chances = raked.select(
         F.col("source").alias("_m_source"),
         F.col("lang").alias("_m_lang"),
         F.col("topic").alias("_m_topic"),
-        F.col("factor").alias("_m_factor"),
-        F.least(F.lit(1.0), F.col("factor") * scale).alias("_m_probability"),
+        (F.col("factor") / params.token_share).alias("_m_factor"),
+        F.col("factor").alias("_m_probability"),
     )
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(params.seed)), F.lit(1 << 52)) / float(1 << 52)
     joined = marked.join(broadcast_if_small(chances), ["_m_source", "_m_lang", "_m_topic"], "left")

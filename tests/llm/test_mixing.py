@@ -82,3 +82,33 @@ def test_topics(spark, text, topic):
 def test_smallest_table_runs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(1)
     assert mixing.mix(docs, mixing.MixParams()).count() == 1
+
+
+def hot_and_tail():
+    """A source with a third of all tokens and 199 Zipf sources, languages and topics unevenly spread."""
+    topics = mixing.topic_names(mixing.MixParams())[:3]
+    zipf = [2e6 / k / sum(1 / x for x in range(1, 200)) for k in range(1, 200)]
+    return [
+        (f"s{i}", f"l{j}", t, max(1, int(size * (1 + (i * 7 + j * 5 + k * 3) % 11) / 54)))
+        for i, size in enumerate([1e6, *zipf]) for j in range(3) for k, t in enumerate(topics)
+    ]
+
+
+def test_bounded_sample_has_the_reachable_marginals(spark):
+    params, cells = mixing.MixParams(), hot_and_tail()
+    raked = mixing.rake(spark.createDataFrame(cells, KIND), params, bounded=True)
+    rows = raked.cells.collect()
+    assert max(r["factor"] for r in rows) <= 1
+    total = sum(c[3] for c in cells)
+    for axis, power in (("source", params.source_power), ("lang", params.lang_power), ("topic", params.topic_power)):
+        held, got = {}, {}
+        for r in rows:
+            held[r[axis]] = held.get(r[axis], 0) + r["tokens"]
+            got[r[axis]] = got.get(r[axis], 0) + r["tokens"] * r["factor"]
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            level = (low + high) / 2
+            goal = {k: min(v, level * v**power) for k, v in held.items()}
+            low, high = (level, high) if sum(goal.values()) < 0.7 * total else (low, level)
+        for k, v in goal.items():
+            assert got[k] == pytest.approx(v, rel=1e-3, abs=1e-4 * total)
