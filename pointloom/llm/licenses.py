@@ -36,10 +36,10 @@ BASE = [
     ("all rights reserved", "reserved"),
 ]
 
-#: Families as (label, keyword, name pattern, versions).
+#: Families as (label, keyword, name pattern, versions); every match of the pattern holds the keyword.
 FAMILIES = [
     ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", ["1", "3"]),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public licen[sc]e", ["2", "2 1", "3"]),
+    ("lgpl", "general public", "(?:gnu )?(?:lesser|library) general public licen[sc]e", ["2", "2 1", "3"]),
     ("gpl", "general public", "(?:gnu )?general public licen[sc]e", ["1", "2", "3"]),
     ("gfdl", "documentation", "(?:gnu )?free documentation licen[sc]e", ["1 1", "1 2", "1 3"]),
     ("apache", "apache", "apache(?: software)? licen[sc]e", ["1", "1 1", "2", "2 0"]),
@@ -57,7 +57,7 @@ FAMILIES = [
     ("unlicense", "unlicen", "(?:the )?unlicen[sc]e", []),
     ("wtfpl", "what the fuck", "do what the fuck you want to public licen[sc]e", ["1", "2"]),
     ("ofl", "open font", "(?:sil )?open font licen[sc]e", ["1", "1 0", "1 1"]),
-    ("odbl", "open database", "open (?:data commons )?(?:open )?database licen[sc]e", ["1", "1 0"]),
+    ("odbl", "database", "open (?:data commons )?(?:open )?database licen[sc]e", ["1", "1 0"]),
     ("psf", "python software", "python software foundation licen[sc]e", ["2", "2 0"]),
     ("osl", "open software", "open software licen[sc]e", ["1", "2", "2 1", "3", "3 0"]),
     ("afl", "academic free", "academic free licen[sc]e", ["1 1", "1 2", "2", "2 1", "3", "3 0"]),
@@ -79,7 +79,7 @@ SINGLE = [
     ("gpl", "www gnu org", "www gnu org licen[sc]es(?: gpl)?"),
     ("zlib", "as is without any express", "as is without any express or implied warranty"),
     ("proprietary", "proprietary", "proprietary and confidential"),
-    ("proprietary", "unauthorized", "unauthori[sz]ed (?:copying|reproduction|distribution)"),
+    ("proprietary", "unauthori", "unauthori[sz]ed (?:copying|reproduction|distribution)"),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}"),
     ("noncommercial", "commercial", "(?:for )?non ?commercial (?:use|purposes) only"),
 ]

@@ -1,4 +1,6 @@
 import re
+from itertools import product
+from re import _parser
 
 import pytest
 from tests.conftest import SF
@@ -86,3 +88,45 @@ def test_there_are_hundreds_of_rules_and_stems_cover_them():
 
 def test_empty_table(spark):
     assert licenses.scan(odd.empty(spark)).count() == 0
+
+
+def samples(parsed):
+    """A text for each combination of the alternatives of a parsed pattern."""
+    parts = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "NOT_LITERAL":
+            parts.append(["x"])
+        elif name == "IN":
+            parts.append(["x"] if str(arg[0][0]) == "NEGATE" else [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg])
+        elif name == "BRANCH":
+            parts.append([t for branch in arg[1] for t in samples(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(samples(arg[-1]))
+        elif name == "MAX_REPEAT":
+            low, high, inner = arg
+            texts = samples(inner)
+            parts.append([t * n for n in range(low, min(int(high), low + 1) + 1) for t in (texts if n else [""])])
+        else:
+            raise AssertionError(name)
+    return ["".join(x) for x in product(*parts)]
+
+
+def test_gates_let_every_alternative_through():
+    for label, keyword, pattern, _ in licenses.rules():
+        for text in samples(_parser.parse(pattern)):
+            assert re.fullmatch(pattern, text), (pattern, text)
+            assert keyword in f" {text} ", (label, keyword, text)
+            assert any(s in text for s in licenses.STEMS) or re.search(r"\bcc(0|\b)", text), (label, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("GNU Library General Public License version 2", "lgpl-2"), ("no unauthorised copying", "proprietary"),
+     ("under the Open Data Commons Database License", "odbl")],
+)
+def test_spellings_behind_the_gates(spark, text, label):
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert label in row["labels"].split(",")
