@@ -41,6 +41,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit a worker's memory."""
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 32 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch, so that long texts fit a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
