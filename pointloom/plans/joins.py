@@ -22,3 +22,17 @@ def broadcast_if_small(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")
     ).first()
     return F.broadcast(df) if found["n"] <= most_rows and found["bytes"] <= most_bytes else df
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each key and how many rows it has (``weight``).
+
+    Fewer than ``most`` keys can have more than that share of all rows each; these
+    are broadcast, the others are shuffled, so no key's rows meet in one task.
+    Both sides are read twice and should be written tables.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) > total / most
+    head = table.where(heavy)
+    tail = rows.join(F.broadcast(head.select(key)), key, "left_anti").join(table.where(~heavy), key)
+    return rows.join(F.broadcast(head), key).unionByName(tail)
