@@ -7,36 +7,39 @@ run of fingerprints with a common prefix, pairs of nodes are walked down
 together, the bits in which they differ are counted, and a pair is dropped as
 soon as the count exceeds the radius.
 
-A single trie is useless near its root, where no pair can be dropped yet, so
-the walk is spread over tries of reordered bits.  The 64 bits are six blocks; a
-pair within four bits has at least two equal blocks, so for one of the fifteen
-choices of two blocks the pair shares the whole beginning of the trie that puts
-those blocks first.  Below that beginning each trie is a small independent job:
-Spark deals the beginnings to tasks, and numpy walks the node pairs within one.
-Only a spanning set of links leaves a task: node pairs whose fingerprints are
-already connected are not expanded, and a pair whose remaining bits fit the
-radius is linked as a whole.
+One trie of all fingerprints is useless near its root, where no pair can be
+dropped yet, so the walk is spread over many: the 64 bits are ``radius + 2``
+blocks or more, and a pair within the radius agrees in all blocks but ``radius``
+of them.  For each choice of so many blocks, fingerprints that agree in them are
+one small trie; Spark deals the tries to tasks and numpy walks all tries of a
+batch together.  A trie that got too many fingerprints is dealt again by choices
+of other blocks.  Only a spanning set of links leaves a task.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointloom.operators.graph import connected_components
+from pointloom.plans.joins import join_heavy
 from pointloom.plans.scratch import written
 
 BITS = 64
-BLOCKS = 6
 SEED = 42
-#: Node pairs with fewer comparisons than this are compared at once.
-LEAF = 1 << 14
+SIGN = np.uint64(1 << 63)
+#: How often fingerprints are dealt to tries: once, and again where there are too many.
+LEVELS = 3
+#: Node pairs that move down a trie at a time, and rows that are walked together.
+AT_ONCE = 1 << 16
+GATHERED = 1 << 17
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -84,183 +87,233 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -
     return rows.mapInArrow(prints, T.StructType(fields))
 
 
-def block_orders() -> list[tuple[int, int, int, int]]:
-    """For each choice of two blocks: (shift, width) of the first and of the second."""
-    edges = [round(k * BITS / BLOCKS) for k in range(BLOCKS + 1)]
-    spans = [(edges[k], edges[k + 1] - edges[k]) for k in range(BLOCKS)]
-    return [(*spans[i], *spans[j]) for i, j in combinations(range(BLOCKS), 2)]
+def block_masks(level: int, blocks: int, radius: int) -> list[int]:
+    """For each choice of ``blocks - radius`` blocks: the bits in them.
 
+    Two fingerprints that differ in ``radius`` bits agree in one choice at least.
+    Blocks are runs of the 64 bits, taken in another order on each level.
+    """
+    stride = (1, 27, 11)[level]
+    order = [b * stride % BITS for b in range(BITS)]
+    edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in order[edges[k] : edges[k + 1]]) for k in range(blocks)]
+    return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
 
-class Links:
-    """Union-find over the rows of one trie that keeps a link for each union."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-        self.found: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.found.append((x, y))
 
-    def roots(self, lo: int, hi: int) -> np.ndarray:
-        return np.fromiter(map(self.root, range(lo, hi)), np.int64, hi - lo)
+def blocks_for(fingerprints: int, radius: int) -> int:
+    """So many blocks that a choice of them, taken as a key, holds few fingerprints."""
+    blocks = radius + 2
+    while BITS * (blocks - radius) / blocks < math.log2(max(fingerprints, 2)) - 2 and blocks < radius + 6:
+        blocks += 1
+    return blocks
 
 
-def walk_trie(values: np.ndarray, radius: int, leaf: int = LEAF) -> list[tuple[int, int]]:
-    """Links that connect what ``values`` (sorted, distinct, unsigned) link within ``radius`` bits.
+class Links:
+    """Which values are connected (each named by the smallest place) and the links that connect them."""
 
-    A node is (lo, hi, bit): a run of values that agree in all bits above ``bit``.
+    def __init__(self, n: int):
+        self.name = np.arange(n)
+        self.found: list[np.ndarray] = []
+        self._changes: np.ndarray | None = None
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        a, b = self.name[x], self.name[y]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        new = np.flatnonzero(low < high)
+        if not len(new):
+            return
+        _, once = np.unique(low[new] * len(self.name) + high[new], return_index=True)
+        new = new[once]
+        self.found.append(np.stack([x[new], y[new]], axis=1))
+        low, high = low[new], high[new]
+        while len(low):
+            np.minimum.at(self.name, high, low)
+            while (higher := self.name[self.name]).tobytes() != self.name.tobytes():
+                self.name = higher
+            a, b = self.name[low], self.name[high]
+            low, high = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        self._changes = None
+
+    def connected(self, lo, hi, lo2, hi2) -> np.ndarray:
+        """Whether the values of both runs are all connected."""
+        if not self.found:
+            return np.zeros(len(lo), bool)
+        if self._changes is None:
+            self._changes = np.concatenate([[0], np.cumsum(self.name[1:] != self.name[:-1])])
+        c = self._changes
+        return (c[hi - 1] == c[lo]) & (c[hi2 - 1] == c[lo2]) & (self.name[lo] == self.name[lo2])
+
+
+def _divided(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
+    """The place in each run [lo, hi) from which on ``bit`` is set."""
+    lo, hi = lo.copy(), hi.copy()
+    one = np.uint64(1 << bit)
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        ones = (values[np.minimum(mid, len(values) - 1)] & one) > 0
+        hi = np.where(open_ & ones, mid, hi)
+        lo = np.where(open_ & ~ones, mid + 1, lo)
+    return lo
+
+
+def _members(lo: np.ndarray, hi: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place of the runs [lo, hi), beside the run's entry in ``of``."""
+    size = hi - lo
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(lo, size) + place, np.repeat(of, size)
+
+
+def walk_tries(values: np.ndarray, starts: np.ndarray, radius: int, at_once: int = AT_ONCE) -> np.ndarray:
+    """Places of links that connect what each group of ``values`` links within ``radius`` bits.
+
+    ``values`` are unsigned, sorted and distinct within groups, whose bounds are
+    ``starts`` (and the end).  Each group is a binary trie; a node is a run of
+    values that agree in all bits above ``bit``.  Pairs of nodes of all tries walk
+    down together, bit by bit, and count the bits in which they differ; a pair is
+    dropped once they exceed the radius or once its values are connected.  Pairs
+    wait on a stack, at most ``at_once`` move at a time, and a node's pair with
+    itself goes first, so links within subtrees are known before those across.
     """
     links = Links(len(values))
-    stack = [(0, len(values), 0, len(values), BITS - 1, 0)]
+    lo, hi = starts[:-1], starts[1:]
+    stack = [(BITS - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
     while stack:
-        lo, hi, lo2, hi2, bit, differ = stack.pop()
+        bit, *pairs = stack.pop()
+        if len(pairs[0]) > at_once:
+            stack.append((bit, *(x[at_once:] for x in pairs)))
+            pairs = [x[:at_once] for x in pairs]
+        lo, hi, lo2, hi2, differ = pairs
         same = lo == lo2
-        if same and hi - lo < 2:
-            continue
-        if differ + bit + 1 <= radius:  # whatever the other bits are, all of these link
-            for x in range(lo, hi):
-                links.join(x, lo2)
-            for y in range(lo2, hi2):
-                links.join(y, lo)
-            continue
-        if (hi - lo) * (hi2 - lo2) <= leaf:
-            _compare(values, lo, hi, lo2, hi2, radius, same, links)
-            continue
-        ours = links.roots(lo, hi)
-        if (ours == ours[0]).all() and (same or (links.roots(lo2, hi2) == ours[0]).all()):
-            continue  # connected already
-        one = np.uint64(1) << np.uint64(bit)
-        mid = lo + int(np.searchsorted(values[lo:hi] & one, one))
-        if same:
-            stack += [(lo, mid, mid, hi, bit - 1, differ + 1)] * (differ < radius)
-            stack += [(lo, mid, lo, mid, bit - 1, differ), (mid, hi, mid, hi, bit - 1, differ)]
+        left = ~(same & (hi - lo < 2)) & ~links.connected(lo, hi, lo2, hi2)
+        lo, hi, lo2, hi2, differ, same = (x[left] for x in (lo, hi, lo2, hi2, differ, same))
+        # leaves: two values are compared; whatever the other bits are, these differ in few enough
+        leaf = ~same & (hi - lo == 1) & (hi2 - lo2 == 1)
+        near = np.bitwise_count(values[lo[leaf]] ^ values[lo2[leaf]]) <= radius
+        links.add(lo[leaf][near], lo2[leaf][near])
+        whole = ~leaf & (differ + bit + 1 <= radius)
+        links.add(*_members(lo[whole], hi[whole], lo2[whole]))
+        links.add(*_members(lo2[whole], hi2[whole], lo[whole]))
+        down = ~leaf & ~whole
+        lo, hi, lo2, hi2, differ, same = (x[down] for x in (lo, hi, lo2, hi2, differ, same))
+        if not len(lo):
             continue
-        mid2 = lo2 + int(np.searchsorted(values[lo2:hi2] & one, one))
-        for a, b, c, d, more in (
-            (lo, mid, mid2, hi2, 1), (mid, hi, lo2, mid2, 1),
-            (lo, mid, lo2, mid2, 0), (mid, hi, mid2, hi2, 0),
-        ):
-            if b > a and d > c and differ + more <= radius:
-                stack.append((a, b, c, d, bit - 1, differ + more))
-    return links.found
-
-
-def _compare(values, lo, hi, lo2, hi2, radius, same, links) -> None:
-    apart = np.bitwise_count(values[lo:hi, None] ^ values[None, lo2:hi2])
-    rows, columns = np.nonzero(np.triu(apart <= radius, 1) if same else apart <= radius)
-    if len(rows) > 4 * (hi - lo + hi2 - lo2):  # many links: one pass over rows suffices
-        hit = apart <= radius
-        for x in np.flatnonzero(hit.any(axis=1)):
-            for y in np.flatnonzero(hit[x]):
-                if links.root(int(x) + lo) != links.root(int(y) + lo2):
-                    links.join(int(x) + lo, int(y) + lo2)
-        return
-    for x, y in zip(rows.tolist(), columns.tolist(), strict=True):
-        links.join(x + lo, y + lo2)
-
-
-def trie_links(prints: DataFrame, radius: int, tasks: int | None = None) -> DataFrame:
-    """(src, dst): links that connect the distinct fingerprints ``fp`` within ``radius`` bits."""
-    if radius > BLOCKS - 2:
-        raise ValueError(f"the radius can be {BLOCKS - 2} at most")
-    unsigned = "shiftrightunsigned(fp, {0}) & ((1L << {1}) - 1)"
-    keys = F.array(
-        *[
-            F.expr(
-                f"({k}L << 40) | (({unsigned.format(s, w)}) << {w2}) | ({unsigned.format(s2, w2)})"
-            )
-            for k, (s, w, s2, w2) in enumerate(block_orders())
+        mid, mid2 = _divided(values, lo, hi, bit), _divided(values, lo2, hi2, bit)
+        cross = ~same
+        children = [  # both halves with themselves or their like; one with the other
+            (lo, mid, lo2, mid2, differ, np.ones(len(lo), bool)),
+            (mid, hi, mid2, hi2, differ, np.ones(len(lo), bool)),
+            (lo, mid, mid2, hi2, differ + 1, differ < radius),
+            (mid, hi, lo2, mid2, differ + 1, cross & (differ < radius)),
         ]
-    )
-    copies = prints.select("fp", F.explode(keys).alias("key"))
-    dealt = copies.repartition(*([tasks] if tasks else []), "key").sortWithinPartitions("key", "fp")
-
-    def links(batches):
-        held_key, held = None, []
-        for batch in batches:
-            key, fp = batch["key"].to_numpy(), batch["fp"].to_numpy()
-            if not len(key):
-                continue
-            at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            found = []
-            if held_key is not None and held_key != key[0]:
-                found.append(_group(held, radius))
-                held = []
-            # groups inside the batch; the last may go on in the next
-            if len(at) > 2:
-                found.append(_group([*held, fp[: at[1]]], radius))
-                found.append(_groups(fp[at[1] : at[-2]], at[1:-1] - at[1], radius))
-                held = []
-            held, held_key = [*held, fp[at[-2] :]], key[-1]
-            yield from _frames(found)
-        if held:
-            yield from _frames([_group(held, radius)])
-
-    return dealt.select("key", "fp").mapInPandas(links, "src long, dst long").distinct()
-
+        kept = [(a < b) & (c < d) & may for a, b, c, d, _, may in children]
+        parts = [[x[k] for x in child[:5]] for child, k in zip(children, kept, strict=True)]
+        both = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        itself = both[0] == both[2]
+        for chosen in (~itself, itself):  # the stack gives the last first
+            if chosen.any():
+                stack.append((bit - 1, *(x[chosen] for x in both)))
+    return np.concatenate([np.zeros((0, 2), np.int64), *links.found])
+
+
+def trie_links(
+    prints: DataFrame, radius: int, blocks: int | None = None, most_in_key: int = 1 << 14
+) -> DataFrame:
+    """(src, dst): links that connect the distinct fingerprints ``fp`` within ``radius`` bits.
 
-def _frames(found):
-    for src, dst in found:
-        if len(src):
-            yield pd.DataFrame({"src": src, "dst": dst})
+    A key with more than ``most_in_key`` fingerprints is not walked: its
+    fingerprints are dealt again by choices of other blocks, twice at most.
+    """
+    blocks = blocks or blocks_for(prints.count(), radius)
+    if not radius < blocks:
+        raise ValueError("there must be more blocks than differing bits")
+    waiting = prints.select("fp", F.lit(0).cast("long").alias("key"))
+    tables = []
+    for level in range(LEVELS):
+        keys = [
+            F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))))
+            for k, mask in enumerate(block_masks(level, blocks, radius))
+        ]
+        dealt = waiting.select("fp", F.explode(F.array(*keys)).alias("key"))
+        most = most_in_key if level + 1 < LEVELS else None
+        walk = _walker(radius, most)
+        found = written(
+            dealt.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp")
+            .mapInArrow(walk, "key long, src long, dst long"),
+            "links",
+        )
+        tables.append(found.where("dst is not null").select("src", "dst"))
+        waiting = found.where("dst is null").select(F.col("src").alias("fp"), "key")
+        if waiting.isEmpty():
+            break
+    return reduce(DataFrame.union, tables).distinct()
 
 
-def _group(parts: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(np.concatenate(parts).view(np.uint64))
-    found = np.array(walk_trie(values, radius), np.int64).reshape(-1, 2)
-    return values[found[:, 0]].view(np.int64), values[found[:, 1]].view(np.int64)
+def _walker(radius: int, most: int | None):
+    """Reads (key, fp) in order and yields links; keys of more than ``most`` fingerprints come back as they are."""
 
+    def rows(key, src, dst):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(src), dst], ["key", "src", "dst"])
 
-def _groups(fp: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within many groups at once: ``at`` holds their bounds.
+    def walked(key: np.ndarray, fp: np.ndarray):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        found = walk_tries(fp.view(np.uint64) ^ SIGN, starts, radius)
+        if len(found):
+            yield rows(key[found[:, 0]], fp[found[:, 0]], pa.array(fp[found[:, 1]]))
 
-    Small groups are leaves of the walk: rows are compared with the row d places
-    on, for all groups together.  Large ones are walked one by one.
-    """
-    size = np.diff(at)
-    group = np.repeat(np.arange(len(size)), size)
-    small = size[group] <= 64
-    src, dst = [], []
-    index = np.flatnonzero(small)
-    values, of = fp[index].view(np.uint64), group[index]
-    step = 1
-    while True:
-        near = np.flatnonzero(of[step:] == of[:-step]) if len(of) > step else []
-        if not len(near):
-            break
-        near = near[np.bitwise_count(values[near] ^ values[near + step]) <= radius]
-        src.append(values[near].view(np.int64))
-        dst.append(values[near + step].view(np.int64))
-        step += 1
-    for g in np.flatnonzero(size > 64):
-        a, b = _group([fp[at[g] : at[g + 1]]], radius)
-        src.append(a)
-        dst.append(b)
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *src]), np.concatenate([empty, *dst])
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count, passing = 0, None
+        for batch in batches:
+            key, fp = (batch.column(k).to_numpy() for k in range(2))
+            if passing is not None and len(key):  # the rest of a key that is dealt again
+                more = int(np.searchsorted(key, passing, side="right"))
+                if more:
+                    yield rows(key[:more], fp[:more], pa.nulls(more, pa.int64()))
+                key, fp = key[more:], fp[more:]
+                passing = passing if not len(key) else None
+            held.append((key, fp))
+            count += len(key)
+            if count < GATHERED:
+                continue
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(np.searchsorted(key, key[-1]))
+            done, rest = _few(key[:last], most)
+            yield from walked(key[:last][done], fp[:last][done])
+            if len(rest):
+                yield rows(key[rest], fp[rest], pa.nulls(len(rest), pa.int64()))
+            if most is not None and count - last > most:
+                yield rows(key[last:], fp[last:], pa.nulls(count - last, pa.int64()))
+                passing, last = key[-1], count
+            held, count = [(key[last:], fp[last:])], count - last
+        if count:
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            done, rest = _few(key, most)
+            yield from walked(key[done], fp[done])
+            if len(rest):
+                yield rows(key[rest], fp[rest], pa.nulls(len(rest), pa.int64()))
+
+    return run
+
+
+def _few(key: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys with 2 to ``most`` rows, and of those with more; single rows have no links."""
+    _, of, size = np.unique(key, return_inverse=True, return_counts=True)
+    size = size[of]
+    many = size > (most if most is not None else len(key))
+    return np.flatnonzero((size > 1) & ~many), np.flatnonzero(many)
 
 
 def classify(
     docs: DataFrame, id_col: str, text_col: str, width: int, radius: int
 ) -> tuple[DataFrame, DataFrame]:
-    """All rows as (id, _hash, fp), and (fp, component_size, _first) of each distinct fingerprint.
+    """All rows as (id, _hash, fp), and (fp, _rows, component_size, _first) of each distinct fingerprint.
 
     ``_first`` names one row of the component: the smallest id, null ids last,
     then the smallest hash of the text.
     """
     prints = written(with_fingerprints(docs, id_col, text_col, width), "prints")
     row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("_hash").alias("hash"))
-    distinct = prints.groupBy("fp").agg(F.min(row).alias("_least"), F.count("*").alias("_rows"))
+    distinct = written(prints.groupBy("fp").agg(F.min(row).alias("_least"), F.count("*").alias("_rows")), "distinct")
     parts = connected_components(trie_links(distinct.select("fp"), radius))
     classes = written(
         distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -268,10 +321,14 @@ def classify(
         ),
         "classes",
     )
-    least = classes.groupBy("_class").agg(
-        F.min("_least").alias("_first"), F.sum("_rows").alias("component_size")
+    least = written(
+        classes.groupBy("_class").agg(
+            F.min("_least").alias("_first"), F.sum("_rows").alias("component_size"), F.count("*").alias("_fps")
+        ),
+        "least",
     )
-    return prints, classes.join(least, "_class").select("fp", "component_size", "_first")
+    named = join_heavy(classes.select("fp", "_rows", "_class"), least, "_class", "_fps")
+    return prints, written(named.select("fp", "_rows", "component_size", "_first"), "named")
 
 
 def near_duplicates(
@@ -286,7 +343,7 @@ def near_duplicates(
     ids aside; an empty table gives an empty result; other columns are not read.
     """
     prints, classes = classify(docs, id_col, text_col, width, radius)
-    return prints.join(classes, "fp").select(
+    return join_heavy(prints, classes, "fp", "_rows").select(
         id_col,
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("_first.id").alias("component_id"),

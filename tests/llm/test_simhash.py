@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 from tests.conftest import SF
 from tests.llm import odd
 from xxhash import xxh64_intdigest
@@ -43,24 +45,8 @@ def test_fingerprints_equal_brute_force():
             assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-def test_links_equal_brute_force(spark):
-    """Clusters around centres, chains and hot blocks; components must be the same."""
-    draw = random.Random(5)
-    values = set()
-    for _ in range(60):
-        centre = draw.getrandbits(64)
-        for _ in range(12):
-            v = centre
-            for bit in draw.sample(range(64), draw.randint(0, 6)):
-                v ^= 1 << bit
-            values.add(v)
-    base = draw.getrandbits(64)
-    values |= {base ^ draw.getrandbits(20) for _ in range(300)}  # many in one beginning
-    rows = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    found = simhash.trie_links(spark.createDataFrame(rows, "fp long"), 4).collect()
-    mask = (1 << 64) - 1
-    links = [(r["src"] & mask, r["dst"] & mask) for r in found]
-    assert all((a ^ b).bit_count() <= 4 for a, b in links)
+def connected(values, links):
+    """Smallest value reachable of each value over ``links``."""
     parent = {v: v for v in values}
 
     def root(v):
@@ -71,27 +57,72 @@ def test_links_equal_brute_force(spark):
     for a, b in links:
         x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
-    assert {v: root(v) for v in values} == brute_components(values)
+    return {v: root(v) for v in values}
 
 
-def test_walk_prunes_but_loses_nothing():
-    import numpy as np
+def spark_links(spark, values, **kwargs):
+    rows = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    found = simhash.trie_links(spark.createDataFrame(rows, "fp long"), **kwargs).collect()
+    return [(r["src"] & 2**64 - 1, r["dst"] & 2**64 - 1) for r in found]
 
-    draw = random.Random(8)
-    values = sorted({draw.getrandbits(14) for _ in range(700)})
-    found = simhash.walk_trie(np.array(values, np.uint64), 2, leaf=16)
-    parent = {k: k for k in range(len(values))}
 
-    def root(v):
-        while parent[v] != v:
-            v = parent[v]
-        return v
+def clusters(draw):
+    values = set()
+    for _ in range(60):
+        centre = draw.getrandbits(64)
+        for _ in range(12):
+            v = centre
+            for bit in draw.sample(range(64), draw.randint(0, 6)):
+                v ^= 1 << bit
+            values.add(v)
+    base = draw.getrandbits(64)
+    return values | {base ^ draw.getrandbits(20) for _ in range(300)}  # many in one trie
 
-    for a, b in found:
-        x, y = root(a), root(b)
-        parent[max(x, y)] = min(x, y)
-    got = {values[k]: values[root(k)] for k in parent}
-    assert got == brute_components(values, 2)
+
+@pytest.mark.parametrize("kwargs", [{}, {"blocks": 7}, {"blocks": 5}, {"most_in_key": 6}])
+def test_links_equal_brute_force(spark, kwargs):
+    """Clusters around centres, chains and hot keys; components must be the same."""
+    values = clusters(random.Random(5))
+    links = spark_links(spark, values, radius=4, **kwargs)
+    assert all((a ^ b).bit_count() <= 4 for a, b in links)
+    assert connected(values, links) == brute_components(values)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 16])
+def test_walk_prunes_but_loses_nothing(at_once):
+    draw = random.Random(8)
+    groups = [sorted({draw.getrandbits(14) for _ in range(n)}) for n in (700, 1, 40, 2, 3)]
+    values = np.array([v for g in groups for v in g], np.uint64)
+    starts = np.cumsum([0] + [len(g) for g in groups])
+    found = simhash.walk_tries(values, starts, 2, at_once).tolist()
+    for k, group in enumerate(groups):
+        links = [(int(values[a]), int(values[b])) for a, b in found if starts[k] <= a < starts[k + 1]]
+        assert all(starts[k] <= b < starts[k + 1] for a, b in found if starts[k] <= a < starts[k + 1])
+        assert connected(group, links) == brute_components(group, 2)
+    assert len(found) < 3 * len(values)
+
+
+def test_one_great_cluster_of_near_copies(spark):
+    """12,000 distinct fingerprints around one: one component, by a number of links that grows with them."""
+    draw = random.Random(11)
+    centre = draw.getrandbits(64)
+    values = {centre}
+    while len(values) < 12_000:
+        values.add(centre ^ sum(1 << b for b in draw.sample(range(64), draw.randint(1, 4))))
+    links = spark_links(spark, values, radius=4, most_in_key=1000)
+    assert set(connected(values, links).values()) == {min(values)}
+    assert len(links) < 60 * len(values)
+
+
+def test_blocks_grow_with_the_table():
+    assert simhash.blocks_for(10, 4) == 6 < simhash.blocks_for(10**10, 4) <= 10
+    for level in range(simhash.LEVELS):
+        for blocks in (6, 8):
+            masks = simhash.block_masks(level, blocks, 4)
+            draw = random.Random(level)
+            for _ in range(300):
+                differ = sum(1 << b for b in draw.sample(range(64), 4))
+                assert any(not differ & m for m in masks)
 
 
 def expected(rows):
