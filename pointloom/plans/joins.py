@@ -36,3 +36,9 @@ def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str, most: i
     head = table.where(heavy)
     tail = rows.join(F.broadcast(head.select(key)), key, "left_anti").join(table.where(~heavy), key)
     return rows.join(F.broadcast(head), key).unionByName(tail)
+
+
+def join_sized(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Like :func:`join_heavy`, but a table within the bounds of a broadcast is broadcast whole."""
+    marked = broadcast_if_small(table)
+    return join_heavy(rows, table, key, weight) if marked is table else rows.join(marked, key)
