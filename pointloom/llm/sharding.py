@@ -4,8 +4,8 @@ Records are sorted in spirit only: keys (a hash of the text, so that equal texts
 stay together) are sampled with probability in proportion to size, quantiles of
 the sample are the splitters, and records are partitioned into the ranges between
 them.  The true size of each range is then summed.  A range larger than
-``most_share`` of a shard is subdivided by a second hash, over id and text: only
-a text whose copies fill a good part of a shard is spread over several shards.
+``most_share`` of a shard is subdivided by a second hash, of the row: only a text
+whose copies (or repeated rows) fill a good part of a shard is spread over several.
 Ranges go to shards largest first, each to the emptiest shard, so shards are near
 equal in bytes and groups of equal texts stay whole below that size.
 
@@ -13,8 +13,9 @@ Everything is DataFrame work; the driver sees the splitters and one row for each
 range (``ranges`` plus the subdivisions, whose number is bounded by the parameters).
 
 Cases: a null text has no bytes and counts its overhead of 1; repeated rows are
-records of their own; a null id is allowed; an empty table gives an empty
-result; other columns are not read.
+records of their own, in slots of their own; a null id is allowed; of a very long
+text only size and hashes are kept, and one larger than a shard is a shard's bulk;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -93,6 +94,8 @@ def shard(
             F.crc32(text).alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64(text), 12).alias("_key"),
             F.xxhash64(F.col(id_col), text).alias("_sub"),
+            # tells repeated rows apart; the table is written once, so it stays as it is
+            F.xxhash64(F.col(id_col), text, F.monotonically_increasing_id()).alias("_row"),
         ),
         "records",
     )
@@ -107,7 +110,7 @@ def shard(
     }
     divided = F.lit(0)
     for r, n in sorted(parts.items()):
-        divided = F.when(F.col("_range") == r, F.pmod(F.col("_sub"), F.lit(n)).cast("int")).otherwise(divided)
+        divided = F.when(F.col("_range") == r, F.pmod(F.col("_row"), F.lit(n)).cast("int")).otherwise(divided)
     ranged = ranged.withColumn("_part", divided)
     sums = ranged.groupBy("_range", "_part").agg(F.sum("size").alias("s")).collect()
     shards = assign([((r["_range"], r["_part"]), r["s"]) for r in sums], params.shards)
@@ -116,6 +119,6 @@ def shard(
         spark.createDataFrame([(*k, v) for k, v in shards.items()], "_range int, _part int, shard int")
     )
     placed = ranged.join(table, ["_range", "_part"]).select(
-        id_col, "size", "text_crc32", "_key", "_sub", "shard"
+        id_col, "size", "text_crc32", "_row", "shard"
     )
-    return number_within(placed, ["shard"], ["_sub", "_key", "size"], "slot").drop("_key", "_sub")
+    return number_within(placed, ["shard"], ["_row"], "slot").drop("_row")
