@@ -2,13 +2,15 @@
 
 Letters are lower-cased, everything else is a space; runs of one to three
 characters with a letter in them are hashed into ``bins``.  Counts by language
-come from a bounded sample of labelled documents, summed by Spark; the matrix of
-log-probabilities (languages x bins) is broadcast, and batches are scored in
-numpy: one gather and one segmented sum a language.
+come from all labelled documents, summed by Spark; the matrix of
+log-probabilities (languages x bins, a bounded number of languages) is broadcast,
+and batches are scored in numpy: one gather and one segmented sum a language.
 
 Cases: a null text or one without a letter is ``und`` with score 0; without any
-labelled document every text is ``und``; a null id is held out; repeated rows
-are scored alike; the language, source and id never enter a prediction.
+labelled document every text is ``und``; a null id is held out; a very long text is
+read in pieces that overlap, so memory is bounded; ties go to the first language
+in order of name; repeated rows are counted and scored each; columns other than
+id, text and language are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ class LangIdParams:
     bins: int = 1 << 13
     longest: int = 3
     smoothing: float = 0.5
-    #: Labelled documents the model is fitted on; more are thinned by a hash of the id.
-    most_documents: int = 20_000
+    #: The matrix has a row for each language; more languages than this are an error.
+    most_languages: int = 1000
     #: Evidence is scaled down to that of so many n-grams for the score.
     score_grams: int = 30
 
@@ -50,15 +52,17 @@ def letters() -> np.ndarray:
     return table
 
 
-def grams(texts: list[str], params: LangIdParams):
-    """(hashes, documents' starts): n-grams of all texts; ``bins`` stands for none.
+def grams(texts: list[str], params: LangIdParams, lead: str = "  "):
+    """(hashes, starts of texts): n-grams of all texts; ``bins`` stands for none.
 
-    Two spaces before each text keep n-grams within it.
+    A gram belongs to the text that its last character lies in.  ``lead`` is put
+    before each text, so that grams keep within it; grams that end in it are none.
     """
-    joined = "".join(f"  {t}" for t in texts)
+    joined = "".join(lead + t for t in texts)
     codes = letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
     codes = codes.astype(np.uint64)
-    starts = np.cumsum([0] + [len(t) + 2 for t in texts[:-1]])
+    starts = np.cumsum([0] + [len(t) + len(lead) for t in texts[:-1]])
+    leads = (starts[:, None] + np.arange(len(lead))).reshape(-1)
     found = []
     for n in range(1, params.longest + 1):
         value = np.full(len(codes), n, np.uint64)
@@ -67,22 +71,34 @@ def grams(texts: list[str], params: LangIdParams):
             shifted = codes if back == 0 else np.concatenate([np.zeros(back, np.uint64), codes[:-back]])
             value = value * np.uint64(0x100000001B3) + shifted
             any_letter |= shifted
-        value = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)
+        value = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
         value = value % np.uint64(params.bins)
+        any_letter[leads] = 0
         found.append(np.where(any_letter > 0, value, np.uint64(params.bins)).astype(np.int32))
     return found, starts
 
 
-def chunks(texts: list[str]):
-    """Slices of ``texts`` of about CHUNK characters."""
-    start, size = 0, 0
+def pieces(texts: list[str], params: LangIdParams):
+    """(numbers of the texts, hashes, starts) of CHUNK characters or so at a time.
+
+    A text longer than that comes in several pieces, each led by the characters before it.
+    """
+    before = params.longest - 1
+    numbers, held, size = [], [], 0
     for k, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK:
-            yield slice(start, k + 1)
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+        if len(text) <= CHUNK:
+            numbers.append(k)
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield numbers, *grams(held, params, " " * before)
+                numbers, held, size = [], [], 0
+            continue
+        for at in range(0, len(text), CHUNK):
+            lead = text[max(0, at - before) : at] if at else " " * before
+            yield [k], *grams([text[at : at + CHUNK]], params, lead)
+    if numbers:
+        yield numbers, *grams(held, params, " " * before)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -99,11 +115,11 @@ def learn(
     labelled: DataFrame, params: LangIdParams, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang",
 ) -> LangIdModel:
-    """Fit on ``labelled`` rows: at most about ``most_documents`` by a hash of the id."""
+    """Fit on all ``labelled`` rows that have a text and a language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.count()
-    share = min(1.0, params.most_documents / max(total, 1))
-    kept = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20))
+    known = rows.select(lang_col).distinct().limit(params.most_languages + 1).count()
+    if known > params.most_languages:
+        raise ValueError(f"more than {params.most_languages} languages: raise most_languages, a row of the matrix each")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -113,18 +129,19 @@ def learn(
             for lang in set(langs):
                 own = [t for t, l in zip(texts, langs, strict=True) if l == lang]
                 into = sums.setdefault(lang, np.zeros(params.bins + 1, np.int64))
-                for part in chunks(own):
-                    for hashed in grams(own[part], params)[0]:
+                for _, found, _ in pieces(own, params):
+                    for hashed in found:
                         into += np.bincount(hashed, minlength=params.bins + 1)
         for lang, into in sums.items():
             bins = np.flatnonzero(into[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(bins)), pa.array(bins, pa.int32()), pa.array(into[bins])],
+                [pa.array([lang] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(into[bins])],
                 ["lang", "bin", "n"],
             )
 
+    # at most most_languages * bins rows
     counts = (
-        kept.select(F.col(lang_col), F.col(text_col))
+        rows.select(F.col(lang_col), F.col(text_col))
         .mapInArrow(count, "lang string, bin int, n long")
         .groupBy("lang", "bin")
         .agg(F.sum("n").alias("n"))
@@ -141,23 +158,21 @@ def learn(
 
 def score(texts: list[str], model: LangIdModel, params: LangIdParams):
     """(language or und, score) of each text."""
-    langs, scores = [], []
-    for part in chunks(texts):
-        found, starts = grams(texts[part], params)
-        evidence = np.zeros((len(model.languages), len(starts)))
-        used = np.zeros(len(starts))
+    evidence = np.zeros((len(model.languages), len(texts)))
+    used = np.zeros(len(texts))
+    for numbers, found, starts in pieces(texts, params):
         for hashed in found:
-            used += np.add.reduceat((hashed < params.bins).astype(np.int64), starts)
+            used[numbers] += np.add.reduceat((hashed < params.bins).astype(np.int64), starts)
             for k, row in enumerate(model.log_probs):
-                evidence[k] += np.add.reduceat(row[hashed].astype(np.float64), starts)
-        scaled = evidence * np.minimum(1, params.score_grams / np.maximum(used, 1))
-        odds = np.exp(scaled - scaled.max(axis=0))
-        odds /= odds.sum(axis=0)
-        best = odds.argmax(axis=0)
-        for doc, k in enumerate(best.tolist()):
-            langs.append(model.languages[k] if used[doc] else "und")
-            scores.append(float(odds[k, doc]) if used[doc] else 0.0)
-    return langs, scores
+                evidence[k, numbers] += np.add.reduceat(row[hashed].astype(np.float64), starts)
+    if not len(texts):
+        return [], []
+    scaled = evidence * np.minimum(1, params.score_grams / np.maximum(used, 1))
+    odds = np.exp(scaled - scaled.max(axis=0))
+    odds /= odds.sum(axis=0)
+    best = evidence.argmax(axis=0)
+    langs = [model.languages[k] if n else "und" for k, n in zip(best.tolist(), used, strict=True)]
+    return langs, np.where(used > 0, odds[best, np.arange(len(texts))], 0.0).tolist()
 
 
 def identify(
