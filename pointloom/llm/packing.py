@@ -8,15 +8,19 @@ program prices new patterns, and the solution is rounded down; what the rounding
 leaves over is packed first-fit decreasing on the histogram.  Pieces are ranked
 within their length by Spark and take the places of the patterns by rank.
 
-Only the histogram (at most ``capacity / grain`` numbers) reaches the driver.
+Only the histogram (at most ``capacity / grain`` numbers) reaches the driver.  If
+the pivots run out before the linear program is solved, its solution so far is
+used; ``lp_gap`` says by what share it can exceed the optimum, 0 if it is solved.
 
-Cases: a null text counts as empty; an empty document is its end token alone;
+Cases: a null text counts as empty; an empty document is its end token alone; a
+very long text is cut into many pieces, its ids taking four bytes each in one task;
 repeated rows are separate documents; an empty table gives an empty result;
 columns other than the id and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from dataclasses import dataclass
 
@@ -31,6 +35,8 @@ from pointloom.llm.tokenize import tokenizer
 from pointloom.plans.numbering import number_within
 from pointloom.plans.scratch import written
 
+LOG = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class PackingParams:
@@ -38,7 +44,7 @@ class PackingParams:
     capacity: int = 2048
     grain: int = 8
     end_id: int = 1
-    #: Pivots of the linear program; its basis is feasible whenever it stops.
+    #: Pivots of the linear program; its basis is feasible whenever it stops, and ``lp_gap`` tells.
     most_pivots: int = 6000
 
 
@@ -144,14 +150,16 @@ def starting_basis(
 
 def generate_columns(
     size: np.ndarray, demand: np.ndarray, capacity: int, most_pivots: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Solve the cutting-stock linear program; return patterns (rows) and their use.
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Solve the cutting-stock linear program; return patterns (rows), their use and the gap.
 
     Revised simplex: the basis starts with patterns filled from the largest size
     down; the knapsack's pattern enters while its value at the current prices
-    exceeds one sequence.
+    exceeds one sequence.  Prices divided by the worth of the best pattern bound the
+    optimum from below, which gives the gap.
     """
     basis, inverse, use = starting_basis(size, demand, capacity)
+    worth = np.inf
     for _ in range(most_pivots):
         prices = np.maximum(inverse.sum(axis=0), 0)
         worth, column = knapsack(prices, size, capacity)
@@ -167,7 +175,9 @@ def generate_columns(
         row = inverse[leave] / entering[leave]
         inverse -= np.outer(entering, row)
         inverse[leave] = row
-    return basis.T.astype(int), use
+    else:
+        worth, _ = knapsack(np.maximum(inverse.sum(axis=0), 0), size, capacity)
+    return basis.T.astype(int), use, 0.0 if worth <= 1 + 1e-7 else float(worth - 1)
 
 
 def first_fit(size: np.ndarray, left: np.ndarray, capacity: int) -> list[np.ndarray]:
@@ -187,9 +197,9 @@ def first_fit(size: np.ndarray, left: np.ndarray, capacity: int) -> list[np.ndar
 
 def plan_patterns(
     size: np.ndarray, demand: np.ndarray, capacity: int, most_pivots: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Whole patterns and their copies that hold exactly ``demand`` pieces of each size."""
-    patterns, use = generate_columns(size, demand.astype(float), capacity, most_pivots)
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Whole patterns and their copies that hold exactly ``demand`` pieces of each size; the gap."""
+    patterns, use, gap = generate_columns(size, demand.astype(float), capacity, most_pivots)
     copies = np.floor(use + 1e-6).astype(np.int64)
     left = demand - copies @ patterns
     while (left < 0).any():  # a rounding error of the floor above
@@ -200,7 +210,7 @@ def plan_patterns(
     rest = first_fit(size, left, capacity)
     patterns = np.vstack([patterns, *rest]) if rest else patterns
     copies = np.concatenate([copies, np.ones(len(rest), np.int64)])
-    return patterns[copies > 0], copies[copies > 0]
+    return patterns[copies > 0], copies[copies > 0], gap
 
 
 def pack(
@@ -211,7 +221,7 @@ def pack(
 
     Sequences are numbered from 0 without gaps; offsets within a sequence are
     gapless from 0.  Returns id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset and, on request, the piece's ids.
+    sequence_id, offset, lp_gap and, on request, the piece's ids.
     """
     pieces = written(
         cut_documents(docs, params, id_col, text_col, with_ids).withColumn(
@@ -225,9 +235,11 @@ def pack(
     size = np.array(sorted(counts), dtype=np.int64)
     demand = np.array([counts[s] for s in size.tolist()], dtype=np.int64)
     if len(size):
-        patterns, copies = plan_patterns(size, demand, capacity, params.most_pivots)
+        patterns, copies, gap = plan_patterns(size, demand, capacity, params.most_pivots)
     else:
-        patterns, copies = np.zeros((0, 0), np.int64), np.zeros(0, np.int64)
+        patterns, copies, gap = np.zeros((0, 0), np.int64), np.zeros(0, np.int64), 0.0
+    if gap:
+        LOG.warning("the linear program stopped after %d pivots, at most %.3g above its optimum", params.most_pivots, gap)
     # places of each size: from which rank on a pattern holds it, and where its sequences begin
     first = np.concatenate([[0], np.cumsum(copies)])[:-1] + full
     places = {}
@@ -260,7 +272,8 @@ def pack(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     out = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    out = out.withColumn("lp_gap", F.lit(gap))
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "lp_gap"]
     return out.select(*names, *(["ids"] if with_ids else []))
 
 

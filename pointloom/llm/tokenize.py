@@ -1,15 +1,17 @@
 """Token ids of whole texts by a public tokenizer file, inside Arrow batches.
 
 The words of a corpus repeat, so ids are remembered by word: a text of plain
-letters, digits and punctuation is split by the tokenizer's own word pattern and
-its words are looked up; only unseen words reach the merge table.  A text with
-anything else in it (control characters, combining marks, other scripts, strings
-of special tokens) goes through ``Tokenizer.encode`` as a whole.  Both ways give
-the same ids; the tests compare them.
+letters, digits and punctuation is split into words and these are looked up; only
+unseen words reach the merge table.  That is right only for a file whose settings
+are ``SETTINGS``; they are read from the file.  Any text of another file, and a
+text with anything else in it (control characters, combining marks, other scripts,
+strings of special tokens), goes through ``Tokenizer.encode`` as a whole.  Both
+ways give the same ids; the tests compare them.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -19,10 +21,48 @@ import numpy as np
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: Characters on which ``re``, ``str.lower`` and the tokenizer agree.
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-įĲ-ž‐-―‘-‟€]*"
+#: The settings of a file whose words may be remembered.
+SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
 #: Words kept in memory by one Python worker.
 MOST_WORDS = 400_000
 
 
+def words_are_known(path: str) -> bool:
+    """Whether the file has the settings for which words can be split here and remembered."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    return (
+        all(found.get(k) == v for k, v in SETTINGS.items())
+        and all(found["model"].get(k) == v for k, v in MODEL.items())
+        and all(t["content"].startswith("<|") for t in found["added_tokens"])
+    )
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -34,7 +74,7 @@ def byte_letters() -> list[str]:
 
 
 class WordTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes for a tokenizer file with word ends."""
+    """Ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,6 +82,7 @@ class WordTokenizer:
         self.path = path
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.remembers = words_are_known(path)
         self.find = re.compile(WORDS).findall
         self.plain = re.compile(PLAIN).fullmatch
         self.letters = byte_letters()
@@ -56,7 +97,7 @@ class WordTokenizer:
             self.known[word] = np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not self.plain(text) or "<|" in text:
+        if not self.remembers or not self.plain(text) or "<|" in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.find(text.lower())
         try:

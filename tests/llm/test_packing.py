@@ -77,7 +77,8 @@ def test_plan_is_near_the_bound_of_the_linear_program():
     size = np.arange(1, 256)
     demand = draw.integers(0, 60, len(size))
     size, demand = size[demand > 0], demand[demand > 0]
-    patterns, copies = packing.plan_patterns(size, demand, 256, 6000)
+    patterns, copies, gap = packing.plan_patterns(size, demand, 256, 6000)
+    assert gap == 0
     assert (copies @ patterns == demand).all()
     assert (patterns @ size <= 256).all()
     assert copies.sum() <= np.ceil(size @ demand / 256) * 1.02 + 1
@@ -98,3 +99,23 @@ def test_starting_basis_is_inverted():
     basis, inverse, use = packing.starting_basis(size, demand, 256)
     assert np.allclose(basis @ inverse, np.eye(90)) and np.allclose(basis @ use, demand)
     assert (use >= 0).all() and (size @ basis <= 256).all()
+
+
+def test_stopped_program_tells_its_gap(spark):
+    draw = np.random.default_rng(4)
+    size, demand = np.arange(20, 100), draw.integers(1, 90, 80)
+    _, best, solved = packing.generate_columns(size, demand.astype(float), 256, 6000)
+    _, use, gap = packing.generate_columns(size, demand.astype(float), 256, 4)
+    assert solved == 0 < gap
+    assert best.sum() <= use.sum() <= best.sum() * (1 + gap)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = packing.pack(docs, packing.PackingParams(PATH, most_pivots=1)).collect()
+    assert {r["lp_gap"] > 0 for r in rows} == {True}
+    check(rows, [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("text", ["it's WE'LL x_1", "two  spaces\nand a line", "naïve café", ""])
+def test_other_tokenizer_files_are_used_as_a_whole(text):
+    path = packing.public_path("byte_bpe_50k.json")
+    got = np.frombuffer(WordTokenizer(path).ids(text), "<u4").tolist()
+    assert got == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
