@@ -10,14 +10,17 @@ the targets of the others rise evenly; how far this moves the targets is logged.
 
 Only the cells take part in the fitting: documents are summed once, with
 map-side aggregation, so a hot source is one row for each language and topic.
-There may be any number of sources: their cells stay a distributed table, with
-the tokens of a source in one row, and each round is one aggregation of it.
-Languages without a target are raked together as ``*`` and topics are a fixed
-list, so the part that the driver holds (languages x topics) is bounded.
+There may be any number of sources, languages and topics, each with a target of
+its own.  Cells of a bounded number (``most_local_cells``) are fitted in memory,
+more of them as a distributed table, one aggregation and one join a step.  A fit
+that does not reach its tolerance in ``most_rounds`` is returned with its error,
+which ``mix`` puts beside each row and logs.
 
 Cases: a null source or language is a category ``""``; a null text has no tokens
-and lies in topic ``prose``; a cell without tokens keeps factor 1; repeated rows
-are drawn alike (the draw hashes id and seed); an empty table gives an empty result.
+and lies in topic ``prose``; a category without tokens keeps factor 1; a very long
+text is one row, searched whole; repeated rows are drawn alike (the draw hashes
+id, text and seed); columns with names of the operator's own (``_m_*``) are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.functions.lets import let
-from pointloom.plans.joins import broadcast_if_small
+from pointloom.plans.joins import join_sized
 from pointloom.plans.scratch import drop, written
 
 LOG = logging.getLogger(__name__)
@@ -65,7 +70,6 @@ TOPICS = (
     Topic("question", ("?",)),
 )
 OTHER_TOPIC = "prose"
-REST = "*"
 #: Probabilities from here on count as 1.
 BOUND = 1 - 1e-12
 
@@ -79,11 +83,11 @@ class MixParams:
     #: Given targets take the place of flattened shares: category -> weight.
     lang_targets: dict[str, float] | None = None
     topic_targets: dict[str, float] | None = None
-    #: Languages with a target of their own, by tokens; the others are ``*``.
-    most_languages: int = 256
     #: Expected share of all tokens in the sample.
     token_share: float = 0.7
-    most_rounds: int = 60
+    most_rounds: int = 300
+    #: Cells that are fitted in the driver's memory; more are fitted by Spark jobs.
+    most_local_cells: int = 100_000
     tolerance: float = 1e-6
     seed: int = 17
     topics: tuple[Topic, ...] = TOPICS
@@ -109,34 +113,58 @@ def tokens_of(text: Column) -> Column:
 
 
 def with_cells(
-    docs: DataFrame, params: MixParams, text_col: str = "text", source_col: str = "source",
-    lang_col: str = "lang",
+    docs: DataFrame, params: MixParams, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None,
 ) -> DataFrame:
-    """``docs`` without its text, source and language, but with the cell and tokens of each row."""
+    """``docs`` without its text, source, language and topic, but with the cell, tokens and draw of each row.
+
+    The topic is that of ``topic_col`` (a classifier's output, say) or else the
+    first of ``topics`` found in the text.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    draw = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(params.seed)), F.lit(1 << 52)) / float(1 << 52)
+    topic = topic_of(text, params) if topic_col is None else F.coalesce(F.col(topic_col).cast("string"), F.lit(""))
     return docs.withColumns(
         {
             "_m_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
             "_m_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
-            "_m_topic": topic_of(text, params),
+            "_m_topic": topic,
             "_m_tokens": tokens_of(text),
+            "_m_draw": draw,
         }
-    ).drop(text_col, source_col, lang_col)
+    ).drop(text_col, source_col, lang_col, *([topic_col] if topic_col else []))
 
 
-def flattened(totals: dict[str, float], power: float, given: dict[str, float] | None) -> dict[str, float]:
-    """Target shares of categories that have tokens."""
-    weights = {k: (given.get(k, 0.0) if given else v**power) for k, v in totals.items() if v > 0}
-    total = sum(weights.values())
-    return {k: v / total for k, v in weights.items()} if total else {}
+@dataclass(frozen=True)
+class Raked:
+    #: The cells with ``factor``, under the bound a probability.
+    cells: DataFrame
+    rounds: int
+    #: The largest distance of a category from its target, as a share of all tokens.
+    error: float
+    converged: bool
+    #: Total variation between wanted and reachable targets of each axis.
+    moved: dict[str, float] = field(default_factory=dict)
+
+
+AXES = ("source", "lang", "topic")
+
 
+def weight_of(axis: str, params: MixParams) -> tuple[float, dict[str, float] | None]:
+    """The power that flattens shares, and given targets in its place."""
+    return {
+        "source": (params.source_power, None),
+        "lang": (params.lang_power, params.lang_targets),
+        "topic": (params.topic_power, params.topic_targets),
+    }[axis]
 
-def reachable(goal: np.ndarray, held: np.ndarray, total: float) -> np.ndarray:
-    """``goal`` scaled to the sum ``total`` with no more than ``held`` in any category."""
-    out = np.zeros(len(goal))
-    free = goal > 0
+
+def reachable(weight: np.ndarray, held: np.ndarray, total: float) -> np.ndarray:
+    """``weight`` scaled to the sum ``total`` with no more than ``held`` in any category."""
+    out = np.zeros(len(weight))
+    free = weight > 0
     while free.any():
-        out[free] = goal[free] * max(0.0, total - out[~free].sum()) / goal[free].sum()
+        out[free] = weight[free] * max(0.0, total - out[~free].sum()) / weight[free].sum()
         over = free & (out > held)
         if not over.any():
             break
@@ -145,149 +173,120 @@ def reachable(goal: np.ndarray, held: np.ndarray, total: float) -> np.ndarray:
     return out
 
 
-def apart(a: np.ndarray, b: np.ndarray) -> float:
-    """Total variation between two tables of weights."""
-    return float(np.abs(a / (a.sum() or 1) - b / (b.sum() or 1)).sum() / 2)
-
-
-@dataclass(frozen=True)
-class Raked:
-    cells: DataFrame  # source, lang, topic, tokens, factor
-    rounds: int
-    error: float
-    #: Total variation between wanted and reachable targets of each axis.
-    moved: dict[str, float] = field(default_factory=dict)
+def axis_goals(cells: DataFrame, params: MixParams, bounded: bool, all_tokens: float) -> tuple[dict[str, DataFrame], dict[str, float]]:
+    """(category, goal) tables of each axis, in tokens, and how far the bound moved the targets."""
+    kept = min(1.0, params.token_share) * all_tokens if bounded else all_tokens
+    goals, moved = {}, {}
+    for axis in AXES:
+        power, given = weight_of(axis, params)
+        weight = F.pow("tokens", F.lit(power))
+        if given:
+            known = F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, float(v))])
+            weight = F.coalesce(F.element_at(known, F.col(axis)), F.lit(0.0))
+        totals = cells.groupBy(axis).agg(F.sum("tokens").alias("tokens"))
+        table = written(totals.withColumn("weight", F.when(F.col("tokens") > 0, weight).otherwise(0.0)), "goals")
+        sums = table.agg(F.sum("weight").alias("w"), F.sum(F.when(F.col("weight") > 0, F.col("tokens"))).alias("n")).first()
+        wanted = all_tokens * F.col("weight") / (sums["w"] or 1.0)
+        goal = wanted
+        if bounded and sums["w"]:
+            rise = table.select("tokens", (F.col("weight") / F.col("tokens")).alias("factor")).where("factor > 0")
+            level = scale_to(rise, min(1.0, kept / sums["n"]))
+            goal = F.least(F.col("tokens"), F.when(F.col("weight") > 0, F.col("weight") * level).otherwise(0.0))
+            away = F.abs(wanted / all_tokens - goal / kept) / 2
+            moved[axis] = table.agg(F.sum(away)).first()[0]
+        goals[axis] = table.select(axis, goal.cast("double").alias("goal"))
+    return goals, moved
 
 
 def rake(cells: DataFrame, params: MixParams, bounded: bool = False) -> Raked:
-    """Factors of all cells (source, lang, topic, tokens) by iterative proportional fitting.
+    """Factors of all cells (source, lang, topic, tokens, ...) by iterative proportional fitting.
 
-    Sources are fitted first in each round, row by row; the languages and topics
-    then follow from the summed language x topic matrix.  If ``bounded``, factors
-    are probabilities: 1 at most, and targets are for ``token_share`` of all tokens.
+    Each round fits the sources, the languages and the topics once.  If
+    ``bounded``, factors are probabilities: 1 at most, and targets are for
+    ``token_share`` of all tokens.  Up to ``most_local_cells`` cells are fitted in
+    the driver's memory, more by Spark jobs; both follow the same steps.
     """
-    spark = cells.sparkSession
-    totals = cells.groupBy("lang").agg(F.sum("tokens").alias("n"))
-    top = totals.orderBy(F.desc("n"), "lang").limit(params.most_languages).collect()
-    langs = [r["lang"] for r in top]
-    topics = topic_names(params)
-    # at most ``most_languages`` rows
-    named = F.broadcast(spark.createDataFrame([(x,) for x in langs], "lang string").withColumn("own", F.lit(1)))
-    grouped = cells.join(named, "lang", "left").withColumn(
-        "_lang", F.when(F.col("own") == 1, F.col("lang")).otherwise(REST)
-    )
-    pairs = [(x, t) for x in [*langs, REST] for t in topics]
-    place = F.create_map(*[F.lit(v) for k, p in enumerate(pairs) for v in (f"{p[1]}\n{p[0]}", k)])
-    slots = F.collect_list(F.struct(F.element_at(place, F.concat_ws("\n", "topic", "_lang")), "tokens"))
-    merged = grouped.groupBy("source", "topic", "_lang").agg(F.sum("tokens").alias("tokens"))
-    rows = written(
-        merged.groupBy("source").agg(F.map_from_entries(slots).alias("n"), F.sum("tokens").alias("tokens")),
-        "sources",
-    )
-    all_tokens = rows.agg(F.sum("tokens")).first()[0] or 0
-    shape = (len(langs) + 1, len(topics))
-    power_sum = rows.where("tokens > 0").agg(F.sum(F.pow("tokens", F.lit(params.source_power)))).first()[0] or 1.0
-    wanted = all_tokens * F.pow("tokens", F.lit(params.source_power)) / power_sum
-    moved = {}
-    kept_tokens = min(1.0, params.token_share) * all_tokens if bounded else all_tokens
-    if bounded and all_tokens:
-        rise = F.pow("tokens", F.lit(params.source_power - 1))
-        level = scale_to(rows.withColumn("factor", rise), params.token_share)
-        held_to = F.col("tokens") * F.least(F.lit(1.0), rise * level)
-        away = F.abs(wanted / all_tokens - held_to / kept_tokens) / 2
-        moved["source"] = rows.where("tokens > 0").agg(F.sum(away)).first()[0]
-        wanted = held_to
-    sums = rows.select(F.explode("n")).groupBy("key").agg(F.sum("value").alias("v")).collect()
-    seen = np.zeros(len(pairs))
-    for r in sums:
-        seen[r["key"]] = r["v"]
-    seen = seen.reshape(shape)
-    lang_goal = flattened(dict(zip([*langs, REST], seen.sum(1), strict=True)), params.lang_power, params.lang_targets)
-    topic_goal = flattened(dict(zip(topics, seen.sum(0), strict=True)), params.topic_power, params.topic_targets)
-    goal_l = np.array([lang_goal.get(x, 0.0) for x in [*langs, REST]]) * all_tokens
-    goal_t = np.array([topic_goal.get(x, 0.0) for x in topics]) * all_tokens
-    if bounded:
-        own_l, own_t = goal_l, goal_t
-        goal_l, goal_t = reachable(own_l, seen.sum(1), kept_tokens), reachable(own_t, seen.sum(0), kept_tokens)
-        moved |= {"lang": apart(own_l, goal_l), "topic": apart(own_t, goal_t)}
-    f_lang, f_topic = np.ones(shape[0]), np.ones(shape[1])
-
-    def source_factor(weights: np.ndarray) -> Column:
-        factors = F.array(*map(F.lit, weights.reshape(-1).tolist()))
-        fitted = F.aggregate(
-            F.map_entries("n"),
-            F.lit(0.0),
-            lambda acc, e: acc + e["value"] * F.get(factors, e["key"]),
-        )
-        if not bounded:
-            return F.when(fitted > 0, wanted / fitted).otherwise(F.lit(1.0))
-
-        def again(acc: Column, _: Column) -> Column:
-            """The factor that suits the cells below the bound, those at it being fixed."""
-
-            def free(e: Column) -> Column:
-                return acc["f"] * F.get(factors, e["key"]) < BOUND
-
-            parts = F.aggregate(
-                F.map_entries("n"),
-                F.struct(F.lit(0.0).alias("free"), F.lit(0.0).alias("held")),
-                lambda x, e: F.struct(
-                    (x["free"] + F.when(free(e), e["value"] * F.get(factors, e["key"])).otherwise(0.0)).alias("free"),
-                    (x["held"] + F.when(free(e), 0.0).otherwise(e["value"].cast("double"))).alias("held"),
-                ),
-            )
-            better = let(parts, lambda x: F.when(x["free"] > 0, F.greatest(acc["f"], (wanted - x["held"]) / x["free"])).otherwise(acc["f"]))
-            new = let(better, lambda f: F.struct(f.alias("f"), (f <= acc["f"]).alias("done")))
-            return F.when(acc["done"], acc).otherwise(new)
+    few = cells.limit(params.most_local_cells + 1).count() <= params.most_local_cells
+    fitted, rounds, error, moved = (_fit_local if few else _fit_distributed)(cells, params, bounded)
+    converged = error < params.tolerance
+    if not converged or max(moved.values(), default=0.0) >= params.tolerance:
+        LOG.warning("targets moved by %s (total variation); categories are off by %.3g of all tokens", moved, error)
+    return Raked(fitted, rounds, error, converged, moved)
+
+
+def _fit_local(cells: DataFrame, params: MixParams, bounded: bool):
+    """Fit cells of a bounded number in memory."""
+    table = cells.toPandas()
+    tokens = table["tokens"].to_numpy(float)
+    all_tokens = tokens.sum()
+    kept = min(1.0, params.token_share) * all_tokens
+    codes, wanted, moved = [], [], {}
+    for axis in AXES:
+        code, names = pd.factorize(table[axis])
+        held = np.bincount(code, tokens, len(names))
+        power, given = weight_of(axis, params)
+        weight = np.array([given.get(x, 0.0) for x in names]) if given else held**power
+        weight = np.where(held > 0, weight, 0.0)
+        goal = weight * all_tokens / (weight.sum() or 1.0)
+        if bounded:
+            own, goal = goal, reachable(weight, held, kept)
+            moved[axis] = float(np.abs(own / (all_tokens or 1) - goal / (kept or 1)).sum() / 2)
+        codes.append(code)
+        wanted.append(goal)
+    factors = [np.ones(len(goal)) for goal in wanted]
+    rounds, error = 0, 0.0
+    while all_tokens and rounds < params.most_rounds:
+        rounds, error = rounds + 1, 0.0
+        for k in range(len(AXES)):
+            others = np.prod([factors[j][codes[j]] for j in range(len(AXES)) if j != k], axis=0)
+            free = factors[k][codes[k]] * others < BOUND if bounded else np.ones(len(tokens), bool)
+            rate = np.bincount(codes[k], tokens * others * free, len(wanted[k]))
+            held = np.bincount(codes[k], tokens * ~free, len(wanted[k]))
+            error = max(error, np.abs(factors[k] * rate + held - wanted[k]).max() / all_tokens)
+            factors[k] = _refitted(factors[k], rate, held, wanted[k])
+        if error < params.tolerance:
+            break
+    factor = np.prod([f[c] for f, c in zip(factors, codes, strict=True)], axis=0)
+    table["factor"] = np.minimum(1.0, factor) if bounded else factor
+    kind = T.StructType([*cells.schema.fields, T.StructField("factor", T.DoubleType())])
+    return written(cells.sparkSession.createDataFrame(table, kind), "raked"), rounds, float(error), moved
 
-        first = F.struct((wanted / fitted).alias("f"), F.lit(False).alias("done"))
-        steps = F.sequence(F.lit(1), F.lit(min(len(pairs), 64)))
-        return F.when(fitted > 0, F.aggregate(steps, first, again, lambda acc: acc["f"])).otherwise(F.lit(params.token_share))
 
+def _fit_distributed(cells: DataFrame, params: MixParams, bounded: bool):
+    """Fit any number of cells: a step sums the cells by category and writes them with the new factors."""
+    all_tokens = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    goals, moved = axis_goals(cells, params, bounded, all_tokens)
+    state = written(cells.withColumns({f"f_{axis}": F.lit(1.0) for axis in AXES}), "state")
     rounds, error = 0, 0.0
-    for rounds in range(1, params.most_rounds + 1):
-        if not all_tokens:
-            break
-        scaled = rows.withColumn("f", source_factor(np.outer(f_lang, f_topic)))
-        matrix, held = np.zeros(len(pairs)), np.zeros(len(pairs))
-        weights = F.array(*map(F.lit, np.outer(f_lang, f_topic).reshape(-1).tolist()))
-        free = F.col("f") * F.get(weights, F.col("key")) < BOUND if bounded else F.lit(True)
-        for r in (
-            scaled.select("f", F.explode("n").alias("key", "value"))
-            .groupBy("key")
-            .agg(
-                F.sum(F.when(free, F.col("f") * F.col("value")).otherwise(0.0)).alias("v"),
-                F.sum(F.when(free, 0).otherwise(F.col("value"))).alias("held"),
+    while all_tokens and rounds < params.most_rounds:
+        rounds, error = rounds + 1, 0.0
+        for axis in AXES:
+            others = reduce(lambda a, b: a * b, [F.col(f"f_{x}") for x in AXES if x != axis])
+            free = F.col(f"f_{axis}") * others < BOUND if bounded else F.lit(True)
+            sums = state.groupBy(axis).agg(
+                F.first(f"f_{axis}").alias("f"),
+                F.sum(F.when(free, F.col("tokens") * others).otherwise(0.0)).alias("rate"),
+                F.sum(F.when(free, 0.0).otherwise(F.col("tokens").cast("double"))).alias("held"),
+                F.count("*").alias("n"),
             )
-            .collect()
-        ):
-            matrix[r["key"]], held[r["key"]] = r["v"], r["held"]
-        matrix, held = matrix.reshape(shape), held.reshape(shape)
-        # margins as the sources' fit left them: what this round still has to move
-        now_l = f_lang * (matrix @ f_topic) + held.sum(1)
-        now_t = f_topic * (f_lang @ matrix) + held.sum(0)
-        error = float(max(np.abs(now_l - goal_l).max(), np.abs(now_t - goal_t).max()) / all_tokens)
+            off = F.abs(F.col("f") * F.col("rate") + F.col("held") - F.col("goal")) / all_tokens
+            whole = F.try_divide(F.col("f") * F.col("goal"), F.col("f") * F.col("rate") + F.col("held"))
+            exact = F.try_divide(F.col("goal") - F.col("held"), F.col("rate"))
+            at_bound = (F.col("held") > 0) & ((F.col("held") >= F.col("goal")) | (F.col("rate") <= 0))
+            new = F.coalesce(F.when(at_bound, whole).otherwise(exact), F.lit(1.0))
+            new = F.greatest(F.lit(0.0), F.least(F.lit(1e9), new))
+            step = written(sums.join(goals[axis], axis).select(axis, "n", off.alias("off"), new.alias("new")), "step")
+            error = max(error, step.agg(F.max("off")).first()[0] or 0.0)
+            fitted = join_sized(state, step.drop("off"), axis, "n").withColumn(f"f_{axis}", F.col("new"))
+            after = written(fitted.select(*state.columns), "state")
+            drop(state)
+            drop(step)
+            state = after
         if error < params.tolerance:
             break
-        f_lang = _refitted(f_lang, matrix @ f_topic, held.sum(1), goal_l)
-        f_topic = _refitted(f_topic, f_lang @ matrix, held.sum(0), goal_t)
-    fitted = rows.withColumn("f", source_factor(np.outer(f_lang, f_topic))).select("source", "f")
-    lang_f = F.create_map(*[F.lit(v) for p in zip([*langs, REST], f_lang.tolist(), strict=True) for v in p])
-    topic_f = F.create_map(*[F.lit(v) for p in zip(topics, f_topic.tolist(), strict=True) for v in p])
-    raked = grouped.join(fitted, "source").select(
-        "source",
-        "lang",
-        "topic",
-        "tokens",
-        (F.col("f") * F.element_at(lang_f, F.col("_lang")) * F.element_at(topic_f, F.col("topic"))).alias("factor"),
-    )
-    if bounded:
-        raked = raked.withColumn("factor", F.least(F.lit(1.0), "factor"))
-    out = written(raked, "raked")
-    drop(rows)
-    if bounded and (error >= params.tolerance or max(moved.values(), default=0.0) >= params.tolerance):
-        LOG.warning("targets moved by %s (total variation); languages or topics are off by %.3g of all tokens", moved, error)
-    return Raked(out, rounds, error, moved)
+    factor = reduce(lambda a, b: a * b, [F.col(f"f_{x}") for x in AXES])
+    factor = F.least(F.lit(1.0), factor) if bounded else factor
+    return state.select(*cells.columns, factor.alias("factor")), rounds, float(error), moved
 
 
 def _refitted(factor: np.ndarray, rate: np.ndarray, held: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -323,29 +322,34 @@ def scale_to(cells: DataFrame, share: float) -> float:
 
 def mix(
     docs: DataFrame, params: MixParams, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", lang_col: str = "lang",
+    source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None,
 ) -> DataFrame:
-    """``docs`` with its cell's columns, ``_m_factor``, ``_m_probability`` and ``_m_kept``.
+    """``docs`` with its cell's columns, ``_m_factor``, ``_m_probability``, ``_m_fit_error`` and ``_m_kept``.
 
     Text, source and language are left out; a caller that wants them back carries
     them in another column.  The marked rows are written, so that each text is
-    searched once.  The factor is the probability over the wanted share.
+    searched once.  The factor is the probability over the wanted share;
+    ``_m_fit_error`` is the fit's distance from its targets as a share of all
+    tokens, ``tolerance`` or more where the rounds did not suffice.
     """
-    marked = written(with_cells(docs, params, text_col, source_col, lang_col), "marked")
+    marked = written(with_cells(docs, params, id_col, text_col, source_col, lang_col, topic_col), "marked")
+    names = ["_m_source", "_m_lang", "_m_topic"]
     cells = written(
-        marked.groupBy(
-            F.col("_m_source").alias("source"), F.col("_m_lang").alias("lang"), F.col("_m_topic").alias("topic")
-        ).agg(F.sum("_m_tokens").alias("tokens")),
+        marked.groupBy(*[F.col(c).alias(c.removeprefix("_m_")) for c in names]).agg(
+            F.sum("_m_tokens").alias("tokens"), F.count("*").alias("docs")
+        ),
         "cells",
     )
-    raked = rake(cells, params, bounded=True).cells
-    chances = raked.select(
-        F.col("source").alias("_m_source"),
-        F.col("lang").alias("_m_lang"),
-        F.col("topic").alias("_m_topic"),
+    raked = rake(cells, params, bounded=True)
+    chances = raked.cells.select(
+        F.struct(*[F.col(axis).alias(f"_m_{axis}") for axis in AXES]).alias("_m_cell"),
         (F.col("factor") / params.token_share).alias("_m_factor"),
         F.col("factor").alias("_m_probability"),
+        "docs",
+    )
+    rows = marked.withColumn("_m_cell", F.struct(*names))
+    return (
+        join_sized(rows, chances, "_m_cell", "docs")
+        .withColumns({"_m_fit_error": F.lit(raked.error), "_m_kept": F.col("_m_draw") < F.col("_m_probability")})
+        .drop("docs", "_m_cell", "_m_draw")
     )
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(params.seed)), F.lit(1 << 52)) / float(1 << 52)
-    joined = marked.join(broadcast_if_small(chances), ["_m_source", "_m_lang", "_m_topic"], "left")
-    return joined.withColumn("_m_kept", draw < F.col("_m_probability"))

@@ -41,6 +41,71 @@ def test_fitted_cells_equal_brute_force(spark):
         assert r["tokens"] * r["factor"] == pytest.approx(wanted[r["source"], r["lang"], r["topic"]], rel=1e-4)
 
 
+def test_many_languages_have_targets_of_their_own(spark):
+    params = mixing.MixParams(tolerance=1e-9, most_rounds=400)
+    cells = [
+        (f"s{i}", "*" if j == 7 else f"l{j}", t, 1 + (i * 37 + j * 11 + k * 5) % 90 + 500 * (j == 0))
+        for i in range(3) for j in range(400) for k, t in enumerate(("prose", "list")) if (i + j) % 5
+    ]
+    raked = mixing.rake(spark.createDataFrame(cells, KIND), params)
+    assert raked.converged
+    wanted = brute(cells, params)
+    for r in raked.cells.collect():
+        assert r["tokens"] * r["factor"] == pytest.approx(wanted[r["source"], r["lang"], r["topic"]], rel=1e-4)
+
+
+def test_fitting_by_spark_jobs_takes_the_same_steps(spark):
+    cells = [
+        (f"s{i}", f"l{j}", t, 10 + (i * 37 + j * 11 + k * 5) % 90 + 900 * (i == 0))
+        for i in range(5) for j in range(3) for k, t in enumerate(("prose", "list"))
+    ]
+    found = []
+    for most in (1000, 0):
+        params = mixing.MixParams(most_rounds=2, most_local_cells=most)
+        raked = mixing.rake(spark.createDataFrame(cells, KIND), params, bounded=True)
+        found.append((raked.rounds, {(r[0], r[1], r[2]): r["factor"] for r in raked.cells.collect()}, raked.error))
+    assert found[0][0] == found[1][0] and found[0][2] == pytest.approx(found[1][2], rel=1e-3)
+    assert found[0][1] == pytest.approx(found[1][1], rel=1e-4)
+
+
+def test_a_fit_that_does_not_converge_says_so(spark):
+    """Each source has a language of its own, so both targets cannot hold."""
+    cells = spark.createDataFrame([("a", "x", "prose", 100), ("b", "y", "prose", 900)], KIND)
+    raked = mixing.rake(cells, mixing.MixParams(most_rounds=20))
+    assert not raked.converged and raked.error > 0.01 and raked.rounds == 20
+    docs = spark.createDataFrame(
+        [(k, "w " * 100 if k < 9 else "w " * 500, "a" if k < 9 else "b", "x" if k < 9 else "y") for k in range(12)],
+        "doc_id long, text string, source string, lang string",
+    )
+    params = mixing.MixParams(most_rounds=20, lang_targets={"x": 1.0, "y": 9.0})
+    assert all(r["_m_fit_error"] > params.tolerance for r in mixing.mix(docs, params).collect())
+
+
+def test_given_topics_and_targets(spark):
+    docs = spark.createDataFrame(
+        [(k, "w " * 10, "a", f"l{k % 2}", f"t{k % 3}") for k in range(600)],
+        "doc_id long, text string, source string, lang string, kind string",
+    )
+    params = mixing.MixParams(lang_targets={"l0": 3.0, "l1": 1.0, "absent": 5.0}, token_share=0.5)
+    out = mixing.mix(docs, params, topic_col="kind").collect()
+    assert {r["_m_topic"] for r in out} == {"t0", "t1", "t2"}
+    chance = {lang: sum(r["_m_probability"] for r in out if r["_m_lang"] == lang) for lang in ("l0", "l1")}
+    assert chance["l0"] == pytest.approx(225, rel=1e-3) and chance["l1"] == pytest.approx(75, rel=1e-3)
+
+
+def test_draws_equal_brute_force(spark):
+    """Each row is kept if its own hash, as a share of 2**52, is below its cell's probability."""
+    docs = odd.table(spark)
+    params = mixing.MixParams(token_share=0.4)
+    out = mixing.mix(docs.withColumn("_of", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(params.seed))), params)
+    seen = set()
+    for r in out.collect():
+        assert r["_m_kept"] == ((r["_of"] % (1 << 52)) / (1 << 52) < r["_m_probability"])
+        if r["doc_id"] is None:
+            seen.add(r["_of"])
+    assert len(seen) == 2  # rows without an id are drawn apart
+
+
 def test_sample_has_the_wanted_share(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     params = mixing.MixParams()
