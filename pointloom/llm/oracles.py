@@ -39,16 +39,15 @@ def op4() -> str:
         f"length({RAW if k == 0 else f't{k}'}) - length(t{k + 1}) AS {names[k]}"
         for k in range(len(rules.CLASSES))
     ] + [f"length(t{len(rules.CLASSES)}) AS c_other"]
-    lists = " ".join(
-        f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in sorted(rules.COMMON_WORDS.items())
-    )
     bins = [f"coalesce(len(list_filter(lw, lambda w: w = common[{k + 1}])), 0) AS w{k}" for k in range(rules.BINS)]
     words = [f"w{k}" for k in range(rules.BINS + 1)]
     rest = " + ".join(f"w{k}" for k in range(rules.BINS))
 
-    def shares(cols: list[str]) -> str:
-        total = " + ".join(f"sum({c})" for c in cols)
-        return ", ".join(f"sum({c}) / nullif({total}, 0)::DOUBLE AS q_{c}" for c in cols)
+    def shares(cols: list[str], total: str, least: int) -> str:
+        used = f"FILTER (NOT failed AND {total} >= {least})"
+        return ", ".join(
+            f"CASE WHEN count(*) {used} >= {p.least_docs} THEN avg({c} / {total}::DOUBLE) {used} END AS q_{c}" for c in cols
+        )
 
     def distance(cols: list[str], total: str) -> str:
         parts = []
@@ -63,18 +62,22 @@ WITH docs AS (SELECT doc_id, text, coalesce(lang, '') AS lg FROM documents),
 classed AS (SELECT *, {', '.join(counts)}, length(coalesce(text, '')) AS n_all,
     list_filter(string_split_regex(coalesce(text, ''), '{rules.SPACE}'), lambda x: x <> '') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM {layers}),
-listed AS (SELECT *, len(ws) AS n, list_transform(ws, lambda x: lower(x)) AS lw, CASE lg {lists} END AS common FROM classed),
-binned AS (SELECT *, {', '.join(bins)} FROM listed),
+listed AS (SELECT *, len(ws) AS n, list_transform(ws, lambda x: lower(x)) AS lw FROM classed),
+df AS (SELECT lg, w, count(*) AS c FROM (SELECT lg, unnest(list_distinct(lw)) AS w FROM listed WHERE n >= {p.least_words}) GROUP BY lg, w),
+top AS (SELECT lg, w, row_number() OVER (PARTITION BY lg ORDER BY c DESC, w) AS place FROM df QUALIFY place <= {rules.BINS}),
+words AS (SELECT lg, list(w ORDER BY place) AS common FROM top GROUP BY lg),
+binned AS (SELECT *, {', '.join(bins)} FROM listed LEFT JOIN words USING (lg)),
 hist AS (SELECT *, n - ({rest}) AS w{rules.BINS} FROM binned),
 grams AS (SELECT doc_id, i, array_to_string(ws[i:i + {p.window - 1}], ' ') AS gram FROM hist, unnest(range(1, n - {p.window - 2})) u(i) WHERE n >= {p.window}),
 twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
 covered AS (SELECT doc_id, count(DISTINCT k) AS r FROM twice, unnest(range(i, i + {p.window})) v(k) GROUP BY doc_id),
-refs AS (SELECT lg, {shares(names)}, {shares(words)} FROM hist WHERE n >= {p.least_words} GROUP BY lg),
-measured AS (SELECT hist.*, coalesce(r, 0) AS rep, refs.* EXCLUDE (lg),
-    CASE WHEN n_all >= {p.least_chars} THEN {distance(names, 'n_all')} END AS cd,
-    CASE WHEN n >= {p.least_common_words} THEN {distance(words, 'n')} END AS wd
-  FROM hist LEFT JOIN covered USING (doc_id) LEFT JOIN refs USING (lg)),
-verdict AS (SELECT *, n < {p.least_words} OR 100 * rep > {p.most_repeat_percent} * n AS failed, {p.slack}::DOUBLE / sqrt(greatest(n, 1)) AS noise FROM measured)
+based AS (SELECT hist.*, coalesce(r, 0) AS rep, n < {p.least_words} OR 100 * coalesce(r, 0) > {p.most_repeat_percent} * n AS failed
+  FROM hist LEFT JOIN covered USING (doc_id)),
+refs AS (SELECT lg, {shares(names, 'n_all', p.least_chars)}, {shares(words, 'n', p.least_common_words)} FROM based GROUP BY lg),
+verdict AS (SELECT based.*, {p.slack}::DOUBLE / sqrt(greatest(n, 1)) AS noise,
+    CASE WHEN n_all >= {p.least_chars} AND q_{names[0]} IS NOT NULL THEN {distance(names, 'n_all')} END AS cd,
+    CASE WHEN n >= {p.least_common_words} AND q_w0 IS NOT NULL THEN {distance(words, 'n')} END AS wd
+  FROM based LEFT JOIN refs USING (lg))
 SELECT doc_id, n::BIGINT AS n_words, (n_all - c_space)::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, failed AS base_failed,
   NOT failed AND coalesce(cd, 0) <= {p.char_base}::DOUBLE + noise AND coalesce(wd, 0) <= {p.word_base}::DOUBLE + noise AS kept,

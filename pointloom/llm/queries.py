@@ -40,6 +40,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("_m_factor", 9).alias("factor"),
         F.round("_m_probability", 9).alias("probability"),
         F.col("_m_kept").alias("kept"),
+        F.col("_m_fit_error").alias("fit_error"),
     )
 
 
@@ -54,7 +55,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), params)
     scored = written(quality.with_evidence(docs, model).drop("text"), "evidence")
     rates, overall = quality.site_rates(scored, params)
-    return quality.judge(scored, rates, overall, params).select(
+    return quality.judge(scored, written(rates, "rates"), overall, params).select(
         "doc_id",
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
@@ -68,8 +69,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = rules.RuleParams()
     docs = _table(spark, sf_dir, "documents")
-    measured = written(rules.measure(docs, params).select("doc_id", *rules.MEASURES), "measures")
-    return rules.verdicts(rules.judge(measured, rules.references(measured, params), params))
+    words = written(rules.common_words(docs, params), "words")
+    measured = written(rules.measure(docs, words, params).select("doc_id", *rules.MEASURES), "measures")
+    refs = written(rules.references(measured, params), "references")
+    return rules.verdicts(rules.judge(measured, refs, params))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,20 @@
 """Quality rules: counts over whole texts and divergence from language references.
 
-A document's character classes and common words form two histograms.  Each is
-compared with the pooled histogram of all documents of its language by the
-Jensen-Shannon distance (base 2, 0 to 1), once the document is long enough for
-its histogram to mean something.  Everything is a column expression.
+A document's character classes and common words form two histograms.  The common
+words of a language are those that most of its documents hold, each document
+counted once.  Each histogram is compared with its language's reference by the
+Jensen-Shannon distance (base 2, 0 to 1), once the document is long enough for its
+histogram to mean something.  A reference is the mean of the shares of all
+documents of the language that pass the base rules, each weighing one, so neither
+a very long document nor repetitive junk moves it.  Everything is a column
+expression.
 
 Cases: a null text has no words; a null language is the language ``""``; a
-language without a word list is held to its character classes only; repeated
-rows get the same verdict; an empty table gives an empty result.
+language with fewer than ``least_docs`` documents for a reference has none, and
+its documents are held to the base rules only; a very long text is one row and
+counts as a whole; repeated rows get the same verdict, and each counts; columns
+with names of the operator's own (``_r_*``) are replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -15,23 +22,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.lets import let
-from pointloom.plans.joins import broadcast_if_small
+from pointloom.plans.joins import join_sized
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-#: The commonest function words of each language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "ist", "nicht"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "with"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-}
-BINS = 12
+#: Common words of each language that have a bin of their own.
+BINS = 16
 
 #: Character classes, each removed from what the ones before it left.
 CLASSES = [
@@ -55,6 +56,8 @@ class RuleParams:
     #: Shorter documents are not compared.
     least_chars: int = 200
     least_common_words: int = 100
+    #: Documents that a reference needs.
+    least_docs: int = 20
     #: A distance may reach its base plus ``slack / sqrt(n_words)``: short texts are noisy.
     char_base: float = 0.20
     word_base: float = 0.18
@@ -101,11 +104,44 @@ def repeated_words(words: Column, width: int) -> Column:
     )
 
 
-def measure(
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE), "")
+
+
+def common_words(
     docs: DataFrame, params: RuleParams, text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """``docs`` with the counts and histograms of each text, in columns ``_r_*``."""
-    out = docs.withColumn("_r_0", F.coalesce(F.col(text_col), F.lit("")))
+    """(_r_lang, _r_listed, _r_docs): the words that most documents of each language hold, commonest first.
+
+    Documents of fewer than ``least_words`` words are not asked; ties go to the
+    smaller word.  Counts are summed before the shuffle, and only the first
+    ``BINS`` words of each language in each partition go into the last one.
+    """
+    rows = docs.select(
+        F.coalesce(F.col(lang_col), F.lit("")).alias("_r_lang"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_w")
+    )
+    held = F.when(F.size("_w") >= params.least_words, F.array_distinct(F.transform("_w", lambda w: F.lower(w))))
+    counts = rows.select("_r_lang", F.explode(held).alias("word")).groupBy("_r_lang", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("_r_lang").orderBy(F.desc("n"), "word")
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= BINS)
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "word")))
+    lists = top.groupBy("_r_lang").agg(F.transform(ranked, lambda x: x["word"]).alias("_r_listed"))
+    langs = rows.groupBy("_r_lang").agg(F.count("*").alias("_r_docs"))
+    none = F.array().cast("array<string>")
+    return langs.join(lists, "_r_lang", "left").select("_r_lang", F.coalesce("_r_listed", none).alias("_r_listed"), "_r_docs")
+
+
+def measure(
+    docs: DataFrame, words: DataFrame, params: RuleParams, text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """``docs`` with the counts and histograms of each text, in columns ``_r_*``.
+
+    ``words`` are those of :func:`common_words`, as a written table.
+    """
+    out = docs.withColumns(
+        {"_r_lang": F.coalesce(F.col(lang_col), F.lit("")), "_r_0": F.coalesce(F.col(text_col), F.lit(""))}
+    )
+    out = join_sized(out, words, "_r_lang", "_r_docs")
     for k, (_, pattern) in enumerate(CLASSES):
         out = out.withColumn(f"_r_{k + 1}", F.regexp_replace(f"_r_{k}", pattern, ""))
     counts = {
@@ -117,58 +153,58 @@ def measure(
         counts
         | {
             "_r_chars": F.length("_r_0"),
-            "_r_words": F.array_remove(F.split("_r_0", SPACE), ""),
+            "_r_words": words_of(F.col("_r_0")),
             "_r_lines": F.filter(
                 F.split("_r_0", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")
             ),
-            "_r_lang": F.coalesce(F.col(lang_col), F.lit("")),
         }
     ).drop(*[f"_r_{k}" for k in range(len(CLASSES) + 1)])
-    lists = F.create_map(
-        *[
-            x
-            for lang, words in sorted(COMMON_WORDS.items())
-            for x in (F.lit(lang), F.array(*map(F.lit, words)))
-        ]
-    )
-    every = sorted({w for words in COMMON_WORDS.values() for w in words})
-    listed = F.element_at(lists, F.col("_r_lang"))
-    common = F.filter(F.transform("_r_words", lambda w: F.lower(w)), lambda w: w.isin(every))
+    low = F.transform("_r_words", lambda w: F.lower(w))
+    common = F.filter(low, lambda w: F.array_contains("_r_listed", w))
     bins = let(
-        common, lambda c: F.transform(listed, lambda r: F.size(F.filter(c, lambda w: w == r)))
+        common, lambda c: F.transform("_r_listed", lambda r: F.size(F.filter(c, lambda w: w == r)))
     )
     out = out.withColumns(
         {
             "_r_n_words": F.size("_r_words"),
             "_r_dup_lines": F.size("_r_lines") - F.size(F.array_distinct("_r_lines")),
             "_r_repeat": repeated_words(F.col("_r_words"), params.window),
-            "_r_bins": F.when(listed.isNotNull(), bins),
+            "_r_bins": bins,
         }
     )
     bin_columns = {
         f"_r_w{k}": F.coalesce(F.get("_r_bins", F.lit(k)), F.lit(0)) for k in range(BINS)
     }
-    out = out.withColumns(bin_columns).withColumn(
-        f"_r_w{BINS}",
-        F.col("_r_n_words") - reduce(lambda a, b: a + b, [F.col(c) for c in bin_columns]),
+    out = out.withColumns(bin_columns).withColumns(
+        {
+            f"_r_w{BINS}": F.col("_r_n_words") - reduce(lambda a, b: a + b, [F.col(c) for c in bin_columns]),
+            "_r_base_failed": (F.col("_r_n_words") < params.least_words)
+            | (100 * F.col("_r_repeat") > params.most_repeat_percent * F.col("_r_n_words")),
+        }
     )
-    return out.drop("_r_words", "_r_lines", "_r_bins")
+    return out.drop("_r_words", "_r_lines", "_r_bins", "_r_listed", "_r_docs")
 
 
-MEASURES = ["_r_lang", "_r_n_words", "_r_chars", "_r_dup_lines", "_r_repeat", *HISTOGRAM, *WORD_BINS]
+MEASURES = ["_r_lang", "_r_base_failed", "_r_n_words", "_r_chars", "_r_dup_lines", "_r_repeat", *HISTOGRAM, *WORD_BINS]
+
+
+def long_enough(params: RuleParams) -> list[tuple[list[str], str, Column]]:
+    """Each histogram: its columns, the column of its total, and whether a document is long enough for it."""
+    return [
+        (HISTOGRAM, "_r_chars", F.col("_r_chars") >= params.least_chars),
+        (WORD_BINS, "_r_n_words", F.col("_r_n_words") >= params.least_common_words),
+    ]
 
 
 def references(measured: DataFrame, params: RuleParams) -> DataFrame:
-    """Pooled histograms (shares, columns ``_q_*``) of each language's documents."""
-    long_enough = measured.where(F.col("_r_n_words") >= params.least_words)
-    sums = long_enough.groupBy("_r_lang").agg(
-        *[F.sum(c).alias(c) for c in [*HISTOGRAM, *WORD_BINS]]
-    )
+    """(_r_lang, _q_docs, shares ``_q_*``): mean shares of each language's documents; null where they are too few."""
     shares = {}
-    for names in (HISTOGRAM, WORD_BINS):
-        total = reduce(lambda a, b: a + b, [F.col(c) for c in names])
-        shares |= {c.replace("_r_", "_q_"): F.try_divide(F.col(c), total) for c in names}
-    return sums.select("_r_lang", *[v.alias(k) for k, v in shares.items()])
+    for names, total, enough in long_enough(params):
+        used = enough & ~F.col("_r_base_failed")
+        for c in names:
+            mean = F.avg(F.when(used, F.col(c) / F.col(total)))
+            shares[c.replace("_r_", "_q_")] = F.when(F.count_if(used) >= params.least_docs, mean)
+    return measured.groupBy("_r_lang").agg(F.count("*").alias("_q_docs"), *[v.alias(k) for k, v in shares.items()])
 
 
 def distance(names: list[str], total: str) -> Column:
@@ -185,26 +221,23 @@ def distance(names: list[str], total: str) -> Column:
 
 
 def judge(measured: DataFrame, refs: DataFrame, params: RuleParams) -> DataFrame:
-    """``measured`` with distances and verdicts ``_r_base_failed`` and ``_r_kept``.
+    """``measured`` with distances and verdict ``_r_kept``; ``refs`` is a written table.
 
     A null distance (too short, or no reference) speaks for nothing.
     """
-    joined = measured.join(broadcast_if_small(refs), "_r_lang", "left")
-    base_failed = (F.col("_r_n_words") < params.least_words) | (
-        100 * F.col("_r_repeat") > params.most_repeat_percent * F.col("_r_n_words")
-    )
-    char = F.when(F.col("_r_chars") >= params.least_chars, distance(HISTOGRAM, "_r_chars"))
-    word = F.when(
-        F.col("_r_n_words") >= params.least_common_words, distance(WORD_BINS, "_r_n_words")
+    joined = join_sized(measured, refs, "_r_lang", "_q_docs")
+    char, word = (
+        F.when(enough & F.col(names[0].replace("_r_", "_q_")).isNotNull(), distance(names, total))
+        for names, total, enough in long_enough(params)
     )
     judged = joined.withColumns({"_r_char_distance": char, "_r_word_distance": word})
     noise = params.slack / F.sqrt(F.greatest(F.col("_r_n_words"), F.lit(1)))
     near = (F.coalesce("_r_char_distance", F.lit(0.0)) <= params.char_base + noise) & (
         F.coalesce("_r_word_distance", F.lit(0.0)) <= params.word_base + noise
     )
-    return judged.withColumns(
-        {"_r_base_failed": base_failed, "_r_kept": ~base_failed & near}
-    ).drop(*[c.replace("_r_", "_q_") for c in [*HISTOGRAM, *WORD_BINS]])
+    return judged.withColumn("_r_kept", ~F.col("_r_base_failed") & near).drop(
+        "_q_docs", *[c.replace("_r_", "_q_") for c in [*HISTOGRAM, *WORD_BINS]]
+    )
 
 
 def verdicts(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:

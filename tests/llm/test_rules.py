@@ -23,9 +23,9 @@ def brute(text):
     return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, rep, n < 20 or 100 * rep > 30 * n)
 
 
-def verdicts(docs):
-    params = rules.RuleParams()
-    measured = rules.measure(docs, params)
+def verdicts(docs, params=rules.RuleParams()):
+    words = rules.common_words(docs, params)
+    measured = rules.measure(docs, words, params)
     return rules.verdicts(rules.judge(measured, rules.references(measured, params), params))
 
 
@@ -41,15 +41,42 @@ def test_empty_table(spark):
     assert verdicts(odd.empty(spark)).count() == 0
 
 
+ONE = rules.RuleParams(least_docs=1)
+SOME = " ".join(f"{odd.PLAIN} {x} {x[::-1]}" for x in ("alpha", "beta", "gamma", "delta", "other", "thing"))
+
+
 def test_distance_is_zero_for_the_reference_itself(spark):
-    docs = spark.createDataFrame([(1, odd.PLAIN * 10, "en")], "doc_id long, text string, lang string")
-    row = verdicts(docs).first()
-    assert row["char_distance"] == 0 and row["word_distance"] == 0 and row["base_failed"]
+    docs = spark.createDataFrame([(1, SOME, "en")], "doc_id long, text string, lang string")
+    params = rules.RuleParams(least_docs=1, most_repeat_percent=100)
+    row = verdicts(docs, params).first()
+    assert row["char_distance"] == 0 and row["word_distance"] == 0 and row["kept"]
 
 
 def test_short_documents_are_not_compared(spark):
     docs = spark.createDataFrame([(1, "a b", "en"), (2, odd.PLAIN * 10, "en")], "doc_id long, text string, lang string")
-    assert verdicts(docs).where("doc_id = 1").first()["char_distance"] is None
+    assert verdicts(docs, ONE).where("doc_id = 1").first()["char_distance"] is None
+
+
+def test_too_few_documents_make_no_reference(spark):
+    docs = spark.createDataFrame([(k, SOME, "en") for k in range(19)], "doc_id long, text string, lang string")
+    assert {r["char_distance"] for r in verdicts(docs).collect()} == {None}
+
+
+def test_common_words_are_learnt_for_any_language(spark):
+    """By documents, not by places: the word of one very long document is not among them."""
+    rows = [(k, "qui quae " + " ".join(f"w{k}x{j}" for j in range(25)) + " Quod", "la") for k in range(5)]
+    rows += [(9, "spam " * 9000, "la"), (10, "too few words", "la"), (11, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["_r_lang"]: r for r in rules.common_words(docs, ONE).collect()}
+    assert found["la"]["_r_listed"][:3] == ["quae", "qui", "quod"] and found["la"]["_r_docs"] == 7
+    assert found["xx"]["_r_listed"] == []
+
+
+def test_one_long_junk_document_does_not_become_the_reference(spark):
+    clean = [(k, " ".join(f"the {a} of {b} and" for a in "abcdefgh" for b in (f"x{k}", f"y{k}")), "en") for k in range(30)]
+    junk = [(99, " ".join(f"z{k}" for k in range(60_000)), "en")]
+    got = {r["doc_id"]: r["kept"] for r in verdicts(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string"), rules.RuleParams(most_repeat_percent=100)).collect()}
+    assert not got[99] and all(got[k] for k in range(30))
 
 
 def test_junk_goes_and_clean_documents_stay(spark):
