@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,24 @@ def drop(df: DataFrame) -> None:
         _delete(_WRITTEN.pop(path), path)
 
 
+@contextmanager
+def dropped_after():
+    """Delete the tables written inside, but those passed through the function it gives, when it ends.
+
+    For steps whose result is itself a written table: nothing reads the others any more.
+    """
+    before = set(_WRITTEN)
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_scratch_path", ""))
+        return df
+
+    yield keep
+    for path in set(_WRITTEN) - before - kept:
+        _delete(_WRITTEN.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
