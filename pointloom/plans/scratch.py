@@ -11,7 +11,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,22 +50,36 @@ def drop(df: DataFrame) -> None:
         _delete(_WRITTEN.pop(path), path)
 
 
-@contextmanager
-def dropped_after():
-    """Delete the tables written inside, but those passed through the function it gives, when it ends.
+class Leftovers:
+    """Tables that one step wrote for itself, deleted when a later step no longer reads them.
 
-    For steps whose result is itself a written table: nothing reads the others any more.
+    A lazy result may read what its step wrote; once it has been written and read
+    again, nothing does.  ``release(inputs)`` deletes the tables that were written
+    inside ``with`` blocks before, but those that ``inputs`` read.
     """
-    before = set(_WRITTEN)
-    kept: set[str] = set()
 
-    def keep(df: DataFrame) -> DataFrame:
-        kept.add(getattr(df, "_scratch_path", ""))
-        return df
+    def __init__(self):
+        self._paths: set[str] = set()
 
-    yield keep
-    for path in set(_WRITTEN) - before - kept:
-        _delete(_WRITTEN.pop(path), path)
+    def __enter__(self):
+        self._before = set(_WRITTEN)
+        return self
+
+    def __exit__(self, *_):
+        self._paths |= set(_WRITTEN) - self._before
+
+    def release(self, *inputs: DataFrame) -> None:
+        if not self._paths:
+            return
+        read = [f for df in inputs for f in df.inputFiles()]
+        unread = {p for p in self._paths if not any(_bare(p) in f for f in read)}
+        for path in unread & set(_WRITTEN):
+            _delete(_WRITTEN.pop(path), path)
+        self._paths -= unread
+
+
+def _bare(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
