@@ -1,6 +1,6 @@
 """Registered queries over the driver tables."""
 
-from pointloom.catalog import observations, spatial, tables, times
+from pointloom.catalog import client, observations, spatial, tables, times
 from pointloom.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "observations", "spatial", "tables", "times"]
+__all__ = ["ORACLES", "QUERIES", "client", "observations", "spatial", "tables", "times"]

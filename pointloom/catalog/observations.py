@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.catalog.base import OBS, obs, query, table
 from pointloom.functions import fields, geo
-from pointloom.operators import coverage, dedup, digest, validate
+from pointloom.operators import coverage, dedup, digest, relate, validate
 from pointloom.sources import observations as scan
 
 #: Raw text rows with faults by modulus.
@@ -289,14 +289,11 @@ def union_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT 'both' AS part, count(*) AS n FROM (SELECT user_id FROM events INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'left_only', count(*) FROM (SELECT user_id FROM events EXCEPT SELECT c_custkey FROM customer) UNION ALL SELECT 'either', count(*) FROM (SELECT user_id FROM events UNION SELECT c_custkey FROM customer)")
+@query("WITH a AS (SELECT DISTINCT user_id AS k FROM events), b AS (SELECT DISTINCT c_custkey AS k FROM customer) SELECT 'both' AS part, count(*) AS n FROM a JOIN b USING (k) UNION ALL SELECT 'left_only', count(*) FROM a ANTI JOIN b USING (k) UNION ALL SELECT 'right_only', count(*) FROM b ANTI JOIN a USING (k) UNION ALL SELECT 'either', count(*) FROM (FROM a UNION FROM b)")
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
     b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    parts = (("both", a.intersect(b)), ("left_only", a.subtract(b)), ("either", a.union(b).distinct()))
-    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-    out = [count(n, d) for n, d in parts]
-    return out[0].union(out[1]).union(out[2])
+    return relate.set_parts(a, b, "k")
 
 
 @query("SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS bucket, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")

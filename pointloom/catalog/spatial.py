@@ -9,7 +9,8 @@ from pointloom.catalog.base import (
     OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, source_activity, table,
 )
 from pointloom.functions import geo
-from pointloom.operators import activity, attribution, context, facility, formation, geojoin, live, research
+from pointloom.operators import activity, attribution, context, facility, formation, geojoin, live, relate, research
+from pointloom.plans.scratch import written
 
 D = km("lat", "lon", "s_lat", "s_lon")
 NEAR = POINTS + ", " + SITES + f", pairs AS (SELECT point_id, segment, nation, site_id, site_name, kind, {D} AS d FROM points JOIN sites ON abs(lat - s_lat) <= 0.05 WHERE {D} <= 5)"
@@ -132,7 +133,20 @@ def polygon_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).where("in_polygon").select("point_id", "site_id", "in_polygon")
 
 
-@query()
+METRES = "(pi() * 6371008.8::DOUBLE / 180)"
+
+
+@query("WITH " + SITES + ", " + POINTS + f""", e AS (SELECT point_id, site_id,
+   CASE WHEN kind <> 'COAL' THEN abs(lat - s_lat) <= 0.0041::DOUBLE AND abs(lon - s_lon) <= 0.0041::DOUBLE END AS inside, {D} * 1000 AS d,
+   sqrt(pow(greatest(abs(lat - s_lat) - 0.0041::DOUBLE, 0) * {METRES}, 2) + pow(greatest(abs(lon - s_lon) - 0.0041::DOUBLE, 0) * {METRES} * cos(radians(lat)), 2)) AS edge
+  FROM points JOIN sites ON abs(lat - s_lat) < 0.03 AND abs(lon - s_lon) < 0.05),
+m AS (SELECT point_id, site_id, inside, CASE WHEN inside IS NULL THEN d ELSE edge END AS m FROM e),
+g AS (SELECT point_id, count(*) AS n, count(*) FILTER (inside) = 1 AND count(*) FILTER (inside IS NULL) = 0 AS one,
+   arg_min(site_id, (round(m, 1), site_id)) AS first, min(site_id) FILTER (inside) AS inner_site FROM m WHERE m <= 1000 GROUP BY 1)
+SELECT point_id, coalesce(n, 0)::INT AS n_candidates, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n = 1 OR one THEN 'ASSOCIATED' ELSE 'MULTIPLE_CANDIDATES' END AS status,
+   CASE WHEN n = 1 THEN 'SOLE_CANDIDATE_WITHIN_RADIUS' WHEN one THEN 'POLYGON_CONTAINMENT' END AS basis,
+   CASE WHEN n = 1 THEN first WHEN one THEN inner_site END AS selected
+FROM points LEFT JOIN g USING (point_id)""")
 def facility_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facility.decide(_candidates(spark, sf_dir), points(spark, sf_dir), "point_id", "site_id")
 
@@ -151,13 +165,37 @@ def label_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("point_id", F.array_join("kinds", ",").alias("kinds"), F.round("nearest_km", 4).alias("nearest_km"), "status", "label")
 
 
-@query()
+#: The sequential rule as a recursion over the ordered rows of each proxy source.  Those lie more than the
+#: radius apart, and their points less than the extent, so sources never cross them and none is refused.
+FORMED = "WITH RECURSIVE " + OBS + f""", pts AS (SELECT source_id AS u, printf('%012d', event_id) AS pk, lat, lon, row_number() OVER (PARTITION BY source_id ORDER BY ts, event_id) AS k FROM obs),
+run AS (
+  SELECT DISTINCT u, 0::BIGINT AS k, NULL::VARCHAR AS pk, NULL::VARCHAR AS anchor, 0::BIGINT AS n_valid, []::STRUCT(a VARCHAR, h VARCHAR, lat DOUBLE, lon DOUBLE)[] AS members FROM pts
+  UNION ALL
+  SELECT u, k, pk, anchor, n_valid, list_append(members, {{'a': anchor, 'h': substr(sha1(anchor), 1, 10), 'lat': lat, 'lon': lon}}) FROM (
+    SELECT u, k, pk, lat, lon, members, coalesce(list_sort(near)[1].a, pk) AS anchor, len(list_distinct(list_transform(near, lambda x: x.a))) AS n_valid FROM (
+      SELECT p.u, p.k, p.pk, p.lat, p.lon, r.members,
+        list_filter(list_transform(r.members, lambda m: {{'d': {km('p.lat', 'p.lon', 'm.lat', 'm.lon')} * 1000, 'h': m.h, 'a': m.a}}), lambda x: x.d <= 375) AS near
+      FROM run r JOIN pts p ON p.u = r.u AND p.k = r.k + 1)))"""
+
+
+@query(FORMED + " SELECT 'SRC-' || substr(sha1(anchor), 1, 10) AS source_id, count(*) AS n, count(*) FILTER (n_valid > 1) AS n_ambiguous FROM run WHERE k > 0 GROUP BY anchor")
 def formation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources formed in order of time; sequential, so only the rows are checked here."""
+    """Sources formed in order of time."""
+    return _named(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("n_ambiguous"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir).withColumn("pk", F.format_string("%012d", "event_id"))
-    formed = formation.form_sources(o.select("pk", "ts", "lat", "lon"), "pk", "ts")
+    return formation.named_sources(written(formation.assign(o.select("pk", "ts", "lat", "lon"), "pk", "ts"), "formed"))
 
-    return formed.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("n_ambiguous"))
+
+@query(FORMED + """, f AS (SELECT anchor, n_valid, ts FROM run JOIN obs ON printf('%012d', event_id) = pk WHERE k > 0),
+g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY anchor ORDER BY ts) AS gap FROM f),
+s AS (SELECT anchor, count(*) AS n, count(*) FILTER (gap IS NULL OR gap > INTERVAL 36 HOUR) AS events, count(*) FILTER (n_valid > 1) AS amb FROM g GROUP BY 1)
+SELECT sum(n)::BIGINT AS n_observations, count(*) AS n_sources, sum(events)::BIGINT AS n_events, count(*) FILTER (n = 1) / count(*)::DOUBLE AS singleton_source_fraction,
+  max(events) AS events_per_source_max, sum(amb)::BIGINT AS n_ambiguous_assignments, 0::BIGINT AS extent_cap_rejections, 0::BIGINT AS n_source_id_collisions FROM s""")
+def formation_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formation.diagnostics(_named(spark, sf_dir))
 
 
 @query("WITH " + OBS + f""", base AS (SELECT source_id, count(*) AS n, avg(lat) AS a, avg(lon) AS o FROM obs GROUP BY 1)
@@ -167,7 +205,20 @@ def source_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(t, 6, "centroid_lat", "centroid_lon"), 3, "extent_m")
 
 
-@query()
+#: Leaders are found by a recursion over the ordered rows of each proxy cluster; clusters lie more than the radius apart.
+LIVE = "WITH RECURSIVE " + SITES + ", " + POINTS + f""", o AS (SELECT *, 'p' || printf('%09d', point_id) AS pk FROM points),
+known AS (SELECT pk, arg_min(site_id::VARCHAR, ({D}, site_id::VARCHAR)) AS source_id FROM o JOIN sites ON abs(lat - s_lat) < 0.01 WHERE {D} <= 0.375 GROUP BY 1),
+f AS (SELECT pk, lat, lon, point_id % 97 AS u, row_number() OVER (PARTITION BY point_id % 97 ORDER BY point_id) AS k FROM o ANTI JOIN known USING (pk)),
+run AS (
+  SELECT DISTINCT u, 0::BIGINT AS k, NULL::VARCHAR AS pk, NULL::VARCHAR AS leader, []::STRUCT(pk VARCHAR, lat DOUBLE, lon DOUBLE)[] AS leaders FROM f
+  UNION ALL
+  SELECT u, k, pk, coalesce(hit.pk, pk), CASE WHEN hit IS NULL THEN list_append(leaders, {{'pk': pk, 'lat': lat, 'lon': lon}}) ELSE leaders END FROM (
+    SELECT f.u, f.k, f.pk, f.lat, f.lon, r.leaders, list_filter(r.leaders, lambda m: {km('f.lat', 'f.lon', 'm.lat', 'm.lon')} <= 0.375)[1] AS hit
+    FROM run r JOIN f ON f.u = r.u AND f.k = r.k + 1))"""
+
+
+@query(LIVE + """, a AS (SELECT source_id, 'EXISTING' AS kind FROM known UNION ALL SELECT 'LIVE-' || substr(sha256(leader), 1, 10), 'PROVISIONAL' FROM run WHERE k > 0)
+SELECT source_id, kind, count(*) AS n_live, kind = 'EXISTING' AND CASE WHEN kind = 'EXISTING' THEN source_id::INT % 2 = 0 ELSE false END AS flagged FROM a GROUP BY source_id, kind""")
 def live_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = points(spark, sf_dir).select(
         F.concat(F.lit("p"), F.format_string("%09d", "point_id")).alias("physical_key"),
@@ -207,29 +258,57 @@ def land_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anti_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = table(spark, sf_dir, "customer").where("c_nationkey % 5 = 0").select(F.col("c_custkey").alias("k"))
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    return o.join(out, "k", "left_anti")
+    return relate.exclude(o, out, "k")
 
 
 @query("WITH t AS (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 300) SELECT l_orderkey, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM t) GROUP BY 1")
 def semi_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(300).select(F.col("o_orderkey").alias("l_orderkey"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
-    kept = lines.join(F.broadcast(top), "l_orderkey", "left_semi")  # 300 rows
+    kept = relate.restrict(lines, top, "l_orderkey")
     return kept.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
 @query("SELECT c_custkey, n_name, r_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n_done FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def left_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    r = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    n = relate.with_context(table(spark, sf_dir, "nation"), "n_regionkey", region=r)
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_done"))
-    out = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, n["n_regionkey"] == r["r_regionkey"], "left")
-    return out.join(done, "c_custkey", "left").select("c_custkey", "n_name", "r_name", F.coalesce("n_done", F.lit(0)).alias("n_done"))
+    out = relate.with_context(relate.with_context(c, "n_nationkey", nation=n), "c_custkey", done=done)
+    return out.select(
+        "c_custkey", F.col("nation.n_name").alias("n_name"), F.col("nation.region.r_name").alias("r_name"), F.coalesce("done.n_done", F.lit(0)).alias("n_done")
+    )
 
 
-@query("SELECT o_orderpriority, count(*) AS n, count(*) - count(c_custkey) AS n_missing FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+@query("SELECT o_orderpriority, n_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def inner_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority")
-    c = table(spark, sf_dir, "customer").select("c_custkey")
-    return o.join(c, o["o_custkey"] == c["c_custkey"], "left").groupBy("o_orderpriority").agg(
-        F.count("*").alias("n"), F.count_if(F.col("c_custkey").isNull()).alias("n_missing")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    both = relate.complete(relate.complete(o, c, "c_custkey"), table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
+    return both.groupBy("o_orderpriority", "n_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT o_custkey) FILTER (c_custkey IS NULL) AS n_missing, count(DISTINCT o_custkey) AS n FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey")
+def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("k"))
+    n = o.agg(F.countDistinct("k").alias("n"))
+    return relate.missing(o, c, "k").agg(F.count("*").alias("n_missing")).crossJoin(F.broadcast(n))
+
+
+@query("SELECT l_orderkey AS k, string_agg(CASE WHEN l_returnflag = 'R' THEN l_linenumber END, ',' ORDER BY l_linenumber) AS r, string_agg(CASE WHEN l_returnflag = 'N' THEN l_linenumber END, ',' ORDER BY l_linenumber) AS n FROM lineitem GROUP BY 1")
+def evidence_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_returnflag", "l_linenumber")
+    both = relate.by_role(items, "k", "l_returnflag", ["R", "N"], "l_linenumber")
+    show = lambda c: F.nullif(F.array_join(F.transform(c, lambda x: x["l_linenumber"].cast("string")), ","), F.lit("")).alias(c)
+    return both.select("k", show("r"), show("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN coalesce(n_name, '') ELSE c_mktsegment END AS decision FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0")
+def ledger_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_nationkey").alias("n_nationkey"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("decision")
     )
+    given = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", F.col("n_name").alias("decision"))
+    return relate.filled_in(ledger, given, ["n_nationkey"], "decision").select("c_custkey", "decision")

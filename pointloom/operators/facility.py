@@ -7,9 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.geo import polygon_relation
+from pointloom.functions.geo import METRES_PER_DEGREE, polygon_relation
 from pointloom.operators.geojoin import grid_join
 
+#: Degrees of the cells in which polygons are looked up.
+CELL = 0.1
+
 
 @dataclass(frozen=True)
 class FacilityParams:
@@ -23,20 +26,29 @@ def candidates(events: DataFrame, sites: DataFrame, event: str, site: str, p: Fa
 
     events: event id, e_lat, e_lon.  sites: site id, s_lat, s_lon and ring (array
     of lat, lon structs, null where there is no polygon).  With a polygon the
-    distance is to its boundary, 0 inside.  Sites whose centre is farther than
-    four radii from the event are not looked at.
+    distance is to its boundary, 0 inside, however large the polygon is: sites with
+    one are found by the cells of its bounding box.
     """
-    pairs = grid_join(events, sites, p.radius_m * 4 / 1000, ("e_lat", "e_lon"), ("s_lat", "s_lon"))
-    relation = F.when(F.col("ring").isNotNull(), polygon_relation(F.col("e_lat"), F.col("e_lon"), F.col("ring")))
-    out = pairs.withColumn("_rel", relation).withColumns(
-        {
-            "in_polygon": F.col("_rel.inside"),
-            "exact_m": F.when(F.col("_rel").isNull(), F.col("distance_km") * 1000)
-            .when(F.col("_rel.inside"), 0.0)
-            .otherwise(F.col("_rel.boundary_m")),
-        }
+    pairs = grid_join(events, sites.where("ring IS NULL"), p.radius_m / 1000, ("e_lat", "e_lon"), ("s_lat", "s_lon"))
+    plain = pairs.select(event, site, (F.col("distance_km") * 1000).alias("exact_m"), F.lit(None).cast("boolean").alias("in_polygon"))
+    reach = p.radius_m / METRES_PER_DEGREE * 1.01
+    along = lambda k: F.transform("ring", lambda x: x[k])
+    ends = {f"_{f}_{k}": g(along(k)) for k in ("lat", "lon") for f, g in (("min", F.array_min), ("max", F.array_max))}
+    boxed = sites.where("ring IS NOT NULL").withColumns(ends)
+    far = F.least(F.lit(89.0), F.greatest(F.abs("_min_lat"), F.abs("_max_lat")) + reach)
+    boxed = boxed.withColumns(
+        {"_min_lat": F.col("_min_lat") - reach, "_max_lat": F.col("_max_lat") + reach,
+         "_min_lon": F.col("_min_lon") - reach / F.cos(F.radians(far)), "_max_lon": F.col("_max_lon") + reach / F.cos(F.radians(far))}
     )
-    near = out.where(F.col("exact_m") <= p.radius_m)
+    cells = lambda k: F.sequence(F.floor(F.col(f"_min_{k}") / CELL).cast("long"), F.floor(F.col(f"_max_{k}") / CELL).cast("long"))
+    boxed = boxed.withColumn("_gy", F.explode(cells("lat"))).withColumn("_gx", F.explode(cells("lon")))
+    placed = events.withColumns({"_gy": F.floor(F.col("e_lat") / CELL).cast("long"), "_gx": F.floor(F.col("e_lon") / CELL).cast("long")})
+    inside_box = F.col("e_lat").between(F.col("_min_lat"), F.col("_max_lat")) & F.col("e_lon").between(F.col("_min_lon"), F.col("_max_lon"))
+    met = placed.join(boxed, ["_gy", "_gx"]).where(inside_box)
+    met = met.withColumn("_rel", polygon_relation(F.col("e_lat"), F.col("e_lon"), F.col("ring")))
+    exact = F.when(F.col("_rel.inside"), 0.0).otherwise(F.col("_rel.boundary_m"))
+    shaped = met.select(event, site, exact.alias("exact_m"), F.col("_rel.inside").alias("in_polygon"))
+    near = plain.unionByName(shaped).where(F.col("exact_m") <= p.radius_m)
     return near.select(event, site, F.round("exact_m", 1).alias("candidate_m"), "in_polygon")
 
 

@@ -1,5 +1,6 @@
 """Boundaries, missing values, row order and brute force of the operators."""
 
+import hashlib
 import math
 import random
 
@@ -14,6 +15,7 @@ from pointloom.operators import (
 )
 from pointloom.plans.numbering import number_within
 from pointloom.plans.ranges import range_of
+from pointloom.plans.scratch import written
 from pointloom.sources import observations as scan
 from pointloom.sources import sinks
 
@@ -70,15 +72,91 @@ def cloud(spark, n=160, seed=5):
     return spark.createDataFrame(rows, "pk string, ts string, lat double, lon double").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def test_formation_by_components_equals_one_sequence(spark):
-    obs = cloud(spark)
-    formed = formation.form_sources(obs, "pk", "ts").toPandas().set_index("pk")
-    pdf = obs.select(F.col("pk").alias("key"), F.unix_micros("ts").alias("us"), "lat", "lon").toPandas()
-    whole = formation.assign_in_order(pdf, formation.FormationParams()).set_index("key")
-    both = formed.join(whole[["anchor"]])
-    assert both.groupby("source_id")["anchor"].nunique().max() == 1
-    assert both.groupby("anchor")["source_id"].nunique().max() == 1
-    assert both["source_id"].nunique() > 5
+def plain_formation(rows, p=formation.FormationParams()):
+    """The rule over all rows at once in plain Python: (key, us, lat, lon, pixel) -> key: (anchor, valid, rejected)."""
+    members, sums, out = [], {}, {}
+    for key, _, lat, lon, pixel in sorted(rows, key=lambda r: (r[1], r[0])):
+        nearest = {}
+        for other, mlat, mlon, mpixel, anchor in members:
+            d = brute_m(lat, lon, mlat, mlon)
+            reach = max(p.radius_m, p.pixel_factor * max(pixel, mpixel)) if p.pixel_aware else p.radius_m
+            if d <= reach:
+                nearest[anchor] = min(d, nearest.get(anchor, math.inf))
+        valid = {a: d for a, d in nearest.items() if brute_m(lat, lon, sums[a][0] / sums[a][2], sums[a][1] / sums[a][2]) <= p.extent_m}
+        anchor = min(valid, key=lambda a: (valid[a], hashlib.sha1(a.encode()).hexdigest()[:10])) if valid else key
+        total = sums.setdefault(anchor, [0.0, 0.0, 0])
+        sums[anchor] = [total[0] + lat, total[1] + lon, total[2] + 1]
+        members.append((key, lat, lon, pixel, anchor))
+        out[key] = (anchor, len(valid), len(nearest) - len(valid))
+    return out
+
+
+def brute_m(a, b, c, d):
+    half = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * geo.EARTH_M * math.asin(min(1.0, math.sqrt(half)))
+
+
+def formed_rows(spark, obs, p, **kwargs):
+    got = formation.assign(obs, "pk", "ts", p, pixel="pixel", **kwargs)
+    return {r["key"]: (r["anchor"], len(r["valid"]), r["extent_rejections"]) for r in got.collect()}
+
+
+@pytest.mark.parametrize("p", [formation.FormationParams(), formation.FormationParams(pixel_aware=True, pixel_factor=1.0)])
+def test_formation_equals_the_rule_over_all_rows(spark, p):
+    obs = cloud(spark).withColumn("pixel", F.when(F.crc32("pk") % 5 == 0, 900.0).otherwise(400.0))
+    rows = [tuple(r) for r in obs.select("pk", F.unix_micros("ts"), "lat", "lon", "pixel").collect()]
+    wanted = {k: (a, v if v > 1 else 0, x) for k, (a, v, x) in plain_formation(rows, p).items()}
+    assert formed_rows(spark, obs, p) == wanted
+    assert len({a for a, _, _ in wanted.values()}) > 5
+
+
+def test_formation_in_batches_equals_one_run(spark):
+    obs = cloud(spark).withColumn("pixel", F.lit(0.0))
+    times = sorted(r["ts"] for r in obs.select("ts").collect())
+    cut = times[len(times) // 2]
+    p = formation.FormationParams()
+    first = written(formation.assign(obs.where(F.col("ts") <= F.lit(cut)), "pk", "ts", p), "formed")
+    state = written(formation.state_of(first), "state")
+    later = formation.assign(obs.where(F.col("ts") > F.lit(cut)), "pk", "ts", p, state=state)
+    both = {r["key"]: r["anchor"] for r in first.unionByName(later).collect()}
+    assert both == {k: a for k, (a, _, _) in formed_rows(spark, obs, p).items()}
+
+
+def test_a_hot_spot_is_formed_by_its_distinct_places(spark):
+    """20,000 detections at 50 places of one site: cells, not pairs of rows."""
+    obs = spark.range(20_000).select(
+        F.format_string("%06d", "id").alias("pk"), F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+        (20 + F.col("id") % 10 * 0.0004).alias("lat"), (80 + F.col("id") % 5 * 0.0004).alias("lon"), F.lit(0.0).alias("pixel"),
+    )
+    points = obs.groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    cells, links = formation.cell_links(points, 375.0)
+    assert cells.count() <= 12 and links.count() <= 66
+    named = formation.named_sources(written(formation.assign(obs, "pk", "ts"), "formed"))
+    row = formation.diagnostics(named).first()
+    assert row["n_observations"] == 20_000 and row["n_sources"] == named.select("source_id").distinct().count() <= 4
+    assert formation.ambiguities(named).where("metres > 375").count() == 0
+
+
+def test_components_equal_brute_force(spark):
+    draw = random.Random(12)
+    rows = [(k, 60 + draw.gauss(0, 0.02), -20 + draw.gauss(0, 0.04)) for k in range(500)]
+    rows += [(500 + k, draw.uniform(-0.006, 0.006), 10 + draw.uniform(-0.02, 0.02)) for k in range(60)]  # over the equator
+    parent = list(range(len(rows)))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for k, (_, a, b) in enumerate(rows):
+        for j in range(k):
+            if brute_m(a, b, rows[j][1], rows[j][2]) <= 375:
+                parent[root(k)] = root(j)
+    got = {r["k"]: r["component"] for r in formation.components(spark.createDataFrame(rows, "k int, lat double, lon double"), "k", 0.375).collect()}
+    classes = {}
+    for k in range(len(rows)):
+        classes.setdefault(root(k), set()).add(got[k])
+    assert all(len(c) == 1 for c in classes.values()) and len({min(c) for c in classes.values()}) == len(classes)
 
 
 def test_formation_does_not_depend_on_row_order(spark):
@@ -88,21 +166,37 @@ def test_formation_does_not_depend_on_row_order(spark):
     assert dict(zip(a["pk"], a["source_id"], strict=True)) == dict(zip(b["pk"], b["source_id"], strict=True))
 
 
+def ordered(rows):
+    rows = [{"component": 0, "seed": None, "key": k, "us": i, "lat": lat, "lon": 70.0, "pixel": 0.0} for i, (k, lat) in enumerate(rows)]
+    return list(formation.assign_in_order(rows, formation.FormationParams(), 375.0))
+
+
 def test_radius_boundary_and_extent_cap():
     step = 300 / (geo.EARTH_M * math.pi / 180)
-    chain = pd.DataFrame({"key": [f"{i:03d}" for i in range(30)], "us": range(30), "lat": [10 + i * step for i in range(30)], "lon": 70.0})
-    got = formation.assign_in_order(chain, formation.FormationParams())
-    assert got["anchor"].nunique() > 1 and got["extent_rejections"].sum() > 0
-    near = pd.DataFrame({"key": ["a", "b", "c"], "us": [0, 1, 2], "lat": [10.0, 10 + 374 / 111195.0, 10 - 376 / 111195.0], "lon": 70.0})
-    assert formation.assign_in_order(near, formation.FormationParams())["anchor"].tolist() == ["a", "a", "c"]
+    got = ordered([(f"{i:03d}", 10 + i * step) for i in range(30)])
+    assert len({r["anchor"] for r in got}) > 1 and sum(r["extent_rejections"] for r in got) > 0
+    near = ordered([("a", 10.0), ("b", 10 + 374 / 111195.0), ("c", 10 - 376 / 111195.0)])
+    assert [r["anchor"] for r in near] == ["a", "a", "c"]
 
 
 def test_source_ids_widen_on_collision(spark, monkeypatch):
-    anchors = spark.createDataFrame([("a",), ("b",)], "anchor string")
+    anchors = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2)], "anchor string, us int")
     real = formation.F.sha1
-    monkeypatch.setattr(formation.F, "sha1", lambda c: F.concat(F.lit("0123456789"), real(c)))
-    got = {r["anchor"]: r["source_id"] for r in formation.source_ids(anchors).collect()}
-    assert got["a"] == "SRC-0123456789" and len(got["b"]) == 18
+    monkeypatch.setattr(formation.F, "sha1", lambda c: F.concat(F.lit("0123456789"), F.when(F.col(c) == "b", "0000").otherwise("1111"), real(c)))
+    got = {r["anchor"]: r["source_id"] for r in formation.source_ids(anchors, "us").collect()}
+    assert got["b"] == "SRC-0123456789" and got["c"] == "SRC-01234567891111" and len(got["a"]) == 22
+
+
+def test_leaders_equal_brute_force(spark):
+    obs = cloud(spark)
+    rows = sorted((r["ts"], r["pk"], r["lat"], r["lon"]) for r in obs.collect())
+    leaders, wanted = [], {}
+    for _, key, lat, lon in rows:
+        hit = next((k for k, a, b in leaders if brute_m(lat, lon, a, b) <= 375), None)
+        if hit is None:
+            leaders.append((key, lat, lon))
+        wanted[key] = hit or key
+    assert {r["pk"]: r["leader"] for r in formation.lead_clusters(obs, "pk", "ts").collect()} == wanted
 
 
 def test_components_of_a_long_path(spark):
