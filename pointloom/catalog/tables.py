@@ -7,12 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.catalog.base import OBS, RULES, SITES, alerts, obs, points, query, rounded, sites, table
+from pointloom.catalog.base import OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, table
+from pointloom.catalog.spatial import FORMED
 from pointloom.functions import fields
 from pointloom.operators import assess, baseline, facility, legacy, research, sessions, views
 from pointloom.plans.scratch import shared_dir
+from pointloom.streaming import formation as streamed
 from pointloom.streaming import jobs
 
+KM = km("lat", "lon", "s_lat", "s_lon")
+
 LABELS = """lab AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS a,
   CASE WHEN doc_id % 7 = 0 THEN 'GOOD' WHEN toxic = 1 THEN 'BAD' WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS b, doc_id % 37 AS grp,
   CASE doc_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE '' END AS t1,
@@ -70,7 +74,15 @@ def annotation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir).select(F.explode(errors).alias("err")).groupBy("err").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH " + LABELS + """, l AS (SELECT doc_id // 5 AS s, doc_id % 5 = 4 AS adj, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS role, 'R' || doc_id % 5 AS who, CASE WHEN doc_id % 3 = 0 THEN 'PATTERN' ELSE 'LINK' END AS cat, a FROM lab),
+g AS (SELECT s, count(*) FILTER (adj) AS n_adj, count(*) FILTER (NOT adj) AS n_items, max(a) FILTER (adj) AS label, coalesce(list(DISTINCT who) FILTER (adj), []) AS judges, coalesce(list(DISTINCT who) FILTER (NOT adj AND role = 1), []) AS a1,
+  coalesce(list(DISTINCT who) FILTER (NOT adj AND role = 2), []) AS a2, count(*) FILTER (NOT adj AND cat = 'PATTERN') AS n_pattern, count(*) FILTER (NOT adj AND cat = 'LINK') AS n_link FROM l GROUP BY 1)
+SELECT s::VARCHAR AS source_id, array_to_string(list_sort(list_filter([
+  CASE WHEN n_adj <> 1 OR label IS NULL THEN 'adjudication missing or incomplete' END, CASE WHEN len(a1) = 0 OR len(a2) = 0 THEN 'two independent annotators required' END,
+  CASE WHEN len(list_intersect(a1, a2)) > 0 THEN 'annotators must differ' END, CASE WHEN len(list_intersect(judges, list_concat(a1, a2))) > 0 THEN 'adjudicator must not be an annotator' END,
+  CASE WHEN n_items = 0 THEN 'no evidence recorded' END, CASE WHEN label IS NOT NULL AND n_items = 0 THEN 'no supporting evidence' END,
+  CASE WHEN label IS NOT NULL AND n_pattern > 0 AND n_link = 0 THEN 'only insufficient evidence' END, CASE WHEN label IS NOT NULL AND n_link = 0 THEN 'no linking evidence' END
+ ], lambda x: x IS NOT NULL)), '; ') AS reasons FROM g""")
 def final_label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, i = labels(spark, sf_dir), F.col("doc_id")
     source = F.floor(i / 5).cast("string").alias("source_id")
@@ -305,13 +317,86 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE ts::DATE = DATE '2024-01-03'")
+@query("SELECT DISTINCT ts::DATE::VARCHAR AS day, user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(s: DataFrame) -> DataFrame:
-        day = s.where(F.to_date("ts") == F.lit("2024-01-03").cast("date"))
-        return jobs.stream_dedup(day, ["user_id", "event_type"], "ts").select("user_id", "event_type")
+        dated = s.withColumn("day", F.to_date("ts").cast("string"))
+        return jobs.stream_dedup(dated, ["day", "user_id", "event_type"], "ts").select("day", "user_id", "event_type")
 
     return _stream(spark, sf_dir, build, "append")
 
 
-__all__ = ["points"]
+@query(FORMED + " SELECT 'SRC-' || substr(sha1(anchor), 1, 10) AS source_id, count(*) AS n, count(*) FILTER (n_valid > 1) AS n_ambiguous FROM run WHERE k > 0 GROUP BY anchor")
+def stream_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources formed by a stream of three files in order of time, equal to those of one batch."""
+    o = obs(spark, sf_dir).select(F.format_string("%012d", "event_id").alias("pk"), "ts", "lat", "lon")
+    home = f"{shared_dir(spark)}/forming-{uuid.uuid4().hex}"
+    for part, (low, high) in enumerate((("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01"))):
+        rows = o.where((F.col("ts") >= F.lit(low).cast("timestamp")) & (F.col("ts") < F.lit(high).cast("timestamp")))
+        rows.coalesce(1).write.parquet(f"{home}/in/part={part}")
+    former = streamed.Former(spark, f"{home}/out")
+    stream = spark.readStream.schema("pk string, ts timestamp, lat double, lon double").option("maxFilesPerTrigger", 1).parquet(f"{home}/in/part=*")
+    former.run(stream, f"{home}/checkpoint")
+    return former.formed().groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("n_ambiguous"))
+
+
+@query("SELECT event_id, printf('%.2f', event_id / 1000.0::DOUBLE) AS two FROM events")
+def half_even_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.format_string("%.2f", legacy.round_half_even(F.col("event_id") / 1000)).alias("two"))
+
+
+@query("SELECT count(*) FILTER (event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0) AS n_dropped, count(*) FILTER (NOT (event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0)) AS n_kept FROM events")
+def legacy_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    raw = table(spark, sf_dir, "events").select(
+        F.when(i % 7 == 0, 91.5).otherwise(20.0).alias("lat"), F.when(i % 11 == 0, F.lit(None)).otherwise(80.0).alias("lon"),
+        F.when(i % 13 == 0, "2024-13-40").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("t"),
+    )
+    kept, dropped = legacy.valid_rows(raw, "lat", "lon", "t")
+    return dropped.crossJoin(F.broadcast(kept.agg(F.count("*").alias("n_kept"))))
+
+
+NEAREST = "WITH " + SITES + ", " + POINTS + f""", n AS (SELECT point_id, arg_min(site_id, ({KM}, site_id)) FILTER (kind <> 'COAL' AND {KM} <= 3) AS site_id, min({KM}) FILTER (kind <> 'COAL' AND {KM} <= 3) AS d, min({KM}) FILTER (kind = 'COAL' AND {KM} <= 1) AS w FROM points JOIN sites ON abs(lat - s_lat) < 0.03 GROUP BY 1)"""
+
+
+@query(NEAREST + " SELECT point_id, site_id, round(d, 3) AS site_km, round(w, 3) AS wood_km FROM points LEFT JOIN n USING (point_id)")
+def legacy_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sites(spark, sf_dir)
+    woods = s.where("kind = 'COAL'").select(F.col("site_id").alias("wood_id"), F.col("s_lat").alias("w_lat"), F.col("s_lon").alias("w_lon"))
+    near = s.where("kind <> 'COAL'").select("site_id", F.col("kind").alias("site_type"), "s_lat", "s_lon")
+    return legacy.enriched(points(spark, sf_dir), near, woods, "point_id").select("point_id", "site_id", "site_km", "wood_km")
+
+
+@query("SELECT c_mktsegment AS kind, count(*) AS candidates, count(DISTINCT c_nationkey) AS groups, count(DISTINCT c_nationkey) FILTER (c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0)) AS new_groups FROM customer GROUP BY 1")
+def class_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").alias("g"))
+    known = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("g"))
+    return research.class_capacity(c, known, "kind", "g")
+
+
+@query("SELECT unnest(['population', 'inclusion', 'redraw']) AS \"check\", 0::BIGINT AS n_bad, true AS ok")
+def draw_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw holds against a second draw and its own counts."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("stratum"))
+    return research.audited(_draw(spark, sf_dir), _draw(spark, sf_dir), c, "c_custkey", "stratum")
+
+
+@query("WITH " + LABELS + """, d AS (SELECT *, a <> b OR doc_id % 11 = 0 AS disputed, doc_id % 3 = 0 AS judged, nullif(list_position(['LOW','MEDIUM','HIGH'], t1), 0) AS x, nullif(list_position(['LOW','MEDIUM','HIGH'], t2), 0) AS y FROM lab)
+SELECT doc_id, CASE WHEN NOT disputed THEN a WHEN judged THEN b END AS label, ['LOW','MEDIUM','HIGH'][least(x, y)] AS tier, CASE WHEN NOT disputed THEN 'AGREED' WHEN judged THEN 'ADJUDICATED' ELSE 'OPEN' END AS status FROM d""")
+def annotation_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, i = labels(spark, sf_dir), F.col("doc_id")
+    sheet = lambda label, tier: l.select("doc_id", F.col(label).alias("label"), F.col(tier).alias("tier"), F.lit("NEWS").alias("sources"), F.lit("ref").alias("reference"), F.lit("me").alias("annotator"))
+    judged = l.where(i % 3 == 0).select("doc_id", F.col("b").alias("final_label"))
+    run = research.intake(l.select("doc_id"), sheet("a", "t1"), sheet("b", "t2"), judged, "doc_id", F.when(i % 11 == 0, "x").otherwise("y"), ["GOOD", "BAD"])
+    return run["final"]
+
+
+@query("SELECT CASE event_id % 4 WHEN 0 THEN 'A_NRT.csv' ELSE 'B_SP.csv' END AS source_file, count(*) AS n FROM events WHERE (event_id % 10 = 0) <> (event_id % 4 = 0) GROUP BY 1")
+def grade_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(
+        F.when(i % 4 == 0, "A_NRT.csv").otherwise("B_SP.csv").alias("source_file"), F.when(i % 4 == 0, "NRT").otherwise("SP").alias("grade"),
+        F.when(i % 10 == 0, "2.0nrt").otherwise("2").alias("version"),
+    )
+    return streamed.grade_mismatches(e, F.col("grade"), F.col("version"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.geojoin import grid_join, nearest
+
 
 def confidence_fraction(raw: Column) -> Column:
     """l .3, n .6, h .9; numbers above 1 are percents."""
@@ -24,9 +26,48 @@ def confidence_score(raw: Column) -> Column:
     )
 
 
+def round_half_even(x: Column, places: int = 2) -> Column:
+    """``x`` to so many decimals, a tie to the even digit, judged on the double's exact binary value.
+
+    ``2.675`` is a little less than its decimal and goes down.  The product with
+    twice the scale is split into parts that doubles hold exactly, so the sign of
+    the distance from the middle of two neighbours is exact.
+    """
+    scale = 10.0**places
+    low = F.floor(x * scale).cast("double")
+    high = 134217729.0 * x - (134217729.0 * x - x)  # the upper 26 bits
+    beyond = (high * (2 * scale) - (2 * low + 1)) + (x - high) * (2 * scale)
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(low, F.lit(2.0)) == 1))
+    return (low + F.when(up, 1.0).otherwise(0.0)) / scale
+
+
 def cell_key(lat: Column, lon: Column) -> Column:
-    """Two-decimal cell of a point (X20), with SQL rounding."""
-    return F.format_string("%.2f_%.2f", F.round(lat, 2), F.round(lon, 2))
+    """Two-decimal cell of a point."""
+    two = lambda x: F.format_string("%.2f", round_half_even(x))
+    return F.concat(two(lat), F.lit("_"), two(lon))
+
+
+def valid_rows(df: DataFrame, lat: str, lon: str, ts: str) -> tuple[DataFrame, DataFrame]:
+    """(rows on the globe with a readable moment, one row with n_dropped)."""
+    there = F.col(lat).cast("double").between(-90, 90) & F.col(lon).cast("double").between(-180, 180)
+    good = F.coalesce(there & F.col(ts).try_cast("timestamp").isNotNull(), F.lit(False))
+    return df.where(good), df.agg(F.count_if(~good).alias("n_dropped"))
+
+
+def detection_id(source: Column, number: Column) -> Column:
+    """``{source}-{number:06d}``."""
+    return F.format_string("%s-%06d", source, number)
+
+
+def enriched(detections: DataFrame, sites: DataFrame, woods: DataFrame, key: str, site_km: float = 3.0, wood_km: float = 1.0) -> DataFrame:
+    """Detections with their nearest site and wood within reach; null where there is none.
+
+    detections: key, lat, lon.  sites: site_id, site_type, s_lat, s_lon.  woods: wood_id, w_lat, w_lon.
+    """
+    near = nearest(grid_join(detections.select(key, "lat", "lon"), sites, site_km, ("lat", "lon"), ("s_lat", "s_lon")), key, "site_id")
+    wood = nearest(grid_join(detections.select(key, "lat", "lon"), woods, wood_km, ("lat", "lon"), ("w_lat", "w_lon")), key, "wood_id")
+    sited = near.select(key, "site_id", "site_type", F.round("distance_km", 3).alias("site_km"))
+    return detections.join(sited, key, "left").join(wood.select(key, F.round("distance_km", 3).alias("wood_km")), key, "left")
 
 
 def trailing_mean(df: DataFrame, key: str, ts: str, value: str, days: int = 60) -> DataFrame:

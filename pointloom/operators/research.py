@@ -187,3 +187,84 @@ def expand_labels(pairs: DataFrame, source: str, site: str, kind: str, group: st
 def grouped_fold(group: Column, folds: int = 5) -> Column:
     """Fold of a group by a hash, so that no group spans train and test."""
     return F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
+
+
+def class_capacity(candidates: DataFrame, labelled: DataFrame, kind: str, group: str) -> DataFrame:
+    """(class, candidates, groups, new_groups): how many are left to label, and groups without a label yet."""
+    fresh = candidates.join(labelled.select(group).distinct().withColumn("_has", F.lit(True)), group, "left")
+    return fresh.groupBy(kind).agg(
+        F.count("*").alias("candidates"), F.countDistinct(group).alias("groups"),
+        F.countDistinct(F.when(F.col("_has").isNull(), F.col(group))).alias("new_groups"),
+    )
+
+
+def pilot(queue: DataFrame, quotas: dict[str, int], most: int = 10, shortlist: int = 500) -> list[dict]:
+    """A pilot by quota: each class in turn, then any class, one of a group, unused region cells first.
+
+    queue: id, kind, group, cell, rank.  A greedy pick over the ``shortlist`` first
+    rows of each class, one of each group, which is all that few picks can reach.
+    """
+    first = Window.partitionBy("group").orderBy("rank", "id")
+    by_kind = Window.partitionBy("kind").orderBy("rank", "id")
+    heads = queue.withColumn("_g", F.row_number().over(first)).where("_g = 1")
+    rows = heads.withColumn("_r", F.row_number().over(by_kind)).where(F.col("_r") <= shortlist).orderBy("rank", "id").collect()
+    picked, groups, cells = [], set(), set()
+
+    def take(wanted: int, kind: str | None) -> None:
+        for new_cell in (True, False):
+            for r in rows:
+                if wanted <= 0:
+                    return
+                if (kind is not None and r["kind"] != kind) or r["group"] in groups or (new_cell and r["cell"] in cells):
+                    continue
+                picked.append({k: r[k] for k in ("id", "kind", "group", "cell")} | {"place": len(picked) + 1})
+                groups.add(r["group"])
+                cells.add(r["cell"])
+                wanted -= 1
+
+    for kind, n in quotas.items():
+        take(min(n, most - len(picked)), kind)
+    take(most - len(picked), None)
+    return picked
+
+
+def audited(drawn: DataFrame, again: DataFrame, population: DataFrame, key: str, stratum: str) -> DataFrame:
+    """(check, n_bad, ok) of a draw: the same rows drawn again, populations and probabilities recomputed."""
+    counts = population.groupBy(stratum).agg(F.count("*").alias("_p"))
+    sizes = drawn.groupBy(stratum).agg(F.count("*").alias("_n"))
+    both = drawn.select(key, stratum, "population", "inclusion").join(counts, stratum).join(sizes, stratum)
+    off = both.agg(
+        F.count_if(F.col("population") != F.col("_p")).alias("population"),
+        F.count_if(F.abs(F.col("inclusion") - F.least(F.lit(1.0), F.col("_n") / F.col("_p"))) > 5e-9).alias("inclusion"),
+    )
+    rows = off.select(F.expr("stack(2, 'population', population, 'inclusion', inclusion) AS (check, n_bad)"))
+    columns = [key, stratum, "draw_order"]
+    a, b = drawn.select(*columns), again.select(*columns)
+    same = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n_bad")).select(F.lit("redraw").alias("check"), "n_bad")
+    return rows.unionByName(same).withColumn("ok", F.col("n_bad") == 0)
+
+
+def intake(packet: DataFrame, first: DataFrame, second: DataFrame, judged: DataFrame, key: str, context: Column, allowed: list[str]) -> dict[str, DataFrame]:
+    """Two annotators' sheets taken in as one run (D23): alignment, errors, agreement, disputes and final labels.
+
+    first and second: key, label, tier, sources, reference, annotator.  judged: key, final_label.
+    """
+    aligned_ids = aligned(packet, first, second, key)
+    errors = []
+    for name, sheet in (("first", first), ("second", second)):
+        found = annotation_errors(F.col("label"), F.col("tier"), F.col("sources"), F.col("reference"), F.col("annotator"), allowed)
+        errors.append(sheet.select(key, F.lit(name).alias("sheet"), F.explode(found).alias("error")))
+    a = first.select(key, F.col("label").alias("a"), F.col("tier").alias("tier_a"))
+    both = packet.join(a, key).join(second.select(key, F.col("label").alias("b"), F.col("tier").alias("tier_b")), key)
+    dispute = needs_adjudication(F.col("a"), F.col("b"), context, F.lit("y"))
+    disputed = both.where(dispute).select(key)
+    final = both.join(judged.select(key, F.col("final_label").alias("_j")), key, "left").withColumns(
+        {"disputed": dispute, "tier": lowest_tier(F.col("tier_a"), F.col("tier_b"))}
+    )
+    label = F.when(F.col("disputed"), F.col("_j")).otherwise(F.col("a"))
+    status = F.when(~F.col("disputed"), "AGREED").when(F.col("_j").isNotNull(), "ADJUDICATED").otherwise("OPEN")
+    return {
+        "alignment": aligned_ids, "errors": errors[0].unionByName(errors[1]), "agreement": kappa(both, "a", "b"), "disputed": disputed,
+        "unasked": judged.join(disputed, key, "left_anti").select(key),
+        "final": final.select(key, label.alias("label"), "tier", status.alias("status")),
+    }
