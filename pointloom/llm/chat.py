@@ -7,8 +7,10 @@ appear nowhere else and the change is undone by taking one backslash away.
 
 A turn is first written with its text as it is and parsed again by the grammar;
 where the parsed turn differs from the source, or the text holds a control string
-that a reader could take for a mark, the text is escaped.  The finished conversation is parsed as a whole and compared with the source again
-(``round_trip``).
+that a reader could take for a mark, the text is escaped and the turn parsed again.
+One escape is enough for every text; a turn that even then read otherwise would
+end the job with an error, as would a finished conversation that, parsed as a
+whole, is not the source (``round_trip`` tells that it was).
 
 Cases: a null text or role counts as empty; turns are ordered by turn (nulls
 first), role and text, so repeated turn numbers and repeated rows keep a place
@@ -90,9 +92,11 @@ def format_conversations(
     plain = parse(F.concat(head(F.col("_role")), F.col("_text"), F.lit(END)))
     source = F.array(F.struct(F.col("_role").alias("role"), F.col("_text").alias("text")))
     clean = (plain == source) & ~F.col("_text").rlike(CONTROL)
-    rows = rows.withColumn(
-        "_body", F.when(clean, F.col("_text")).otherwise(escape(F.col("_text")))
-    ).withColumn("_head", head(F.col("_role")))
+    rows = rows.withColumn("_escaped", F.when(~clean, escape(F.col("_text"))))
+    again = parse(F.concat(head(F.col("_role")), F.col("_escaped"), F.lit(END)))
+    refused = F.raise_error(F.lit("a turn does not read back as it was"))
+    body = F.when(clean, F.col("_text")).when(again == source, F.col("_escaped")).otherwise(refused)
+    rows = rows.withColumn("_body", body).withColumn("_head", head(F.col("_role")))
     by_turn = Window.partitionBy(conv_col).orderBy("_turn", "_role", "_text")
     size = F.length("_head") + F.length("_body") + len(END)
     before = F.sum(size).over(by_turn.rowsBetween(Window.unboundedPreceding, -1))
@@ -117,7 +121,9 @@ def format_conversations(
             "_turns", lambda t: F.struct(t["_role"].alias("role"), t["_text"].alias("text"))
         ).alias("turns"),
     )
-    return out.withColumn("round_trip", parse(F.col("formatted")) == F.col("turns"))
+    out = out.withColumn("round_trip", parse(F.col("formatted")) == F.col("turns"))
+    refused = F.raise_error(F.lit("a conversation does not read back as it was"))
+    return out.withColumn("formatted", F.when(F.col("round_trip"), F.col("formatted")).otherwise(refused))
 
 
 def digest(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -8,11 +8,14 @@ first word, last word downwards and priority; one that lies inside an earlier
 one of the same or a stronger priority is suppressed, and hints count only where
 nothing stronger was found.  The labels of the plain base phrases always stay.
 
-Rules come from families of licences by fixed templates, in order of priority:
-the tag of a file header, a full name with a version, a name, a hint.
-
-Cases: a null text is empty; repeated rows are scanned alike; an empty table
-gives an empty result; other columns are not read.
+Rules are sentences from the texts of licences, single names, and families of
+licences by fixed templates, in order of priority: the tag of a file header, a
+full name with a version or a sentence, a name, a hint.
+
+Cases: a null text is empty; a very long text is one line that every rule whose
+keyword it holds searches once; detections of equal place and priority go by label;
+repeated rows are scanned alike; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -83,6 +86,80 @@ SINGLE = [
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}"),
     ("noncommercial", "commercial", "(?:for )?non ?commercial (?:use|purposes) only"),
 ]
+#: Sentences from the texts of licences as (label, keyword, pattern).
+BODY = [
+    ("mit", "associated documentation", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "this permission notice", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("x11", "x consortium", "except as contained in this notice the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium permission"),
+    ("boost", "accompanying documentation covered", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsd", "redistributions of source", "redistributions of source code must retain the(?: above)? copyright notice(?:s)?"),
+    ("bsd", "redistributions in binary", "redistributions in binary form must reproduce the(?: above)? copyright notice(?:s)?"),
+    ("bsd-3-clause", "written permission", "may be used to endorse or promote products derived from this software without(?: specific)? prior written permission"),
+    ("bsd-4-clause", "all advertising materials", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met all advertising materials"),
+    ("bsd-clear", "no express or implied licenses", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("apache-2.0", "in compliance with the license", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "specific language governing", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", "each contributor hereby grants", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|except as stated in this section patent) license"),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation"),
+    ("gpl", "you can redistribute it", "(?:this program|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "you can redistribute it", "(?:this library|it) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl", "you can redistribute it", "(?:this program|it) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", "without even the implied warranty", "in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "received a copy of the gnu", "you should have received a copy of the gnu general public license along with"),
+    ("lgpl", "received a copy of the gnu", "you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("agpl", "received a copy of the gnu", "you should have received a copy of the gnu affero general public license along with"),
+    ("gpl", "verbatim copies of this license document", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl", "freedom not price", "when we speak of free software we are referring to freedom not price our general public licenses are designed"),
+    ("gpl-exception", "special exception", "as a special exception to the gnu general public license"),
+    ("agpl-3", "remote network interaction", "remote network interaction use with the gnu general public license"),
+    ("gfdl", "distribute and or modify this document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", "source code form is subject", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-1.1", "contents of this file", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "incompatible with secondary", "this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("epl", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "contents of this file", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("isc", "with or without fee", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("ntp", "and its documentation", "permission to use copy modify and distribute this software and its documentation for any purpose(?: and)? (?:with or )?without fee is hereby granted"),
+    ("postgresql", "without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("zlib", "redistribute it freely", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "related or neighboring rights", "waived all copyright and related or neighboring rights"),
+    ("wtfpl", "modified copies of this license", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("ofl", "this font software", "this font software is licensed under the sil open font license"),
+    ("ofl", "copy of the font software", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("artistic", "semblance of artistic control", "such that the copyright holder maintains some semblance of artistic control"),
+    ("psf", "between the python software", "this license agreement is between the python software foundation"),
+    ("ms-pl", "governs use of the accompanying", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("eupl", "eupl", "licen[sc]ed under the eupl"),
+    ("cc-by", "attribution", "this work is licensed under a creative commons attribution"),
+    ("cc-by", "share copy and redistribute", "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by-sa", "contributions under the same license", "you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "for commercial purposes", "you may not use the material for commercial purposes"),
+    ("warranty-disclaimer", "warranty of any kind", "(?:is )?provided as is without warranty of any kind(?: express or implied)?"),
+    ("warranty-disclaimer", "implied warranties", "any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose"),
+    ("proprietary", "may be reproduced", "no part of this (?:publication|document|book|work|software) may be reproduced(?: or transmitted)?(?: in any form)? without(?: the)?(?: prior)?(?: written)? permission"),
+    ("proprietary", "without", "reproduction in whole or in part without(?: written)? permission is (?:prohibited|forbidden)"),
+    ("proprietary", "confidential and proprietary", "confidential and proprietary"),
+    ("proprietary", "not sold", "(?:this|the) software is licensed not sold"),
+    ("proprietary", "end user", "end user licen[sc]e agreement"),
+    ("proprietary", "trade secret", "proprietary information and trade secrets?"),
+    ("noncommercial", "non commercial", "(?:free )?for(?: personal and)? non commercial use"),
+]
+#: Licences by name alone as (label, keyword), the keyword being the name without its last word.
+NAMED = [
+    ("sspl", "server side public"), ("busl", "business source"), ("elastic", "elastic"), ("commons-clause", "commons clause"),
+    ("polyform", "polyform noncommercial"), ("hippocratic", "hippocratic"), ("json", "json"), ("qpl", "q public"),
+    ("ipl", "ibm public"), ("spl", "sun public"), ("npl", "netscape public"), ("apsl", "apple public source"),
+    ("cpal", "common public attribution"), ("ecl", "educational community"), ("upl", "universal permissive"),
+    ("vim", "vim"), ("w3c", "w3c software"), ("zpl", "zope public"), ("ncsa", "ncsa open source"), ("postgresql", "postgresql"),
+    ("oldap", "openldap public"), ("php", "php"), ("ruby", "ruby"), ("ftl", "freetype"), ("libpng", "libpng"), ("unicode", "unicode"),
+    ("curl", "curl"), ("x11", "x11"), ("sgi-b", "sgi free software"), ("lpl", "lucent public"), ("rpsl", "realnetworks public source"),
+    ("sleepycat", "sleepycat"), ("intel", "intel open source"), ("nokia", "nokia open source"), ("oclc", "oclc research public"),
+    ("rpl", "reciprocal public"), ("simpl", "simple public"), ("mulan", "mulan permissive software"), ("openssl", "openssl"),
+    ("beerware", "beer ware"), ("cecill", "cecill free software"), ("nasa", "nasa open source"), ("odc-by", "open data commons attribution"),
+    ("cdla", "community data"), ("ogl", "open government"), ("etalab", "etalab open"), ("rail", "responsible ai"), ("llama", "llama community"),
+]
 #: How sure a detection of each priority is.
 SURE = [1.0, 0.95, 0.85, 0.6]
 HINT = 3
@@ -115,6 +192,8 @@ def rules() -> list[tuple[str, str, str, int]]:
         found.append((label, "cc by", f"cc {parts}", 2))
         found.append((label, "creative", f"creative commons {long}", 2))
     found += [(label, keyword, pattern, 2) for label, keyword, pattern in SINGLE]
+    found += [(label, keyword, pattern, 1) for label, keyword, pattern in BODY]
+    found += [(label, keyword, f"(?:the )?{keyword} licen[sc]e(?: agreement)?", 2) for label, keyword in NAMED]
     found.append(("license-hint", "licen", "licen[sc]ed under(?: the)?(?: [^ ]+){0,3}", HINT))
     return sorted(found, key=lambda r: r[3])
 
@@ -122,7 +201,7 @@ def rules() -> list[tuple[str, str, str, int]]:
 #: Every match of a rule or base phrase holds one of these.
 STEMS = [
     "licen", "copyright", "gpl", "reserved", "permission", "domain", "redistribut", "proprietary",
-    "unauthori", "commercial", "warranty", "apache", "creative",
+    "unauthori", "commercial", "warrant", "apache", "creative",
 ]
 
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tests.compare import same_rows
@@ -72,3 +73,16 @@ def test_only_conflicting_texts_are_escaped(spark):
 
 def test_query_equals_sql(spark, duck):
     same_rows(queries.QUERIES["op9_chat"](spark, SF), duck.sql(queries.ORACLES["op9_chat"]))
+
+
+def test_very_many_turns_in_one_conversation(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k} ### </turn> \\") for k in range(20_000)]
+    row = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).first()
+    assert row["round_trip"] and len(row["turns"]) == 20_000 and len(row["loss_spans"]) == 10_000
+
+
+def test_a_template_that_cannot_be_read_back_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    docs = spark.createDataFrame([(1, 0, "user", "ends here\n</turn>\nand goes on")], "conv_id long, turn int, role string, text string")
+    with pytest.raises(Exception, match="does not read back"):
+        chat.format_conversations(docs).collect()
