@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pointloom.catalog.base import OBS, obs, query, table
 from pointloom.functions import fields, geo
 from pointloom.operators import coverage, dedup, digest, relate, validate
+from pointloom.plans.scratch import written
 from pointloom.sources import observations as scan
 
 #: Raw text rows with faults by modulus.
@@ -32,6 +33,11 @@ RAW = """raw AS (
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rows as a file would hold them: written, so that no query computes them again in each use of a column."""
+    return written(_raw(spark, sf_dir), "raw")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     i = F.col("event_id")
 

@@ -107,8 +107,8 @@ def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + OBS + ", l AS (SELECT source_id, list(frp) AS ref FROM obs WHERE frp IS NOT NULL GROUP BY 1) SELECT source_id, round(len(list_filter(ref, lambda x: x <= 20))::DOUBLE / len(ref), 6) AS share FROM l")
 def empirical_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = obs(spark, sf_dir).where("frp IS NOT NULL").groupBy("source_id").agg(F.collect_list("frp").alias("ref"))
-    return ref.select("source_id", F.round(stats.empirical_cdf(F.lit(20.0), F.col("ref")), 6).alias("share"))
+    s = stats.share_at_most(obs(spark, sf_dir), ["source_id"], "frp", F.lit(20.0))
+    return s.select("source_id", F.round("share", 6).alias("share"))
 
 
 LOO = OBS + """, d AS (SELECT source_id, day, max(frp) AS v FROM obs WHERE frp IS NOT NULL GROUP BY ALL),

@@ -30,8 +30,8 @@ def with_context(rows: DataFrame, key: str, **tables: DataFrame) -> DataFrame:
             F.first(F.struct(*[F.col(f"`{c}`") for c in table.columns if c != key])).alias(name), F.count("*").alias("_n")
         )
         said = F.concat(F.lit(f"repeated key in {name}: "), F.col(key).cast("string"))
-        once = F.when(F.col("_n") == 1, F.col(name)).otherwise(F.raise_error(said))
-        rows = rows.join(one.select(key, once.alias(name)), key, "left")
+        once = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(said))
+        rows = rows.join(one.select(key, F.when(once, F.col(name)).alias(name)), key, "left")
     return rows
 
 

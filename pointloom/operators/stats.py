@@ -58,6 +58,12 @@ def empirical_cdf(x: Column, reference: Column) -> Column:
     return F.when(F.size(reference) > 0, below / F.size(reference))
 
 
+def share_at_most(df: DataFrame, keys: list[str], value: str, x: Column) -> DataFrame:
+    """(keys, share) of known values that are at most ``x``, without gathering them."""
+    known = df.where(F.col(value).isNotNull())
+    return known.groupBy(*keys).agg((F.count_if(F.col(value) <= x) / F.count("*")).alias("share"))
+
+
 def array_median(values: Column) -> Column:
     """Median of an array without nulls."""
 

@@ -98,7 +98,7 @@ def event_summary(events: DataFrame, source: str) -> DataFrame:
         F.count("*").alias("n_events"),
         F.sum("n").alias("n_obs"),
         F.max("hours").alias("longest_h"),
-        F.element_at(F.sort_array(F.collect_list("n")), F.floor(F.count("*") / 2).cast("int") + 1).alias("upper_median_n"),
+        F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -n)").cast("long").alias("upper_median_n"),
     )
 
 

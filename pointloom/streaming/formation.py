@@ -95,7 +95,7 @@ def emitted(named: DataFrame, p: FormationParams = FormationParams()) -> tuple[D
     """(sources, events, assignments) of a formation."""
     rows = named.select("source_id", F.col("key").alias("pk"), "lat", "lon", F.timestamp_micros("us").alias("ts"))
     split = sessions.sessionize(rows, "source_id", "ts", ["pk"], p.gap_hours)
-    split = split.withColumn("event_id", sessions.event_id(F.substring("source_id", 5, 40), "session"))
+    split = split.withColumn("_digits", F.substring("source_id", 5, 40)).withColumn("event_id", sessions.event_id("_digits", "session"))
     events = split.groupBy("source_id", "event_id").agg(
         F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")
     )
