@@ -33,6 +33,8 @@ SYMBOLS = "#*$%&|<>"
 
 #: Common words of each language that have a bin of their own.
 BINS = 16
+#: Common words of all languages that one literal set may hold.
+MOST_LITERAL = 5000
 
 #: Character classes, each removed from what the ones before it left.
 CLASSES = [
@@ -159,20 +161,25 @@ def measure(
             ),
         }
     ).drop(*[f"_r_{k}" for k in range(len(CLASSES) + 1)])
-    out = out.withColumn("_r_low", F.transform("_r_words", lambda w: F.lower(w)))
+    low = F.transform("_r_words", lambda w: F.lower(w))
+    # a first sieve by one set of all languages' words, if they are few enough for a literal
+    known = [r["w"] for r in words.select(F.explode("_r_listed").alias("w")).distinct().limit(MOST_LITERAL + 1).collect()]
+    few = len(known) <= MOST_LITERAL
+    common = F.filter(low, lambda w: w.isin(*known) if few else F.array_contains("_r_listed", w))
+    bins = let(
+        common, lambda c: F.transform("_r_listed", lambda r: F.size(F.filter(c, lambda w: w == r)))
+    )
     out = out.withColumns(
         {
             "_r_n_words": F.size("_r_words"),
             "_r_dup_lines": F.size("_r_lines") - F.size(F.array_distinct("_r_lines")),
             "_r_repeat": repeated_words(F.col("_r_words"), params.window),
+            "_r_bins": bins,
         }
     )
-
-    def places(k: int) -> Column:
-        word = F.get("_r_listed", F.lit(k))
-        return F.when(word.isNotNull(), F.size("_r_low") - F.size(F.array_remove("_r_low", word))).otherwise(0)
-
-    bin_columns = {f"_r_w{k}": places(k) for k in range(BINS)}
+    bin_columns = {
+        f"_r_w{k}": F.coalesce(F.get("_r_bins", F.lit(k)), F.lit(0)) for k in range(BINS)
+    }
     out = out.withColumns(bin_columns).withColumns(
         {
             f"_r_w{BINS}": F.col("_r_n_words") - reduce(lambda a, b: a + b, [F.col(c) for c in bin_columns]),
@@ -180,7 +187,7 @@ def measure(
             | (100 * F.col("_r_repeat") > params.most_repeat_percent * F.col("_r_n_words")),
         }
     )
-    return out.drop("_r_words", "_r_low", "_r_lines", "_r_listed", "_r_docs")
+    return out.drop("_r_words", "_r_lines", "_r_bins", "_r_listed", "_r_docs")
 
 
 MEASURES = ["_r_lang", "_r_base_failed", "_r_n_words", "_r_chars", "_r_dup_lines", "_r_repeat", *HISTOGRAM, *WORD_BINS]
