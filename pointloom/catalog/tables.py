@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pointloom.catalog.base import OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, table
 from pointloom.catalog.spatial import FORMED
 from pointloom.functions import fields
-from pointloom.operators import assess, baseline, facility, legacy, research, sessions, views
+from pointloom.operators import assess, baseline, facility, geojoin, legacy, research, sessions, views
 from pointloom.plans.scratch import shared_dir
 from pointloom.streaming import formation as streamed
 from pointloom.streaming import jobs
@@ -400,3 +400,35 @@ def grade_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 10 == 0, "2.0nrt").otherwise("2").alias("version"),
     )
     return streamed.grade_mismatches(e, F.col("grade"), F.col("version"))
+
+
+@query("WITH " + CELL + """, b AS (SELECT *, coalesce(avg(frp) OVER (PARTITION BY ck ORDER BY epoch_us(ts) RANGE BETWEEN 5184000000000 PRECEDING AND 1 PRECEDING), (SELECT avg(frp) FROM obs), 10.0) AS base FROM cells),
+d AS (SELECT *, CASE WHEN base > 0 THEN (frp - base) / base END AS dev, CASE event_id % 3 WHEN 0 THEN 'Industrial Area' WHEN 1 THEN 'Forest' END AS cover, conf / 100.0::DOUBLE AS c FROM b),
+k AS (SELECT *, CASE WHEN coalesce(c, 0) < 0.3 THEN 'UNKNOWN' WHEN coalesce(cover = 'Industrial Area', false) AND dev >= 0.4 THEN 'INDUSTRIAL_FIRE' WHEN coalesce(cover = 'Industrial Area', false) THEN 'PERSISTENT_THERMAL_SOURCE'
+  WHEN coalesce(cover = 'Forest', false) AND c >= 0.5 THEN 'NATURAL_FIRE' WHEN cover IS NULL AND dev >= 0.3 THEN 'AGRICULTURAL_BURNING' ELSE 'UNKNOWN' END AS class FROM d)
+SELECT event_id, ck AS cell, round(base, 6) AS baseline, round(dev, 6) AS deviation, class, CASE class WHEN 'INDUSTRIAL_FIRE' THEN CASE WHEN dev >= 0.7 THEN 'HIGH' ELSE 'WARNING' END WHEN 'NATURAL_FIRE' THEN CASE WHEN dev >= 0.6 THEN 'HIGH' ELSE 'WARNING' END
+  WHEN 'AGRICULTURAL_BURNING' THEN CASE WHEN dev >= 0.5 THEN 'WARNING' ELSE 'LOW' END ELSE 'LOW' END AS risk FROM k""")
+def legacy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id") % 3
+    cover = F.when(i == 0, "Industrial Area").when(i == 1, "Forest")
+    a = legacy.assessed(obs(spark, sf_dir), "event_id", "ts", "frp", cover, F.col("conf") / 100)
+    return rounded(a, 6, "baseline", "deviation")
+
+
+@query("WITH " + SITES + ", " + POINTS + f""", s AS (SELECT * FROM sites WHERE s_lat BETWEEN 6 AND 30 AND s_lon BETWEEN 68 AND 90), r AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS radius_km),
+pr AS (SELECT point_id, site_id, {KM} AS d FROM points JOIN s ON abs(lat - s_lat) < 0.03 WHERE {KM} <= 2)
+SELECT 'ours_near_theirs' AS direction, radius_km, (SELECT count(DISTINCT point_id) FROM pr WHERE d <= radius_km) AS matched, (SELECT count(*) FROM points) AS total FROM r
+UNION ALL SELECT 'theirs_near_ours', radius_km, (SELECT count(DISTINCT site_id) FROM pr WHERE d <= radius_km), (SELECT count(*) FROM s) FROM r""")
+def region_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours = points(spark, sf_dir).select(F.col("point_id").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    theirs = sites(spark, sf_dir).select(F.col("site_id").alias("t_id"), F.col("s_lat").alias("t_lat"), F.col("s_lon").alias("t_lon"))
+    return geojoin.consistency(ours, theirs, (6.0, 68.0, 30.0, 90.0), [0.5, 1.0, 2.0])
+
+
+@query("WITH i AS (SELECT event_id, ['12.5', ' ', 'NaN', 'true', 'inf', '91', '-90', '1e1'][(event_id % 8)::INT + 1] AS a, ['80', '180.1', '', '-180'][(event_id // 8 % 4)::INT + 1] AS o FROM events), v AS (SELECT *, try_cast(nullif(trim(a), '') AS DOUBLE) AS x, try_cast(nullif(trim(o), '') AS DOUBLE) AS y FROM i) SELECT event_id, CASE WHEN a IN ('NaN', 'true', 'inf') THEN 'INVALID_COORDINATES' WHEN trim(a) = '' OR trim(o) = '' THEN 'MISSING_COORDINATES' WHEN abs(x) > 90 OR abs(y) > 180 THEN 'INVALID_COORDINATES' END AS problem FROM v")
+def point_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
+    lat = pick(("12.5", " ", "NaN", "true", "inf", "91", "-90", "1e1"), i % 8)
+    lon = pick(("80", "180.1", "", "-180"), F.floor(i / 8) % 4)
+    return table(spark, sf_dir, "events").select("event_id", fields.point_problem(lat, lon).alias("problem"))

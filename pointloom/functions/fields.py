@@ -188,3 +188,24 @@ def type_key(label: Column) -> Column:
     for part, key in parts:
         found = found.when(text.contains(part), key)
     return found.otherwise("other")
+
+
+def point_problem(lat: Column, lon: Column) -> Column:
+    """Why two raw coordinates are not a point, or null (P07): a word, NaN or an infinity is invalid, a blank is missing.
+
+    ``true`` and ``false`` are no numbers, whatever the type that held them.
+    """
+    a, o = number(lat.cast("string")), number(lon.cast("string"))
+    blank = blank_to_null(lat.cast("string")).isNull() | blank_to_null(lon.cast("string")).isNull()
+    off = ~a["value"].between(-90, 90) | ~o["value"].between(-180, 180)
+    return F.when(a["bad"] | o["bad"], "INVALID_COORDINATES").when(blank, "MISSING_COORDINATES").when(off, "INVALID_COORDINATES")
+
+
+def available(columns: list[str], wanted: list[str]) -> list[str]:
+    """The wanted columns that there are, in their order."""
+    return [c for c in wanted if c in columns]
+
+
+def site_name(url: Column) -> Column:
+    """Host of a link without ``www.``."""
+    return F.regexp_replace(F.lower(F.parse_url(url, F.lit("HOST"))), r"^www\.", "")

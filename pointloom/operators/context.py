@@ -90,3 +90,9 @@ def land_cover(points: DataFrame, pixels: DataFrame, key: str, radius_m: float =
 
 
 __all__ = ["categories_of", "point_features", "land_cover", "context_tile", "haversine"]
+
+
+def tile_plan(points: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(tile, n_points): the distinct tiles that the points need."""
+    each = points.select(F.explode(tiles_around(F.col(lat), F.col(lon), radius_m)).alias("tile"))
+    return each.groupBy("tile").agg(F.count("*").alias("n_points"))

@@ -80,3 +80,22 @@ def band_join(left: DataFrame, right: DataFrame, left_xy, right_xy, dlat: float,
     ).withColumn("_gx", F.explode(F.sequence(F.floor(F.col(llon) / dlon) - 1, F.floor(F.col(llon) / dlon) + 1)))
     test = (F.abs(F.col(llat) - F.col(rlat)) < dlat) & (F.abs(F.col(llon) - F.col(rlon)) < dlon)
     return near.join(rights, ["_gy", "_gx"]).where(test).drop("_gy", "_gx")
+
+
+def in_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
+    """Inside a bounding box, its edges included."""
+    return lat.between(south, north) & lon.between(west, east)
+
+
+def consistency(
+    ours: DataFrame, theirs: DataFrame, box: tuple[float, float, float, float], radii_km: list[float]
+) -> DataFrame:
+    """(direction, radius_km, matched, total) between two point tables, theirs cut to a box.
+
+    ours: o_id, o_lat, o_lon.  theirs: t_id, t_lat, t_lon.  A consistency check, not accuracy.
+    """
+    kept = theirs.where(in_box(F.col("t_lat"), F.col("t_lon"), *box))
+    o, t = ("o_lat", "o_lon"), ("t_lat", "t_lon")
+    there = match_rates(ours, kept, "o_id", radii_km, o, t).withColumn("direction", F.lit("ours_near_theirs"))
+    back = match_rates(kept, ours, "t_id", radii_km, t, o).withColumn("direction", F.lit("theirs_near_ours"))
+    return there.unionByName(back)

@@ -126,3 +126,12 @@ def two_hour_buckets(df: DataFrame, ts: str, value: str, day: Column) -> DataFra
     return spark.range(12).select((F.col("id") * 2).cast("int").alias("hour")).join(own, "hour", "left").select(
         "hour", F.coalesce("n", F.lit(0)).alias("n"), "peak"
     )
+
+
+def assessed(df: DataFrame, key: str, ts: str, value: str, cover: Column, confidence: Column) -> DataFrame:
+    """The older chain in one: cell, baseline, deviation, class and risk of each detection."""
+    celled = df.withColumns({"cell": cell_key(F.col("lat"), F.col("lon")), "_cover": cover, "_confidence": confidence})
+    based = trailing_mean(celled, "cell", ts, value)
+    dev = based.withColumn("deviation", deviation(F.col(value), F.col("baseline")))
+    named = dev.withColumn("class", classify(F.col("_cover"), F.col("_confidence"), F.col("deviation")))
+    return named.withColumn("risk", risk(F.col("class"), F.col("deviation"))).select(key, "cell", "baseline", "deviation", "class", "risk")

@@ -1,11 +1,14 @@
 """Joins by id with their checks, packets, projections and the order contract of streams."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import formation, legacy, packets, projections, relate, research
 from pointloom.plans.joins import join_heavy
 from pointloom.plans.scratch import Leftovers, written
+from pointloom.sources import sinks
 from pointloom.streaming import formation as streamed
 
 
@@ -143,3 +146,32 @@ def test_polygons_wider_than_the_search_radius_are_found(spark):
 def test_formation_needs_no_observations(spark):
     obs = spark.createDataFrame([], "pk string, ts timestamp, lat double, lon double")
     assert formation.form_sources(obs, "pk", "ts").count() == 0
+
+
+def test_tables_have_a_manifest_that_order_does_not_change(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, None)], "k long, v string")
+    a = sinks.write_tables(str(tmp_path / "a"), {"t": df}, {"t": "k"}, {"seed": 1})
+    b = sinks.write_tables(str(tmp_path / "b"), {"t": df.orderBy("k").repartition(2)}, {"t": "k"}, {"seed": 1})
+    assert a == b and a["tables"]["t"]["rows"] == 2
+    assert json.loads(spark.read.text(str(tmp_path / "a/manifest")).first()[0])["manifest_hash"] == a["manifest_hash"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "a/t")).count() == 2
+
+
+def test_packets_for_annotators_do_not_name_the_source(spark, tmp_path):
+    df = spark.createDataFrame([("ANN-1", "SRC-9", "x", "y", 20.12345, 80.0)], "annotation_id string, source_id string, first_seen string, last_seen string, centroid_lat double, centroid_lon double")
+    sinks.write_packet(df, "source_id", str(tmp_path))
+    shown = spark.read.json(str(tmp_path / "packet_json"))
+    assert "source_id" not in shown.columns and shown.first()["centroid_lat"] == "20.123"
+    assert spark.read.json(str(tmp_path / "PRIVATE_key")).first()["source_id"] == "SRC-9"
+
+
+def test_only_new_rows_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, v string")
+    assert sinks.append_new(rows, str(tmp_path / "m"), ["k", "absent"]) == 2
+    assert sinks.append_new(rows.unionByName(spark.createDataFrame([(3, "c")], "k long, v string")), str(tmp_path / "m"), ["k"]) == 1
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 3
+
+
+def test_no_model_is_saved_while_the_gate_is_closed(tmp_path):
+    with pytest.raises(sinks.GateClosed):
+        sinks.save_model(None, str(tmp_path), {})
