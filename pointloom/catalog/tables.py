@@ -406,13 +406,13 @@ def grade_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT *, CASE WHEN base > 0 THEN (frp - base) / base END AS dev, CASE event_id % 3 WHEN 0 THEN 'Industrial Area' WHEN 1 THEN 'Forest' END AS cover, conf / 100.0::DOUBLE AS c FROM b),
 k AS (SELECT *, CASE WHEN coalesce(c, 0) < 0.3 THEN 'UNKNOWN' WHEN coalesce(cover = 'Industrial Area', false) AND dev >= 0.4 THEN 'INDUSTRIAL_FIRE' WHEN coalesce(cover = 'Industrial Area', false) THEN 'PERSISTENT_THERMAL_SOURCE'
   WHEN coalesce(cover = 'Forest', false) AND c >= 0.5 THEN 'NATURAL_FIRE' WHEN cover IS NULL AND dev >= 0.3 THEN 'AGRICULTURAL_BURNING' ELSE 'UNKNOWN' END AS class FROM d)
-SELECT event_id, ck AS cell, round(base, 6) AS baseline, round(dev, 6) AS deviation, class, CASE class WHEN 'INDUSTRIAL_FIRE' THEN CASE WHEN dev >= 0.7 THEN 'HIGH' ELSE 'WARNING' END WHEN 'NATURAL_FIRE' THEN CASE WHEN dev >= 0.6 THEN 'HIGH' ELSE 'WARNING' END
+SELECT event_id, ck AS cell, round(base, 9) AS baseline, round(dev, 9) AS deviation, class, CASE class WHEN 'INDUSTRIAL_FIRE' THEN CASE WHEN dev >= 0.7 THEN 'HIGH' ELSE 'WARNING' END WHEN 'NATURAL_FIRE' THEN CASE WHEN dev >= 0.6 THEN 'HIGH' ELSE 'WARNING' END
   WHEN 'AGRICULTURAL_BURNING' THEN CASE WHEN dev >= 0.5 THEN 'WARNING' ELSE 'LOW' END ELSE 'LOW' END AS risk FROM k""")
 def legacy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id") % 3
     cover = F.when(i == 0, "Industrial Area").when(i == 1, "Forest")
     a = legacy.assessed(obs(spark, sf_dir), "event_id", "ts", "frp", cover, F.col("conf") / 100)
-    return rounded(a, 6, "baseline", "deviation")
+    return rounded(a, 9, "baseline", "deviation")
 
 
 @query("WITH " + SITES + ", " + POINTS + f""", s AS (SELECT * FROM sites WHERE s_lat BETWEEN 6 AND 30 AND s_lon BETWEEN 68 AND 90), r AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS radius_km),

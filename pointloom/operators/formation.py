@@ -31,7 +31,7 @@ from pointloom.functions.geo import EARTH_M, haversine
 from pointloom.operators.graph import connected_components
 from pointloom.operators.sessions import sessionize
 from pointloom.plans.joins import join_sized
-from pointloom.plans.scratch import drop, written
+from pointloom.plans.scratch import Leftovers, drop, written
 
 METRES = EARTH_M * math.pi / 180  # of a degree of latitude
 
@@ -126,15 +126,18 @@ def components(obs: DataFrame, key: str, radius_km: float, lat: str = "lat", lon
 def _with_components(obs: DataFrame, radius_m: float, lat: str, lon: str) -> DataFrame:
     """``obs`` with the number of each row's component."""
     points = obs.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).groupBy("lat", "lon").agg(F.count("*").alias("n"))
-    cells, links = cell_links(points, radius_m)
-    parts = connected_components(links)
-    named = cells.join(parts.withColumnRenamed("node", "cell"), "cell", "left").select(
-        F.struct("y", "x").alias("_cell"), F.coalesce("component", "cell").alias("component"), "n"
-    )
+    with Leftovers() as scratch:
+        cells, links = cell_links(points, radius_m)
+        parts = connected_components(links)
+        named = cells.join(parts.withColumnRenamed("node", "cell"), "cell", "left").select(
+            F.struct("y", "x").alias("_cell"), F.coalesce("component", "cell").alias("component"), "n"
+        )
+        named = written(named, "cells")
+    scratch.release(named)
     y, x = _cells(radius_m, F.col(lat), F.col(lon))
     rows = obs.withColumns({"_y": y, "_x": x})
     rows = rows.withColumn("_cell", F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"))).drop("_y", "_x")
-    return join_sized(rows, written(named, "cells"), "_cell", "n").drop("_cell", "n")
+    return join_sized(rows, named, "_cell", "n").drop("_cell", "n")
 
 
 class Places:
