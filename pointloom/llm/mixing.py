@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from pointloom.functions.lets import let
 from pointloom.plans.joins import join_sized
-from pointloom.plans.scratch import drop, written
+from pointloom.plans.scratch import Leftovers, drop, written
 
 LOG = logging.getLogger(__name__)
 
@@ -207,7 +207,9 @@ def rake(cells: DataFrame, params: MixParams, bounded: bool = False) -> Raked:
     the driver's memory, more by Spark jobs; both follow the same steps.
     """
     few = cells.limit(params.most_local_cells + 1).count() <= params.most_local_cells
-    fitted, rounds, error, moved = (_fit_local if few else _fit_distributed)(cells, params, bounded)
+    with Leftovers() as scratch:
+        fitted, rounds, error, moved = (_fit_local if few else _fit_distributed)(cells, params, bounded)
+    scratch.release(fitted)
     converged = error < params.tolerance
     if not converged or max(moved.values(), default=0.0) >= params.tolerance:
         LOG.warning("targets moved by %s (total variation); categories are off by %.3g of all tokens", moved, error)
@@ -345,11 +347,11 @@ def mix(
         F.struct(*[F.col(axis).alias(f"_m_{axis}") for axis in AXES]).alias("_m_cell"),
         (F.col("factor") / params.token_share).alias("_m_factor"),
         F.col("factor").alias("_m_probability"),
-        "docs",
+        F.col("docs").alias("_m_docs"),
     )
     rows = marked.withColumn("_m_cell", F.struct(*names))
     return (
-        join_sized(rows, chances, "_m_cell", "docs")
+        join_sized(rows, chances, "_m_cell", "_m_docs")
         .withColumns({"_m_fit_error": F.lit(raked.error), "_m_kept": F.col("_m_draw") < F.col("_m_probability")})
-        .drop("docs", "_m_cell", "_m_draw")
+        .drop("_m_docs", "_m_cell", "_m_draw")
     )

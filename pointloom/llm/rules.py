@@ -140,7 +140,7 @@ def measure(
 
     ``words`` are those of :func:`common_words`, as a written table.
     """
-    out = docs.withColumns(
+    out = docs.drop("_r_listed", "_r_docs").withColumns(
         {"_r_lang": F.coalesce(F.col(lang_col), F.lit("")), "_r_0": F.coalesce(F.col(text_col), F.lit(""))}
     )
     out = join_sized(out, words, "_r_lang", "_r_docs")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from pointloom.operators.graph import connected_components
 from pointloom.plans.joins import join_heavy
-from pointloom.plans.scratch import written
+from pointloom.plans.scratch import Leftovers, written
 
 BITS = 64
 SEED = 42
@@ -309,8 +309,18 @@ def classify(
     """All rows as (id, _hash, fp), and (fp, _rows, component_size, _first) of each distinct fingerprint.
 
     ``_first`` names one row of the component: the smallest id, null ids last,
-    then the smallest hash of the text.
+    then the smallest hash of the text.  Both are written tables; all others that
+    were written on the way are deleted.
     """
+    with Leftovers() as scratch:
+        prints, named = _classified(docs, id_col, text_col, width, radius)
+    scratch.release(prints, named)
+    return prints, named
+
+
+def _classified(
+    docs: DataFrame, id_col: str, text_col: str, width: int, radius: int
+) -> tuple[DataFrame, DataFrame]:
     prints = written(with_fingerprints(docs, id_col, text_col, width), "prints")
     row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("_hash").alias("hash"))
     distinct = written(prints.groupBy("fp").agg(F.min(row).alias("_least"), F.count("*").alias("_rows")), "distinct")
