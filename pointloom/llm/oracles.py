@@ -83,3 +83,32 @@ SELECT doc_id, n::BIGINT AS n_words, (n_all - c_space)::BIGINT AS word_chars, c_
   NOT failed AND coalesce(cd, 0) <= {p.char_base}::DOUBLE + noise AND coalesce(wd, 0) <= {p.word_base}::DOUBLE + noise AS kept,
   round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
 FROM verdict"""
+
+
+#: Whole numbers of 128 bits; every source of a language with each of its kept terms.
+OP11 = r"""
+WITH docs AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+raw AS (SELECT k, lang, source, unnest(words) AS w FROM docs),
+terms AS (SELECT k, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM raw),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM terms JOIN kept USING (lang, term) GROUP BY lang, source, term),
+vs AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n_lang FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sums AS (SELECT lang, source, sum(n)::HUGEINT AS n_group FROM counts GROUP BY lang, source),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.n_group, 0) + 2 * v) AS p,
+    1 + (1000000000::HUGEINT * (k.total + 2)) // (n_lang + 2 * v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN vs USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source),
+fs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS f
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN fs ON fs.lang = a.lang AND fs.source = a.source AND fs.item = b.source),
+tops AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+  FROM dense WHERE n > 0 AND p > q),
+every AS (SELECT * FROM pairs UNION ALL SELECT * FROM tops)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 10"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm import (
     chat,
+    divergence,
     langid,
     licenses,
     mixing,
@@ -117,6 +118,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs.where(~langid.held_out()), params), params)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketch": op8_sketch,
     "op9_chat": op9_chat,
     "op10_langid": op10_langid,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": oracles.op4(), "op9_chat": oracles.OP9}
+ORACLES: dict[str, str] = {"op4_quality_rules": oracles.op4(), "op9_chat": oracles.OP9, "op11_source_divergence": oracles.OP11}
