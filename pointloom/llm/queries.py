@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import (
+    alignment,
     chat,
     divergence,
     langid,
@@ -122,6 +123,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [packing.public_path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(_table(spark, sf_dir, "documents"), alignment.AlignParams(*paths))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_langid": op10_langid,
     "op11_source_divergence": op11_source_divergence,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {"op4_quality_rules": oracles.op4(), "op9_chat": oracles.OP9, "op11_source_divergence": oracles.OP11}
