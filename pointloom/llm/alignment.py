@@ -21,7 +21,6 @@ may be null; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -35,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.llm.planes import pack, unpack
 from pointloom.llm.tokenize import PLAIN, byte_letters
 from pointloom.plans.scratch import written
 
@@ -160,14 +160,14 @@ def end_events(docs: DataFrame, side: str, path: str, id_col: str, text_col: str
                     if not text or b"".join(map(piece, ids)) != b" " + text.encode():
                         out_row.append(row)
                         out_first.append(-1)
-                        out_ids.append(b"")
+                        out_ids.append(np.zeros(0, "<u4"))
                         continue
                     codes = np.array(ids, "<u4")
                     ends = np.cumsum(sizes[codes])
                     for k in range(0, len(codes), RUN):
                         out_row.append(row)
                         out_first.append(int(ends[k]))
-                        out_ids.append(codes[k : k + RUN].tobytes())
+                        out_ids.append(codes[k : k + RUN])
             where = pa.array(out_row, pa.int64())
             columns = [
                 batch.column(0).take(where),
@@ -175,7 +175,7 @@ def end_events(docs: DataFrame, side: str, path: str, id_col: str, text_col: str
                 pa.array([copies[keys[r]] for r in out_row], pa.int64()),
                 pa.array([side] * len(out_row), pa.string()),
                 pa.array(out_first, pa.int64()),
-                pa.array([_packed(x) for x in out_ids], pa.binary()),
+                pa.array([pack(x) for x in out_ids], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -183,24 +183,6 @@ def end_events(docs: DataFrame, side: str, path: str, id_col: str, text_col: str
     return rows.mapInArrow(cut, T.StructType(fields))
 
 
-@functools.cache
-def _zstd():
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-
-
-def _packed(data: bytes) -> bytes:
-    """32-bit words, small as most ids are, by plane of bytes and compressed."""
-    planes = np.frombuffer(data, np.uint8).reshape(-1, 4)
-    return _zstd()[0](planes.T.tobytes())
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(_zstd()[1](data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
-
-
 class Sweep:
     """The machine that reads events in order of document and offset.
 
@@ -240,7 +222,7 @@ class Sweep:
         if first < 0:
             doc["bad"] = True
         else:
-            ids = _unpacked(data)
+            ids = unpack(data).astype(np.int64)
             self.runs[side].append((len(self.docs) - 1, ids))
             self.held += len(ids)
 
@@ -354,7 +336,7 @@ def sweep_blocks(events: DataFrame, params: AlignParams) -> DataFrame:
             lists += [pa.array(found[n], pa.int64()) for n in ("pairs", "counts")]
             columns = [pa.array([number], pa.int64())]
             columns += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-            columns += [pa.array([_packed(found[n].astype("<u4").tobytes())], pa.binary()) for n in ("in_doc", "places", "times")]
+            columns += [pa.array([pack(found[n].astype("<u4"))], pa.binary()) for n in ("in_doc", "places", "times")]
             number += 1
             return pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
@@ -400,7 +382,7 @@ def align(docs: DataFrame, params: AlignParams, id_col: str = "doc_id", text_col
                 size = len(columns["ids"][k].values)
                 total = np.zeros(0, np.int64) if known is None else known.field("total").to_numpy()
                 best = np.zeros(0, bool) if known is None else known.field("best").to_numpy(zero_copy_only=False)
-                doc, place, times = (_unpacked(columns[n][k].as_py()) for n in ("in_doc", "places", "times"))
+                doc, place, times = (unpack(columns[n][k].as_py()).astype(np.int64) for n in ("in_doc", "places", "times"))
                 n_best, count_sum = np.zeros(size, np.int64), np.zeros(size, np.int64)
                 np.add.at(n_best, doc, times * best[place])
                 np.add.at(count_sum, doc, times * total[place])

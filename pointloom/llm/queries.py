@@ -21,6 +21,7 @@ from pointloom.llm import (
     sharding,
     simhash,
     sketch,
+    substrings,
 )
 from pointloom.plans.scratch import written
 from pointloom.plans.session import arrow_batches
@@ -123,6 +124,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [packing.public_path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return alignment.align(_table(spark, sf_dir, "documents"), alignment.AlignParams(*paths))
@@ -140,7 +145,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_langid": op10_langid,
     "op11_source_divergence": op11_source_divergence,
+    "op12_suffix_array": op12_suffix_array,
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": oracles.op4(), "op9_chat": oracles.OP9, "op11_source_divergence": oracles.OP11}
+ORACLES: dict[str, str] = {"op4_quality_rules": oracles.op4(), "op9_chat": oracles.OP9, "op11_source_divergence": oracles.OP11, "op12_suffix_array": oracles.OP12}

@@ -1,11 +1,13 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from tests.conftest import SF
 from tests.llm import odd
 
 from pointloom.llm import alignment, packing
+from pointloom.llm.planes import pack
 
 PATHS = [packing.public_path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 PARAMS = alignment.AlignParams(*PATHS)
@@ -132,7 +134,7 @@ def test_a_block_holds_a_bounded_number_of_ends():
     held, blocks = [], 0
     for k in range(400):
         for side, ids, width in (("a", [2] * 30, 60), ("b", [2] * 20, 60)):
-            data = alignment._packed(alignment.np.array(ids, "<u4").tobytes())
+            data = pack(np.array(ids, "<u4"))
             machine.feed((1, 1), 1, side, width * k + 2 + (side == "b"), data)
             machine.block(True)
             blocks += 1
