@@ -124,9 +124,9 @@ begun AS (SELECT k, i, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i) > 50
 numbered AS (SELECT k, i, count(*) FILTER (new) OVER (PARTITION BY k ORDER BY i) AS run FROM begun),
 runs AS (SELECT k, run, min(i) AS s, max(i) + 50 AS e FROM numbered GROUP BY k, run),
 pieces AS (
-  SELECT k, s AS at, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS b, s AS e FROM runs
+  SELECT k, s AS place, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS b, s AS e FROM runs
   UNION ALL SELECT docs.k, length(h) // 2 + 1, coalesce(max(runs.e), 0), length(h) // 2 FROM docs LEFT JOIN runs USING (k) GROUP BY docs.k, h),
-kept AS (SELECT k, string_agg(substring(h, 2 * b + 1, 2 * (pieces.e - b)), '' ORDER BY at) AS rest FROM pieces JOIN docs USING (k) GROUP BY k)
+kept AS (SELECT k, string_agg(substring(h, 2 * b + 1, 2 * (pieces.e - b)), '' ORDER BY place) AS rest FROM pieces JOIN docs USING (k) GROUP BY k)
 SELECT doc_id, length(h) // 2 AS n_bytes, length(h) // 2 - length(rest) // 2 AS n_removed,
   (SELECT count(*) FROM runs WHERE runs.k = docs.k) AS n_spans, sha256(unhex(rest)) AS kept_sha256
 FROM docs JOIN kept USING (k)"""
