@@ -114,19 +114,22 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 QUALIFY part = 'pair' OR rank <= 10"""
 
 
-#: Every window of 50 bytes as hexadecimal text; runs of removed bytes are windows at most 50 apart.
+#: Every window of 50 bytes as hexadecimal text, from pieces of 512; runs of removed bytes are windows at most 50 apart.
 OP12 = """
 WITH docs AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-wins AS (SELECT k, doc_id, i, substring(h, 2 * i + 1, 100) AS w FROM docs, range(0, length(h) // 2 - 49) t(i)),
-least AS (SELECT w, min(doc_id) AS m FROM wins GROUP BY w),
-gone AS (SELECT k, i FROM wins JOIN least USING (w) WHERE doc_id > m),
+cut AS (SELECT k, doc_id, c * 512 AS first, substring(h, c * 1024 + 1, 1024 + 98) AS p
+  FROM docs, range(0, greatest(0, length(h) // 2 - 49 + 511) // 512) t(c)),
+wins AS (SELECT k, doc_id, first + i AS i, substring(p, 2 * i + 1, 100) AS w FROM cut, range(0, length(p) // 2 - 49) t(i)),
+mins AS (SELECT w, min(doc_id) AS m FROM wins GROUP BY w HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT k, i FROM wins JOIN mins USING (w) WHERE doc_id > m),
 begun AS (SELECT k, i, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i) > 50, true) AS new FROM gone),
 numbered AS (SELECT k, i, count(*) FILTER (new) OVER (PARTITION BY k ORDER BY i) AS run FROM begun),
 runs AS (SELECT k, run, min(i) AS s, max(i) + 50 AS e FROM numbered GROUP BY k, run),
 pieces AS (
-  SELECT k, s AS place, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS b, s AS e FROM runs
+  SELECT k, s AS place, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS x, s AS y FROM runs
   UNION ALL SELECT docs.k, length(h) // 2 + 1, coalesce(max(runs.e), 0), length(h) // 2 FROM docs LEFT JOIN runs USING (k) GROUP BY docs.k, h),
-kept AS (SELECT k, string_agg(substring(h, 2 * b + 1, 2 * (pieces.e - b)), '' ORDER BY place) AS rest FROM pieces JOIN docs USING (k) GROUP BY k)
+kept AS (SELECT k, string_agg(substring(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY place) AS rest FROM pieces JOIN docs USING (k) GROUP BY k),
+spans AS (SELECT k, count(*) AS n FROM runs GROUP BY k)
 SELECT doc_id, length(h) // 2 AS n_bytes, length(h) // 2 - length(rest) // 2 AS n_removed,
-  (SELECT count(*) FROM runs WHERE runs.k = docs.k) AS n_spans, sha256(unhex(rest)) AS kept_sha256
-FROM docs JOIN kept USING (k)"""
+  coalesce(n, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM docs JOIN kept USING (k) LEFT JOIN spans USING (k)"""

@@ -349,26 +349,32 @@ def shard_windows(rows: list[dict], width: int) -> list[tuple[int, np.ndarray]]:
     ids = np.array(least, np.int64)
     order = np.argsort(keys, kind="stable")
     cuts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-    windows: list[np.ndarray | None] = [None] * len(contents)
+    sizes = np.fromiter((len(c) - width + 1 for c in contents), np.int64, len(contents))
+    begin = np.cumsum(sizes) - sizes
+    windows = np.repeat(ids, sizes)  # right where a key has one segment, with no other to be sorted among
     chunk, size = [], 0
 
     def sort_chunk():
         for place, found in zip(chunk, least_of_windows([contents[c] for c in chunk], ids[chunk], width), strict=True):
-            windows[place] = found
+            windows[begin[place] : begin[place] + sizes[place]] = found
 
-    for group in np.split(order, cuts[1:]):
-        if len(group) == 1:  # no other segment to sort it among
-            windows[group[0]] = np.full(len(contents[group[0]]) - width + 1, ids[group[0]])
-            continue
+    stops = np.append(cuts[1:], len(order))
+    for start, stop in zip(cuts[stops - cuts > 1].tolist(), stops[stops - cuts > 1].tolist(), strict=True):
+        group = order[start:stop].tolist()
         own = sum(len(contents[c]) + 1 for c in group)
         if chunk and size + own > CHUNK:
             sort_chunk()
             chunk, size = [], 0
-        chunk.extend(group.tolist())
+        chunk.extend(group)
         size += own
     if chunk:
         sort_chunk()
-    return [(r["block"], np.concatenate([windows[c] for c in own])) for r, own in zip(rows, where, strict=True)]
+    out = []
+    for r, own in zip(rows, where, strict=True):
+        times = sizes[own]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        out.append((r["block"], windows[np.repeat(begin[own], times) + step]))
+    return out
 
 
 def sorted_shards(segments: DataFrame, width: int) -> DataFrame:

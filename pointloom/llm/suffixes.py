@@ -34,7 +34,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     order = found[_is_in(found, lms, n + 1)]
     names, count = _named(text, lms, order)
     if count < len(lms):
-        order = lms[np.array(_sorted_names(names.tolist(), count))]
+        order = lms[_sorted_names(names, count)]
     return _induced(text, smaller, ends, order, size)[1:]
 
 
@@ -119,68 +119,53 @@ def _named(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.nda
     return names[lms], int(names[order[-1]]) + 1
 
 
-def _sorted_names(text: list[int], size: int) -> list[int]:
-    """The suffix array of a string of names whose last one, 0, occurs once."""
+def _sorted_names(text: np.ndarray, size: int) -> np.ndarray:
+    """The suffix array of a string of names below ``size`` whose last one, 0, occurs once."""
     n = len(text)
     if size == n:
-        order = [0] * n
-        for i, c in enumerate(text):
-            order[c] = i
-        return order
-    smaller = bytearray(n)
-    smaller[n - 1] = 1
-    later, kind = text[n - 1], 1
-    for i in range(n - 2, -1, -1):
-        c = text[i]
-        if c != later:
-            kind = 1 if c < later else 0
-        smaller[i] = kind
-        later = c
-    lms = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    counts = [0] * size
-    for c in text:
-        counts[c] += 1
-    starts, ends, total = [0] * size, [0] * size, 0
-    for c in range(size):
-        starts[c] = total
-        total += counts[c]
-        ends[c] = total - 1
+        return np.argsort(text)
+    smaller = _smaller(text)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    ends = np.cumsum(np.bincount(text, minlength=size))
+    starts = np.concatenate([[0], ends[:-1]]).tolist()
+    ends = (ends - 1).tolist()
+    codes = text.tolist()
+    # the name before i if it is larger, or smaller, than its successor, else -1; also for -1, an empty place
+    before = np.concatenate([[-1], text[:-1], [-1]])
+    kind = np.concatenate([[True], smaller[:-1], [True]])
+    larger_before = np.where(kind, -1, before).tolist()
+    smaller_before = np.where(kind, before, -1).tolist()
 
     def induce(known: list[int]) -> list[int]:
         found = [-1] * n
         tail = ends[:]
         for i in reversed(known):
-            c = text[i]
+            c = codes[i]
             found[tail[c]] = i
             tail[c] -= 1
         head = starts[:]
         for i in found:  # also what this loop puts there
-            if i > 0 and not smaller[i - 1]:
-                c = text[i - 1]
-                found[head[c]] = i - 1
-                head[c] += 1
+            c = larger_before[i]
+            if c >= 0:
+                k = head[c]
+                found[k] = i - 1
+                head[c] = k + 1
         tail = ends[:]
         for k in range(n - 1, -1, -1):
             i = found[k]
-            if i > 0 and smaller[i - 1]:
-                c = text[i - 1]
-                found[tail[c]] = i - 1
-                tail[c] -= 1
+            c = smaller_before[i]
+            if c >= 0:
+                k = tail[c]
+                found[k] = i - 1
+                tail[c] = k - 1
         return found
 
-    found = induce(lms)
-    marked = set(lms)
-    order = [i for i in found if i in marked]
-    following = dict(zip(lms, [*lms[1:], n - 1], strict=True))
-    rank, names, last = -1, {}, None
-    for i in order:
-        piece = text[i : following[i] + 1]
-        if piece != last:
-            rank, last = rank + 1, piece
-        names[i] = rank
-    if rank + 1 < len(lms):
-        order = [lms[k] for k in _sorted_names([names[i] for i in lms], rank + 1)]
-    return induce(order)
+    found = np.array(induce(lms.tolist()))
+    order = found[_is_in(found, lms, n)]
+    names, count = _named(text, lms, order)
+    if count < len(lms):
+        order = lms[_sorted_names(names, count)]
+    return np.array(induce(order.tolist()))
 
 
 def permuted_prefixes(codes: np.ndarray, order: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -200,8 +185,11 @@ def permuted_prefixes(codes: np.ndarray, order: np.ndarray, limit: np.ndarray) -
     while len(open_):
         here = shared[open_]
         x = words[open_ + here] ^ words[before[open_] + here]
-        low = (x & (~x + np.uint64(1))).astype(np.float64)  # the lowest bit that differs
-        equal = np.where(x == 0, 8, np.log2(np.maximum(low, 1)).astype(np.int64) // 8)
+        equal = np.full(len(x), 8)
+        apart = np.flatnonzero(x)
+        low = x[apart]
+        low &= ~low + np.uint64(1)  # the lowest bit that differs
+        equal[apart] = np.log2(low.astype(np.float64)).astype(np.int64) // 8
         shared[open_] = np.minimum(here + equal, most[open_])
         open_ = open_[(equal == 8) & (shared[open_] < most[open_])]
     return shared
