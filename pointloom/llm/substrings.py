@@ -128,26 +128,28 @@ class Block:
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(key, first window, end of windows, document) of each segment."""
         found = [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))]
+        # a segment also ends where a document does and where its last window has begun
+        breaks = np.sort(np.concatenate([self.starts, np.maximum(self.starts, self.stops - self.width + 1)]))
         for at in range(0, len(self.codes) - self.width + 1, SLICE):
             keys = window_keys(self.codes[at : at + SLICE + self.width - 1], self.width)
-            place = np.arange(at, at + len(keys))
-            doc = np.searchsorted(self.stops, place, "right")
-            inside = place + self.width <= self.stops[doc]
             new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+            np.not_equal(keys[1:], keys[:-1], out=new[1:])
+            inner = breaks[np.searchsorted(breaks, at) : np.searchsorted(breaks, at + len(keys))]
+            new[inner - at] = True
             first = np.flatnonzero(new)
             end = np.append(first[1:], len(keys))
-            held = inside[first]
-            first, end = first[held], end[held]
-            for k, x in enumerate((keys[first], first + at, end + at, doc[first])):
+            doc = np.searchsorted(self.stops, first + at, "right")
+            held = first + at + self.width <= self.stops[doc]
+            first, end, doc = first[held], end[held], doc[held]
+            for k, x in enumerate((keys[first], first + at, end + at, doc)):
                 found[k].append(x)
         return tuple(np.concatenate(x) for x in found)
 
     def cut(self, known: np.ndarray, crowded: np.ndarray):
         """The segments with a key in ``known``; those of ``crowded`` keys window by window.
 
-        Returns the distinct ones as (key, bytes) -> least id, in a fixed order, and
-        for each one cut its place in that order, first window, windows and document.
+        Returns the bytes, key and least id of the distinct ones, in a fixed order, and
+        of each one cut its place in that order, first window, windows and document.
         """
         from xxhash import xxh64_intdigest
 
@@ -160,20 +162,22 @@ class Block:
         firsts = np.concatenate([first[whole], single])
         ends = np.concatenate([end[whole], single + 1])
         docs = np.concatenate([doc[whole], np.repeat(doc[apart], times)])
-        keys = [*key[whole].tolist(), *(xxh64_intdigest(self.raw[s : s + self.width]) for s in single.tolist())]
-        places: dict[tuple[int, bytes], int] = {}
-        least: list[int] = []
-        at = np.empty(len(keys), np.int64)
-        wide = self.width - 1
-        for k, (x, s, e, i) in enumerate(zip(keys, firsts.tolist(), ends.tolist(), self.ids[docs].tolist(), strict=True)):
-            content = (x, self.raw[s : e + wide])
-            place = places.setdefault(content, len(places))
-            at[k] = place
-            if place == len(least):
-                least.append(i)
-            elif i < least[place]:
-                least[place] = i
-        return places, np.array(least, np.int64), at, firsts, ends - firsts, docs
+        own = np.fromiter((xxh64_intdigest(self.raw[s : s + self.width]) for s in single.tolist()), np.uint64, len(single))
+        raw = self.raw
+        cut = [raw[s:e] for s, e in zip(firsts.tolist(), (ends + self.width - 1).tolist(), strict=True)]
+        contents, at, least, sample = _merged(cut, self.ids[docs])
+        return contents, np.concatenate([key[whole], own])[sample], least, at, firsts, ends - firsts, docs
+
+
+def _merged(contents: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct contents; of each one given its place among them; of each distinct one its least id and where it is first."""
+    place = {c: k for k, c in enumerate(dict.fromkeys(contents))}
+    at = np.fromiter(map(place.__getitem__, contents), np.int64, len(contents))
+    least = np.full(len(place), UNNAMED)
+    np.minimum.at(least, at, ids)
+    sample = np.empty(len(place), np.int64)
+    sample[at[::-1]] = np.arange(len(at))[::-1]
+    return list(place), at, least, sample
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -273,8 +277,8 @@ def _known(found: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.sort(np.concatenate(empty + [unpack(r[n], "<u8") for r in rows])) for n in ("keys", "crowded"))
 
 
-def _shards(places: dict, shards: int) -> np.ndarray:
-    return (np.fromiter((k for k, _ in places), np.uint64, len(places)) % np.uint64(shards)).astype(np.int64)
+def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys % np.uint64(shards)).astype(np.int64)
 
 
 def segment_rows(marked: DataFrame, shards: int, width: int) -> DataFrame:
@@ -283,12 +287,10 @@ def segment_rows(marked: DataFrame, shards: int, width: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for k, columns, block in _blocks(batch, width):
-                places, least, *_ = block.cut(*_known(columns["known"][k]))
-                if not places:
+                contents, keys, least, *_ = block.cut(*_known(columns["known"][k]))
+                if not contents:
                     continue
-                shard = _shards(places, shards)
-                contents = [c for _, c in places]
-                keys = np.fromiter((x for x, _ in places), np.uint64, len(places))
+                shard = _shards(keys, shards)
                 lengths = np.array([len(c) for c in contents], "<u4")
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
@@ -329,27 +331,17 @@ def least_of_windows(contents: list[bytes], least: np.ndarray, width: int) -> li
 
 def shard_windows(rows: list[dict], width: int) -> list[tuple[int, np.ndarray]]:
     """(block, least id of each window of its segments, in their order) of one shard."""
-    merged: dict[tuple[int, bytes], int] = {}
-    least: list[int] = []
-    where = []
+    cut, where = [], []
     for r in rows:
-        data, at, own = decompress(r["data"]), 0, []
-        keys, lengths, ids = unpack(r["keys"], "<u8"), unpack(r["lengths"]), unpack(r["least"], "<i8")
-        for key, size, i in zip(keys.tolist(), lengths.tolist(), ids.tolist(), strict=True):
-            place = merged.setdefault((key, data[at : at + size]), len(merged))
-            at += size
-            own.append(place)
-            if place == len(least):
-                least.append(i)
-            elif i < least[place]:
-                least[place] = i
-        where.append(own)
-    contents = [c for _, c in merged]
-    keys = np.fromiter((k for k, _ in merged), np.uint64, len(merged))
-    ids = np.array(least, np.int64)
+        data, ends = decompress(r["data"]), np.cumsum(unpack(r["lengths"]).astype(np.int64))
+        cut += [data[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        where.append(len(ends))
+    contents, at, ids, sample = _merged(cut, np.concatenate([unpack(r["least"], "<i8") for r in rows]))
+    keys = np.concatenate([unpack(r["keys"], "<u8") for r in rows])[sample]
+    where = np.split(at, np.cumsum(where)[:-1])
     order = np.argsort(keys, kind="stable")
     cuts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-    sizes = np.fromiter((len(c) - width + 1 for c in contents), np.int64, len(contents))
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents)) - width + 1
     begin = np.cumsum(sizes) - sizes
     windows = np.repeat(ids, sizes)  # right where a key has one segment, with no other to be sorted among
     chunk, size = [], 0
@@ -397,12 +389,12 @@ def sorted_shards(segments: DataFrame, width: int) -> DataFrame:
 def _removed(block: Block, marked: pa.Scalar, found: pa.Scalar, shards: int) -> np.ndarray:
     """Which bytes of the block go."""
     width = block.width
-    places, _, at, firsts, times, docs = block.cut(*_known(marked))
+    contents, keys, _, at, firsts, times, docs = block.cut(*_known(marked))
     starts = np.zeros(len(block.codes) + 1, np.int64)
-    if places:
-        shard = _shards(places, shards)
-        sizes = np.fromiter((len(c) - width + 1 for _, c in places), np.int64, len(places))
-        begin = np.zeros(len(places), np.int64)  # of each segment's windows in the order of shards
+    if contents:
+        shard = _shards(keys, shards)
+        sizes = np.fromiter(map(len, contents), np.int64, len(contents)) - width + 1
+        begin = np.zeros(len(contents), np.int64)  # of each segment's windows in the order of shards
         order = np.argsort(shard, kind="stable")
         begin[order] = np.cumsum(sizes[order]) - sizes[order]
         least = np.empty(int(sizes.sum()), np.int64)
