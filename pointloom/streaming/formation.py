@@ -1,11 +1,17 @@
 """Formation from a stream of observations and the staged run around it.
 
 A micro-batch is placed by :func:`pointloom.operators.formation.assign` on top of the
-state of the batches before it: the distinct members of each source and its sums.
-State and results are written by batch number in the shared folder, so a batch
+state of the batches before it.  State lies in tiles: the distinct members of
+sources by the tile they are in, and each source's sums by the tile of its first
+member.  A batch reads the members near its rows, their sources' sums, and what
+else those sources have in other tiles; it writes the tiles that it changed.  So
+its work follows its rows and their surroundings, not the history.
+
+Results and state are written by batch number in the shared folder, so a batch
 that is repeated after a failure writes the same tables again.  Rows must come in
-order: a batch with a row before the state's last moment raises, as a late row
-would have changed sources that are formed already.
+order: a batch with a row before the last moment raises, as a late row would have
+changed sources that are formed already; :class:`pointloom.streaming.late.Gate`
+keeps such rows apart.
 """
 
 from __future__ import annotations
@@ -15,12 +21,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions.fields import event_state
 from pointloom.operators import digest, formation, sessions
 from pointloom.operators.dedup import dedup_by_key
 from pointloom.operators.formation import FormationParams
 from pointloom.plans.scratch import Leftovers, written
 from pointloom.sources import sinks
-
+from pointloom.streaming.state import Tiles, TileState
 
 
 class OutOfOrder(ValueError):
@@ -39,42 +46,108 @@ def require_order(batch: DataFrame, key: str, ts: str, after: tuple[int, str] |
     return batch
 
 
+MEMBERS = "anchor string, home string, lat double, lon double, pixel double"
+SUMS = "anchor string, lat_sum double, lon_sum double, n long, last_us long, tiles array<string>"
+
+
 @dataclass(frozen=True)
 class Former:
-    """Forms sources batch by batch in ``folder``: one subfolder a batch for results and for state."""
+    """Forms sources batch by batch in ``folder``: results by batch, state by tile."""
 
     spark: SparkSession
     folder: str
     params: FormationParams = FormationParams()
     #: Rows after it are counted and skipped.
     as_of: str | None = None
+    #: The side of a tile; what a batch rewrites around its rows.
+    tile_degrees: float = 0.1
 
     def __post_init__(self):
         if self.params.pixel_aware:
             raise ValueError("a stream has no largest pixel to search by; form such sources from a table")
 
+    @property
+    def tiles(self) -> Tiles:
+        return Tiles(self.tile_degrees, 1.01 * self.params.radius_m / formation.METRES)
+
+    @property
+    def state(self) -> TileState:
+        return TileState(self.spark, self.folder)
+
     def place(self, batch: DataFrame, number: int) -> None:
         """Place one micro-batch of (pk, ts, lat, lon); for ``foreachBatch``."""
-        spark, tables = self.spark, Leftovers()
+        tables = Leftovers()
         with tables:
-            rows = batch.select("pk", F.col("ts").cast("timestamp").alias("ts"), "lat", "lon")
-            hidden = rows.where(F.col("ts") > F.lit(self.as_of).cast("timestamp")) if self.as_of else rows.limit(0)
-            rows = written(rows.where(F.col("ts") <= F.lit(self.as_of).cast("timestamp")) if self.as_of else rows, "batch")
-            state, after = None, None
-            if number:
-                state = spark.read.parquet(f"{self.folder}/state/{number - 1}")
-                last = spark.read.parquet(f"{self.folder}/last/{number - 1}").first()
-                after = (last["us"], last["key"]) if last and last["us"] is not None else None
-            require_order(rows, "pk", "ts", after)
-            formed = formation.assign(rows, "pk", "ts", self.params, state=state)
-            formed.write.mode("overwrite").parquet(f"{self.folder}/formed/batch={number}")
-            formed = spark.read.parquet(f"{self.folder}/formed/batch={number}")
-            formation.state_of(formed, state).write.mode("overwrite").parquet(f"{self.folder}/state/{number}")
-            top = formed.agg(F.max(F.struct("us", "key")).alias("m")).select("m.us", "m.key")
-            if after is not None:
-                top = top.select(F.coalesce("us", F.lit(after[0])).alias("us"), F.coalesce("key", F.lit(after[1])).alias("key"))
-            top.withColumn("n_after_as_of", F.lit(hidden.count())).write.mode("overwrite").parquet(f"{self.folder}/last/{number}")
-        tables.release(spark.range(0))
+            self._place(batch, number)
+        tables.release(self.spark.range(0))
+
+    def _place(self, batch: DataFrame, number: int) -> None:
+        spark = self.spark
+        rows = batch.select("pk", F.col("ts").cast("timestamp").alias("ts"), "lat", "lon")
+        limit = F.lit(self.as_of).cast("timestamp")
+        hidden = rows.where(F.col("ts") > limit).count() if self.as_of else 0
+        rows = written(rows.where(F.col("ts") <= limit) if self.as_of else rows, "batch")
+        after = None
+        if number:
+            last = spark.read.parquet(f"{self.folder}/last/{number - 1}").first()
+            after = (last["us"], last["key"]) if last["us"] is not None else None
+        require_order(rows, "pk", "ts", after)
+        members, sums = self._around(rows, number)
+        seeds = written(members.join(sums.drop("tile", "tiles"), "anchor"), "seeds")
+        formed = formation.assign(rows, "pk", "ts", self.params, state=seeds)
+        formed.write.mode("overwrite").parquet(f"{self.folder}/formed/batch={number}")
+        formed = spark.read.parquet(f"{self.folder}/formed/batch={number}")
+        changed = self._keep(formed, seeds, number)
+        top = formed.agg(F.max(F.struct("us", "key")).alias("m")).select("m.us", "m.key")
+        if after is not None:
+            top = top.select(F.coalesce("us", F.lit(after[0])).alias("us"), F.coalesce("key", F.lit(after[1])).alias("key"))
+        counts = {"n_after_as_of": hidden, "n_state_read": seeds.count(), "n_state_written": changed}
+        top.withColumns({n: F.lit(v).cast("long") for n, v in counts.items()}).write.mode("overwrite").parquet(f"{self.folder}/last/{number}")
+
+    def _around(self, rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        """Members near the rows, all members of their sources, and those sources' sums."""
+        near = _distinct(rows.select(F.explode(self.tiles.near(F.col("lat"), F.col("lon"))).alias("tile")))
+        there = self.state.read("members", MEMBERS, near, number)
+        named = written(there.select("anchor", "home").distinct(), "named")
+        sums = written(self.state.read("sums", SUMS, _distinct(named.select(F.col("home").alias("tile"))), number).join(named.select("anchor"), "anchor", "left_semi"), "sums")
+        others = set(_distinct(sums.select(F.explode("tiles").alias("tile")))) - set(near)
+        away = self.state.read("members", MEMBERS, sorted(others), number).join(named.select("anchor"), "anchor", "left_semi")
+        return there.unionByName(away), sums
+
+    def _keep(self, formed: DataFrame, seeds: DataFrame, number: int) -> int:
+        """Writes the tiles that the batch changed; how many rows these are."""
+        tile = self.tiles.of(F.col("lat"), F.col("lon"))
+        homes = formed.where("key = anchor").select("anchor", tile.alias("home")).unionByName(seeds.select("anchor", "home")).distinct()
+        own = formed.groupBy("anchor", "lat", "lon").agg(F.max("pixel").alias("pixel")).join(homes, "anchor")
+        own = written(own.withColumn("tile", tile), "own")
+        touched = _distinct(own.select("tile"))
+        before = self.state.read("members", MEMBERS, touched, number)
+        members = before.unionByName(own).groupBy("anchor", "home", "lat", "lon", "tile").agg(F.max("pixel").alias("pixel"))
+        members = written(members, "members")
+        self.state.write("members", members, number)
+
+        at_home = _distinct(own.select(F.col("home").alias("tile")))
+        added = formed.groupBy("anchor").agg(
+            F.sum("lat").alias("lat_sum"), F.sum("lon").alias("lon_sum"), F.count("*").alias("n"), F.max("us").alias("last_us")
+        )
+        places = own.groupBy("anchor").agg(F.first("home").alias("tile"), F.collect_set("tile").alias("tiles"))
+        old = self.state.read("sums", SUMS, at_home, number)
+        sums = old.unionByName(added.join(places, "anchor")).groupBy("anchor", "tile").agg(
+            *[F.sum(c).alias(c) for c in ("lat_sum", "lon_sum", "n")], F.max("last_us").alias("last_us"),
+            F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles"),
+        )
+        sums = written(sums, "sums")
+        self.state.write("sums", sums, number)
+        self.state.prune("members", touched, number)
+        self.state.prune("sums", at_home, number)
+        return members.count() + sums.count()
+
+    def active(self, as_of: str) -> DataFrame:
+        """(anchor, n, last_us, state): whether each source was seen within the gap of an event before ``as_of``."""
+        every = self.spark.read.schema(f"{SUMS}, tile string, batch long").parquet(f"{self.folder}/sums")
+        newest = every.groupBy("tile").agg(F.max("batch").alias("batch"))
+        state = event_state(F.timestamp_micros("last_us"), F.lit(as_of).cast("timestamp"), self.params.gap_hours)
+        return every.join(newest, ["tile", "batch"]).select("anchor", "n", "last_us", state.alias("state"))
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         """Place what the stream holds, batch after batch, and stop."""
@@ -91,6 +164,11 @@ class Former:
         return self.spark.read.parquet(f"{self.folder}/last/*").agg(F.sum("n_after_as_of")).first()[0] or 0
 
 
+def _distinct(tiles: DataFrame) -> list[str]:
+    """The tiles around one batch, as many as its rows touch."""
+    return sorted(r["tile"] for r in tiles.distinct().collect())
+
+
 def emitted(named: DataFrame, p: FormationParams = FormationParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, events, assignments) of a formation."""
     rows = named.select("source_id", F.col("key").alias("pk"), "lat", "lon", F.timestamp_micros("us").alias("ts"))
