@@ -184,7 +184,7 @@ def measure(
         {
             f"_r_w{BINS}": F.col("_r_n_words") - reduce(lambda a, b: a + b, [F.col(c) for c in bin_columns]),
             "_r_base_failed": (F.col("_r_n_words") < params.least_words)
-            | (100 * F.col("_r_repeat") > params.most_repeat_percent * F.col("_r_n_words")),
+            | (100 * F.col("_r_repeat").cast("long") > params.most_repeat_percent * F.col("_r_n_words").cast("long")),
         }
     )
     return out.drop("_r_words", "_r_lines", "_r_bins", "_r_listed", "_r_docs")
