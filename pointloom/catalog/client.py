@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointloom.catalog.base import (
     ACTIVITY, OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, source_activity, table,
 )
-from pointloom.operators import contract, packets, projections, relate
+from pointloom.operators import contract, coverage, packets, projections, relate
 
 DETECTIONS = OBS + """, det AS (SELECT source_id, ts, event_id, lat, lon, coalesce(frp, 0) AS frp, 300 + conf * 0.7::DOUBLE AS ti4,
   CASE WHEN conf >= 80 THEN 'h' WHEN conf >= 30 THEN 'n' ELSE 'l' END AS conf, CASE WHEN night THEN 'N' ELSE 'D' END AS dn,
@@ -92,33 +92,39 @@ def packet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.packet_checks(shown, shown, second)
 
 
-LEDGER = "ledger AS (SELECT ['VIIRS:N', 'VIIRS:N20'][(d.i % 2)::INT + 1] AS stream, (DATE '2024-01-01' + (d.i // 2)::INT)::VARCHAR AS date, CASE WHEN d.i % 7 = 0 THEN 'UNVERIFIED' ELSE 'OBSERVED' END AS status, CASE WHEN d.i % 14 = 0 THEN 'NO_FILE_COVERS_DAY' WHEN d.i % 7 = 0 THEN 'COVERING_FILE_EMPTY' ELSE 'ROWS_PRESENT' END AS reason, CASE WHEN d.i IN (0, 1, 58, 59) THEN '1' ELSE '0' END AS span_boundary_day_partial_risk FROM range(60) d(i))"
+#: Streams are the hours of the day at which events come; a day between a stream's first and last without one is unverified.
+LEDGER = """seen AS (SELECT 'H' || strftime(ts, '%H') AS stream, ts::DATE AS day, count(*) AS n FROM events WHERE (user_id + dayofmonth(ts)) % 5 = 0 GROUP BY ALL),
+spans AS (SELECT stream, min(day) AS a, max(day) AS b FROM seen GROUP BY 1),
+days AS (SELECT stream, a, b, (a + i::INT)::DATE AS day FROM spans, range(0, datediff('day', a, b) + 1) t(i)),
+ledger AS (SELECT stream, day::VARCHAR AS date, CASE WHEN n IS NULL THEN 'UNVERIFIED' ELSE 'OBSERVED' END AS status, CASE WHEN n IS NULL THEN 'NO_FILE_COVERS_DAY' WHEN n = 1 THEN 'ONE_ROW' ELSE 'ROWS_PRESENT' END AS reason, CASE WHEN day IN (a, b) THEN '1' ELSE '0' END AS span_boundary_day_partial_risk FROM days LEFT JOIN seen USING (stream, day))"""
 
 
-def ledger(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    return spark.range(60).select(
-        F.when(i % 2 == 0, "VIIRS:N").otherwise("VIIRS:N20").alias("stream"),
-        F.date_add(F.lit("2024-01-01").cast("date"), F.floor(i / 2).cast("int")).cast("string").alias("date"),
-        F.when(i % 7 == 0, "UNVERIFIED").otherwise("OBSERVED").alias("status"),
-        F.when(i % 14 == 0, "NO_FILE_COVERS_DAY").when(i % 7 == 0, "COVERING_FILE_EMPTY").otherwise("ROWS_PRESENT").alias("reason"),
-        F.when(i.isin(0, 1, 58, 59), "1").otherwise("0").alias("span_boundary_day_partial_risk"),
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where((F.col("user_id") + F.dayofmonth("ts")) % 5 == 0)
+    rows = e.select(F.concat(F.lit("H"), F.date_format("ts", "HH")).alias("stream"), F.to_date("ts").alias("day"))
+    days = coverage.ledger(rows, "stream", "day")
+    spans = days.groupBy("stream").agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
+    n = F.col("n_obs")
+    return days.join(spans, "stream").select(
+        "stream", F.col("day").cast("string").alias("date"), F.when(n.isNull(), "UNVERIFIED").otherwise("OBSERVED").alias("status"),
+        F.when(n.isNull(), "NO_FILE_COVERS_DAY").when(n == 1, "ONE_ROW").otherwise("ROWS_PRESENT").alias("reason"),
+        F.when(F.col("day").isin(F.col("_a"), F.col("_b")), "1").otherwise("0").alias("span_boundary_day_partial_risk"),
     )
 
 
-@query("WITH " + LEDGER + ", r AS (SELECT stream, string_agg(reason || '=' || n, ',' ORDER BY reason) AS reasons FROM (SELECT stream, reason, count(*) AS n FROM ledger GROUP BY ALL) GROUP BY 1) SELECT stream, count(*) AS days, reasons, string_agg(date, ',' ORDER BY date) FILTER (status <> 'OBSERVED') AS unverified, string_agg(date, ',' ORDER BY date) FILTER (span_boundary_day_partial_risk = '1') AS partial FROM ledger JOIN r USING (stream) GROUP BY stream, reasons")
+@query("WITH " + LEDGER + ", r AS (SELECT stream, string_agg(reason || '=' || n, ',' ORDER BY reason) AS reasons FROM (SELECT stream, reason, count(*) AS n FROM ledger GROUP BY ALL) GROUP BY 1) SELECT stream, count(*) AS days, reasons, coalesce(string_agg(date, ',' ORDER BY date) FILTER (status <> 'OBSERVED'), '') AS unverified, string_agg(date, ',' ORDER BY date) FILTER (span_boundary_day_partial_risk = '1') AS partial FROM ledger JOIN r USING (stream) GROUP BY stream, reasons")
 def coverage_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = contract.coverage_by_stream(ledger(spark))
+    c = contract.coverage_by_stream(ledger(spark, sf_dir))
     reasons = F.array_join(F.transform("by_reason", lambda x: F.concat_ws("=", x["reason"], x["n"].cast("string"))), ",")
     return c.select("stream", "days", reasons.alias("reasons"), F.array_join("unverified_dates", ",").alias("unverified"), F.array_join("partial_boundary_days", ",").alias("partial"))
 
 
-@query("WITH " + LEDGER + ", " + OBS + """, s AS (SELECT source_id, min(ts)::DATE AS a, max(ts)::DATE AS b FROM obs GROUP BY 1), d AS (SELECT date::DATE AS d FROM ledger WHERE stream = 'VIIRS:N' AND status <> 'OBSERVED'),
+@query("WITH " + LEDGER + ", " + OBS + """, s AS (SELECT source_id, min(ts)::DATE AS a, max(ts)::DATE AS b FROM obs GROUP BY 1), d AS (SELECT date::DATE AS d FROM ledger WHERE stream = 'H03' AND status <> 'OBSERVED'),
 u AS (SELECT source_id, count(d) AS n FROM s LEFT JOIN d ON d BETWEEN a AND b GROUP BY 1)
 SELECT source_id, n AS unverified, 'Complete for NOAA-20 and NOAA-21; ' || CASE WHEN n > 0 THEN 'S-NPP has ' || n || ' unverified-coverage days in this window (missing data is not evidence of no fire)' ELSE 'S-NPP complete' END AS sentence FROM u""")
 def coverage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = obs(spark, sf_dir).groupBy("source_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    u = contract.unverified_in_window(s, ledger(spark), "VIIRS:N", "source_id", "a", "b")
+    u = contract.unverified_in_window(s, ledger(spark, sf_dir), "H03", "source_id", "a", "b")
     return u.withColumn("sentence", contract.coverage_sentence(F.col("unverified")))
 
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.catalog.base import OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, table
 from pointloom.catalog.spatial import FORMED
 from pointloom.functions import fields
-from pointloom.operators import assess, baseline, facility, geojoin, legacy, research, sessions, views
-from pointloom.plans.scratch import shared_dir
+from pointloom.operators import assess, baseline, facility, folds, geojoin, legacy, research, sessions, views
+from pointloom.plans.scratch import scratch_folder
 from pointloom.streaming import formation as streamed
 from pointloom.streaming import jobs
+from pointloom.streaming.late import Gate
 
 KM = km("lat", "lon", "s_lat", "s_lon")
 
@@ -294,14 +293,22 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
-    """Run a streaming job over the events table until it is read, and return its memory table."""
+    """Run a streaming job over the events table until it is read, and return the table it wrote."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # a file source lists a folder; the pattern keeps to this one table
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir if not path.startswith("viewfs") else path)
-    name = f"t{uuid.uuid4().hex}"
-    jobs.run_once(build(source), name, f"{shared_dir(spark)}/stream-{name}", mode)
-    return spark.table(name)
+    home = scratch_folder(spark, "stream")
+    return jobs.run_once(build(source), f"{home}/out", f"{home}/checkpoint", mode)
+
+
+def _in_batches(spark: SparkSession, parts: list[DataFrame]) -> tuple[DataFrame, str]:
+    """A stream of which each part is one batch, and the folder that holds it."""
+    home = scratch_folder(spark, "batches")
+    for number, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{home}/in/part={number}")
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in/part=*")
+    return stream, home
 
 
 @query("SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, max(value) AS peak FROM events GROUP BY ALL")
@@ -330,16 +337,51 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources formed by a stream of three files in order of time, equal to those of one batch."""
     o = obs(spark, sf_dir).select(F.format_string("%012d", "event_id").alias("pk"), "ts", "lat", "lon")
-    home = f"{shared_dir(spark)}/forming-{uuid.uuid4().hex}"
-    for part, (low, high) in enumerate((("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01"))):
-        rows = o.where((F.col("ts") >= F.lit(low).cast("timestamp")) & (F.col("ts") < F.lit(high).cast("timestamp")))
-        rows.coalesce(1).write.parquet(f"{home}/in/part={part}")
+    cuts = ("2000-01-01", "2024-01-11", "2024-01-21", "2100-01-01")
+    day = lambda d: F.lit(d).cast("timestamp")
+    stream, home = _in_batches(spark, [o.where((F.col("ts") >= day(low)) & (F.col("ts") < day(high))) for low, high in zip(cuts, cuts[1:], strict=False)])
     former = streamed.Former(spark, f"{home}/out")
-    stream = spark.readStream.schema("pk string, ts timestamp, lat double, lon double").option("maxFilesPerTrigger", 1).parquet(f"{home}/in/part=*")
     former.run(stream, f"{home}/checkpoint")
     return former.formed().groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("n_ambiguous"))
 
 
+LATE = """, e AS (SELECT event_id, user_id, event_type, ts, ts::DATE AS day, CASE WHEN event_id % 11 = 0 THEN 2 WHEN ts < TIMESTAMP '2024-01-12' THEN 0 WHEN ts < TIMESTAMP '2024-01-22' THEN 1 ELSE 2 END AS b FROM events),
+top AS (SELECT b, max(ts) AS t FROM e GROUP BY b),
+closed AS (SELECT x.b, max(top.t) - INTERVAL 2 DAY AS c FROM (SELECT unnest([0, 1, 2]) AS b) x LEFT JOIN top ON top.b < x.b GROUP BY x.b),
+told AS (SELECT e.*, coalesce(ts < c, false) AS late FROM e JOIN closed USING (b)),
+out AS (SELECT *, CASE WHEN late THEN 'LATE' WHEN row_number() OVER (PARTITION BY late, user_id, event_type, day ORDER BY b, ts, event_id) > 1 THEN 'REPEATED' ELSE 'KEPT' END AS outcome FROM told)"""
+
+
+@query("WITH one AS (SELECT 1)" + LATE + " SELECT event_id, b AS batch, outcome FROM out")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's outcome: kept, or with the dead letters as late or repeated; three batches, every eleventh event in the last."""
+    ts, tail = F.col("ts"), F.col("event_id") % 11 == 0
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", ts.cast("timestamp").alias("ts"), F.to_date("ts").alias("day"))
+    day = lambda d: F.lit(d).cast("timestamp")
+    first, second = e.where(~tail & (ts < day("2024-01-12"))), e.where(~tail & (ts >= day("2024-01-12")) & (ts < day("2024-01-22")))
+    stream, home = _in_batches(spark, [first, second, e.where(tail | (ts >= day("2024-01-22")))])
+    gate = Gate(spark, f"{home}/out", ["user_id", "event_type", "day"], "ts", ["event_id"])
+    gate.run(stream, f"{home}/checkpoint")
+    kept = gate.kept().select("event_id", F.col("_batch").cast("int").alias("batch"), F.lit("KEPT").alias("outcome"))
+    return kept.unionByName(gate.dead().select("event_id", F.col("_batch").cast("int").alias("batch"), F.col("reason").alias("outcome")))
+
+
+@query()
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in five folds with the order priorities of all orders; the tests hold the rule against a plain one."""
+    return folds.stratified_folds(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey")
+
+
+@query()
+def pilot_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten orders by quota of priority, one of a customer, months as cells; the tests hold the pick against the whole queue."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), F.col("o_custkey").alias("group"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("cell"), F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"),
+    )
+    return spark.createDataFrame(research.pilot(o, {"1-URGENT": 3, "2-HIGH": 3, "5-LOW": 1}), "id long, kind string, group long, cell string, place int")
+
+
 @query("SELECT event_id, printf('%.2f', event_id / 1000.0::DOUBLE) AS two FROM events")
 def half_even_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

@@ -27,6 +27,7 @@ def coverage_by_stream(ledger: DataFrame) -> DataFrame:
 
 def coverage_sentence(unverified: Column) -> Column:
     """How complete the coverage of a source's window is, in words."""
+    # fixed values: the sentence is shown as it is
     gap = F.format_string("S-NPP has %d unverified-coverage days in this window (missing data is not evidence of no fire)", unverified.cast("long"))
     return F.concat(F.lit("Complete for NOAA-20 and NOAA-21; "), F.when(unverified > 0, gap).otherwise("S-NPP complete"))
 

@@ -8,7 +8,8 @@ from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAss
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.research import grouped_fold, label_gate
+from pointloom.operators.folds import stratified_folds
+from pointloom.operators.research import label_gate
 
 
 def with_missing_flags(df: DataFrame, features: list[str]) -> DataFrame:
@@ -24,10 +25,10 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(weighted), label)  # one row for each class
 
 
-def split(df: DataFrame, group: str, folds: int = 5, held: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by folds of whole groups."""
-    folded = df.withColumn("_fold", grouped_fold(F.col(group), folds))
-    return folded.where(F.col("_fold") != held).drop("_fold"), folded.where(F.col("_fold") == held).drop("_fold")
+def split(df: DataFrame, label: str, group: str, folds: int = 5, held: int = 0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by stratified folds of whole groups."""
+    folded = df.join(stratified_folds(df, label, group, folds, seed), group)
+    return folded.where(F.col("fold") != held).drop("fold"), folded.where(F.col("fold") == held).drop("fold")
 
 
 def train(df: DataFrame, features: list[str], label: str, group: str, kind: str = "logistic", trees: int = 300, seed: int = 7, least: int = 30, least_groups: int = 8) -> PipelineModel | None:

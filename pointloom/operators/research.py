@@ -184,11 +184,6 @@ def expand_labels(pairs: DataFrame, source: str, site: str, kind: str, group: st
     return out.withColumn("first_in_group", first)
 
 
-def grouped_fold(group: Column, folds: int = 5) -> Column:
-    """Fold of a group by a hash, so that no group spans train and test."""
-    return F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
-
-
 def class_capacity(candidates: DataFrame, labelled: DataFrame, kind: str, group: str) -> DataFrame:
     """(class, candidates, groups, new_groups): how many are left to label, and groups without a label yet."""
     fresh = candidates.join(labelled.select(group).distinct().withColumn("_has", F.lit(True)), group, "left")
@@ -198,16 +193,28 @@ def class_capacity(candidates: DataFrame, labelled: DataFrame, kind: str, group:
     )
 
 
-def pilot(queue: DataFrame, quotas: dict[str, int], most: int = 10, shortlist: int = 500) -> list[dict]:
+def pilot_candidates(queue: DataFrame, most: int) -> DataFrame:
+    """The rows that a pick of at most ``most`` can reach: a few of each class, whatever the queue's length.
+
+    Of the heads of groups, of each class and cell the first ``most`` + 1, and of
+    these the first (``most`` + 1)**2 of each class.  A pick passes over a row only if
+    its cell is used, which at most ``most`` cells are, or if it is picked itself.
+    So of each cell no more than ``most`` + 1 rows matter, and before the first row
+    of the (``most`` + 1)-th cell come at most ``most`` * (``most`` + 1) such rows.
+    """
+    number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("rank", "id"))
+    heads = queue.withColumn("_n", number("group")).where("_n = 1")
+    spread = heads.withColumn("_n", number("kind", "cell")).where(F.col("_n") <= most + 1)
+    return spread.withColumn("_n", number("kind")).where(F.col("_n") <= (most + 1) ** 2).drop("_n")
+
+
+def pilot(queue: DataFrame, quotas: dict[str, int], most: int = 10) -> list[dict]:
     """A pilot by quota: each class in turn, then any class, one of a group, unused region cells first.
 
-    queue: id, kind, group, cell, rank.  A greedy pick over the ``shortlist`` first
-    rows of each class, one of each group, which is all that few picks can reach.
+    queue: id, kind, group, cell, rank.  A greedy pick over :func:`pilot_candidates`,
+    equal to one over the whole queue.
     """
-    first = Window.partitionBy("group").orderBy("rank", "id")
-    by_kind = Window.partitionBy("kind").orderBy("rank", "id")
-    heads = queue.withColumn("_g", F.row_number().over(first)).where("_g = 1")
-    rows = heads.withColumn("_r", F.row_number().over(by_kind)).where(F.col("_r") <= shortlist).orderBy("rank", "id").collect()
+    rows = pilot_candidates(queue, most).orderBy("rank", "id").collect()
     picked, groups, cells = [], set(), set()
 
     def take(wanted: int, kind: str | None) -> None:

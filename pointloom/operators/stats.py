@@ -89,25 +89,49 @@ def array_robust_score(x: Column, others: Column, p: RobustParams = RobustParams
     return let(array_median(others), about)
 
 
-def leave_one_out(values: Column, least_others: int = 3) -> Column:
-    """Positive robust scores of each value against all others.
+def leave_one_out(values: Column, least_others: int = 3, p: RobustParams = RobustParams()) -> Column:
+    """Positive robust scores of each value against all others, in order of the values.
 
     Values with fewer than ``least_others`` others, or a degenerate reference, are
-    left out.  The arrays are the daily records of one source.
+    left out.  The values are sorted once: what is left without one of them has one
+    of three medians.  For each of these the deviations of all values are sorted
+    once; without a value's own deviation, the one at a place is the next one if
+    its own is not above it.  So the work is that of four sorts.
     """
 
-    def each(v: Column) -> Column:
-        indices = F.sequence(F.lit(1), F.size(v))
-        scores = F.transform(
-            indices,
-            lambda i: array_robust_score(F.element_at(v, i), F.filter(v, lambda _, k: k != i - 1)),
+    def scores(s: Column) -> Column:
+        n = F.size(s)
+        h = F.floor(n / 2).cast("int")
+        at = lambda k: F.get(s, k)
+        even = n % 2 == 0
+        medians = F.when(even, F.array(at(h), at(h - 1))).otherwise(
+            F.array((at(h) + at(h + 1)) / 2, (at(h - 1) + at(h + 1)) / 2, (at(h - 1) + at(h)) / 2)
         )
-        return F.when(
-            F.size(v) > least_others,
-            F.transform(F.filter(scores, lambda z: z.isNotNull()), lambda z: F.greatest(F.lit(0.0), z)),
-        ).otherwise(F.array().cast("array<double>"))
-
-    return let(values, each)
+        which = lambda i: F.when(i < h, 0).when(even, 1).when(i == h, 1).otherwise(2)
+
+        def about(m: Column) -> Column:
+            apart = F.array_sort(F.transform(s, lambda v: F.abs(v - m)))
+            total = lambda d: F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x)
+            return let(apart, lambda d: F.struct(m.alias("m"), d.alias("d"), total(d).alias("total")))
+
+        def score(v: Column, own: Column, ref: Column) -> Column:
+            others = lambda k: F.when(own > F.get(ref["d"], k), F.get(ref["d"], k)).otherwise(F.get(ref["d"], k + 1))
+            low, high = F.floor((n - 2) / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+            mad = (others(low) + others(high)) / 2
+            mean = (ref["total"] - own) / (n - 1)
+            return let(F.struct(mad.alias("a"), mean.alias("b")), lambda d: robust_score(v, ref["m"], d["a"], d["b"], p))
+
+        def each(refs: Column) -> Column:
+            one = lambda i: let(
+                F.struct(at(i).alias("v"), which(i).alias("c")),
+                lambda x: score(x["v"], F.abs(x["v"] - F.get(refs, x["c"])["m"]), F.get(refs, x["c"])),
+            )
+            found = F.transform(F.sequence(F.lit(0), n - 1), one)
+            return F.transform(F.filter(found, lambda z: z.isNotNull()), lambda z: F.greatest(F.lit(0.0), z))
+
+        return F.when(n > least_others, let(F.transform(medians, about), each)).otherwise(F.array().cast("array<double>"))
+
+    return let(F.array_sort(values), scores)
 
 
 def daily(df: DataFrame, keys: list[str], day: str, value: str, how: str = "max") -> DataFrame:

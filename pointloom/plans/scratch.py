@@ -43,6 +43,13 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, e.g. for a stream; deleted with the tables of :func:`written` when the session ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "_scratch_path", None)

@@ -39,16 +39,21 @@ def stream_sessions(df: DataFrame, key: str, ts: str, gap: str = "36 hours", lat
     )
 
 
-def split_late(batch: DataFrame, ts: str, closed_until) -> tuple[DataFrame, DataFrame]:
-    """(in time, late) rows of a batch against the last closed moment; late rows are kept apart, not lost."""
-    late = F.col(ts) < closed_until
-    return batch.where(~late), batch.where(late)
+def run_once(df: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process what is there into Parquet in ``folder`` and stop; the table that it holds.
 
+    In append mode each batch writes a folder of its own, in complete mode the
+    last one replaces the results before it; a repeated batch writes the same again.
+    """
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/_batch=-1")
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there into a memory table and stop."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/_batch={number if mode == 'append' else 0}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(folder).drop("_batch")
 
 
 def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -423,7 +423,7 @@ def test_gate_closed_means_no_model(spark):
     model = ml.train(df, ["x", "y"], "label", "grp")
     report = ml.reported(model.transform(ml.with_missing_flags(df, ["x", "y"])))
     assert report["n"] == 80 and report["accuracy"] > 0.7
-    train, test = ml.split(df, "grp")
+    train, test = ml.split(df, "label", "grp")
     groups = lambda d: {r[0] for r in d.select("grp").distinct().collect()}
     assert not groups(train) & groups(test)
 
