@@ -9,7 +9,7 @@ from pointloom.catalog.base import (
     OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, source_activity, table,
 )
 from pointloom.functions import geo
-from pointloom.operators import activity, attribution, context, facility, formation, geojoin, live, relate, research
+from pointloom.operators import activity, attribution, celljoin, context, facility, formation, geojoin, live, relate, research
 from pointloom.plans.scratch import written
 
 D = km("lat", "lon", "s_lat", "s_lon")
@@ -36,13 +36,18 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + NEAR + ", r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), site_id) AS k FROM pairs) SELECT point_id, site_id, round(d, 6) AS distance_km FROM r WHERE k = 1")
 def nearest_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = rounded(near(spark, sf_dir), 9, "distance_km")
-    return rounded(geojoin.nearest(p, "point_id", "site_id").select("point_id", "site_id", "distance_km"), 6, "distance_km")
+    p = celljoin.nearest_within(points(spark, sf_dir), sites(spark, sf_dir), 5.0, "site_id", ("lat", "lon"), ("s_lat", "s_lon"))
+    return rounded(p.select("point_id", "site_id", "distance_km"), 6, "distance_km")
+
+
+@query("WITH " + POINTS + f" SELECT a.point_id AS a, b.point_id AS b, round({km('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) AS distance_km FROM points a JOIN points b ON a.point_id < b.point_id AND abs(a.lat - b.lat) < 0.02 WHERE {km('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2")
+def radius_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(celljoin.pairs_within(points(spark, sf_dir), "point_id", 2.0), 6, "distance_km")
 
 
 @query("WITH " + NEAR + " SELECT DISTINCT point_id FROM pairs WHERE d <= 1")
 def semi_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geojoin.near_any(near(spark, sf_dir, 1.0), "point_id")
+    return geojoin.near_any(points(spark, sf_dir), sites(spark, sf_dir), "point_id", 1.0, ("lat", "lon"), ("s_lat", "s_lon"))
 
 
 @query("WITH " + POINTS + ", " + SITES + " SELECT point_id, site_id FROM points JOIN sites ON abs(lat - s_lat) < 0.06 AND abs(lon - s_lon) < 0.07")

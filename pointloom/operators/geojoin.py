@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geo import EARTH_KM, haversine
+from pointloom.operators.celljoin import least_distance
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
 
@@ -51,17 +52,17 @@ def nearest(pairs: DataFrame, left_key: str, right_key: str, k: int = 1) -> Data
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def near_any(pairs: DataFrame, left_key: str) -> DataFrame:
-    """Left keys with at least one partner."""
-    return pairs.select(left_key).distinct()
+def near_any(points: DataFrame, others: DataFrame, key: str, radius_km: float, left_xy, right_xy) -> DataFrame:
+    """Keys of points with at least one partner (J25); no pair beyond the nearest is looked for."""
+    return least_distance(points, others, radius_km, left_xy, right_xy).select(key).distinct()
 
 
 def match_rates(
     points: DataFrame, others: DataFrame, key: str, radii_km: list[float], left_xy, right_xy
 ) -> DataFrame:
     """(radius_km, matched, total): points with a partner within each radius."""
-    pairs = grid_join(points, others, max(radii_km), left_xy, right_xy)
-    least = pairs.groupBy(key).agg(F.min("distance_km").alias("d"))
+    near = least_distance(points.select(key, *left_xy), others.select(*right_xy), max(radii_km), left_xy, right_xy)
+    least = near.groupBy(key).agg(F.min("distance_km").alias("d"))
     spark = points.sparkSession
     radii = spark.createDataFrame([(float(r),) for r in radii_km], "radius_km double")
     hits = least.join(F.broadcast(radii), F.col("d") <= F.col("radius_km")).groupBy("radius_km").agg(F.count("*").alias("matched"))
