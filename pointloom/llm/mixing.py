@@ -11,7 +11,9 @@ the targets of the others rise evenly; how far this moves the targets is logged.
 Only the cells take part in the fitting: documents are summed once, with
 map-side aggregation, so a hot source is one row for each language and topic.
 There may be any number of sources, languages and topics, each with a target of
-its own.  Cells of a bounded number (``most_local_cells``) are fitted in memory,
+its own: a power of its share of tokens, or a given weight.  With given weights a
+category that is not listed has weight 0, so its documents are left out; a listed
+category without tokens is an error.  Cells of a bounded number (``most_local_cells``) are fitted in memory,
 more of them as a distributed table, one aggregation and one join a step.  A fit
 that does not reach its tolerance in ``most_rounds`` is returned with its error,
 which ``mix`` puts beside each row and logs.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointloom.functions.lets import let
-from pointloom.plans.joins import join_sized
+from pointloom.plans.joins import broadcast_if_small, join_sized
 from pointloom.plans.scratch import Leftovers, drop, written
 
 LOG = logging.getLogger(__name__)
@@ -80,7 +82,8 @@ class MixParams:
     source_power: float = 0.5
     lang_power: float = 0.7
     topic_power: float = 0.7
-    #: Given targets take the place of flattened shares: category -> weight.
+    #: Given targets take the place of flattened shares: category -> weight, 0 for what is not listed.
+    source_targets: dict[str, float] | None = None
     lang_targets: dict[str, float] | None = None
     topic_targets: dict[str, float] | None = None
     #: Expected share of all tokens in the sample.
@@ -153,12 +156,19 @@ AXES = ("source", "lang", "topic")
 def weight_of(axis: str, params: MixParams) -> tuple[float, dict[str, float] | None]:
     """The power that flattens shares, and given targets in its place."""
     return {
-        "source": (params.source_power, None),
+        "source": (params.source_power, params.source_targets),
         "lang": (params.lang_power, params.lang_targets),
         "topic": (params.topic_power, params.topic_targets),
     }[axis]
 
 
+def require_tokens(axis: str, given: dict[str, float], there: set[str]) -> None:
+    """Ends the job if a wanted category has no tokens: no sample could have its target."""
+    missing = sorted(k for k, v in given.items() if v > 0 and k not in there)
+    if missing:
+        raise ValueError(f"no tokens in wanted {axis}: {', '.join(map(repr, missing[:10]))}")
+
+
 def reachable(weight: np.ndarray, held: np.ndarray, total: float) -> np.ndarray:
     """``weight`` scaled to the sum ``total`` with no more than ``held`` in any category."""
     out = np.zeros(len(weight))
@@ -180,11 +190,14 @@ def axis_goals(cells: DataFrame, params: MixParams, bounded: bool, all_tokens: f
     for axis in AXES:
         power, given = weight_of(axis, params)
         weight = F.pow("tokens", F.lit(power))
-        if given:
-            known = F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, float(v))])
-            weight = F.coalesce(F.element_at(known, F.col(axis)), F.lit(0.0))
         totals = cells.groupBy(axis).agg(F.sum("tokens").alias("tokens"))
-        table = written(totals.withColumn("weight", F.when(F.col("tokens") > 0, weight).otherwise(0.0)), "goals")
+        if given:
+            listed = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{axis} string, _weight double")
+            totals = totals.join(broadcast_if_small(listed), axis, "left")
+            there = {r[axis] for r in totals.where("tokens > 0 AND _weight > 0").select(axis).collect()}  # of those listed
+            require_tokens(axis, given, there)
+            weight = F.coalesce("_weight", F.lit(0.0))
+        table = written(totals.select(axis, "tokens", weight.cast("double").alias("_w")).withColumn("weight", F.when(F.col("tokens") > 0, F.col("_w")).otherwise(0.0)).drop("_w"), "goals")
         sums = table.agg(F.sum("weight").alias("w"), F.sum(F.when(F.col("weight") > 0, F.col("tokens"))).alias("n")).first()
         wanted = all_tokens * F.col("weight") / (sums["w"] or 1.0)
         goal = wanted
@@ -229,6 +242,8 @@ def _fit_local(cells: DataFrame, params: MixParams, bounded: bool):
         power, given = weight_of(axis, params)
         weight = np.array([given.get(x, 0.0) for x in names]) if given else held**power
         weight = np.where(held > 0, weight, 0.0)
+        if given and all_tokens:
+            require_tokens(axis, given, set(names[held > 0]))
         goal = weight * all_tokens / (weight.sum() or 1.0)
         if bounded:
             own, goal = goal, reachable(weight, held, kept)

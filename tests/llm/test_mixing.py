@@ -86,7 +86,7 @@ def test_given_topics_and_targets(spark):
         [(k, "w " * 10, "a", f"l{k % 2}", f"t{k % 3}") for k in range(600)],
         "doc_id long, text string, source string, lang string, kind string",
     )
-    params = mixing.MixParams(lang_targets={"l0": 3.0, "l1": 1.0, "absent": 5.0}, token_share=0.5)
+    params = mixing.MixParams(lang_targets={"l0": 3.0, "l1": 1.0, "absent": 0.0}, token_share=0.5)
     out = mixing.mix(docs, params, topic_col="kind").collect()
     assert {r["_m_topic"] for r in out} == {"t0", "t1", "t2"}
     chance = {lang: sum(r["_m_probability"] for r in out if r["_m_lang"] == lang) for lang in ("l0", "l1")}
@@ -177,3 +177,18 @@ def test_bounded_sample_has_the_reachable_marginals(spark):
             low, high = (level, high) if sum(goal.values()) < 0.7 * total else (low, level)
         for k, v in goal.items():
             assert got[k] == pytest.approx(v, rel=1e-3, abs=1e-4 * total)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_sources_have_given_targets(spark, most):
+    """Listed sources get their weights, what is not listed goes, and a listed source without rows ends the job."""
+    rows = [(k, "word " * 10, f"s{k % 4}", ["en", "de"][k % 3 == 0]) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    params = mixing.MixParams(source_targets={"s0": 1.0, "s1": 2.0, "s2": 3.0}, lang_power=1.0, token_share=0.3, most_local_cells=most)
+    mixed = mixing.mix(docs, params)
+    shares = {r["_m_source"]: r["n"] for r in mixed.groupBy("_m_source").agg(F.sum(F.col("_m_tokens") * F.col("_m_probability")).alias("n")).collect()}
+    total = sum(shares.values())
+    assert total == pytest.approx(0.3 * 12_000, rel=1e-3)
+    assert [shares[f"s{k}"] / total for k in range(4)] == pytest.approx([1 / 6, 2 / 6, 3 / 6, 0], abs=1e-3)
+    with pytest.raises(ValueError, match="'s9'"):
+        mixing.mix(docs, mixing.MixParams(source_targets={"s0": 1.0, "s9": 1.0}, most_local_cells=most)).count()
