@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.catalog.base import OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, table
-from pointloom.catalog.spatial import FORMED
+from pointloom.catalog.spatial import FORMED, LIVE
 from pointloom.functions import fields
 from pointloom.operators import assess, baseline, facility, folds, geojoin, legacy, research, sessions, views
 from pointloom.plans.scratch import scratch_folder
 from pointloom.streaming import formation as streamed
 from pointloom.streaming import jobs
+from pointloom.streaming import live as live_stream
 from pointloom.streaming.late import Gate
+from pointloom.streaming.live import LiveRun
 
 KM = km("lat", "lon", "s_lat", "s_lon")
 
@@ -366,6 +368,26 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(gate.dead().select("event_id", F.col("_batch").cast("int").alias("batch"), F.col("reason").alias("outcome")))
 
 
+@query(LIVE + """, a AS (SELECT source_id, 'EXISTING' AS kind FROM known UNION ALL SELECT 'LIVE-' || substr(sha256(leader), 1, 10), 'PROVISIONAL' FROM run WHERE k > 0)
+SELECT source_id, kind, count(*) AS n_live FROM a GROUP BY source_id, kind""")
+def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three product streams in three batches, every tenth row again in the last one, equal to one batch over all rows."""
+    i = F.col("point_id")
+    o = points(spark, sf_dir).select(
+        "point_id", F.concat(F.lit("p"), F.format_string("%09d", "point_id")).alias("physical_key"), F.timestamp_seconds(i * 60).alias("ts"), "lat", "lon"
+    )
+    top = o.agg(F.max("point_id")).first()[0] or 0
+    slices = [o.where(i <= top // 3), o.where((i > top // 3) & (i <= 2 * top // 3)), o.where((i > 2 * top // 3) | (i % 10 == 0))]
+    streams, home = {}, scratch_folder(spark, "live")
+    for product in range(3):
+        own = [rows.where(i % 3 == product).drop("point_id") for rows in slices]
+        streams[f"product{product}"], _ = _in_batches(spark, own)
+    registry = sites(spark, sf_dir).select(F.col("site_id").cast("string").alias("source_id"), F.col("s_lat").alias("r_lat"), F.col("s_lon").alias("r_lon"))
+    run = LiveRun(spark, f"{home}/out", registry)
+    run.run(live_stream.united(streams), f"{home}/checkpoint")
+    return run.placed().groupBy("source_id", "kind").agg(F.count("*").alias("n_live"))
+
+
 @query()
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in five folds with the order priorities of all orders; the tests hold the rule against a plain one."""

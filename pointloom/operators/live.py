@@ -5,9 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.celljoin import nearest_within
 from pointloom.operators.dedup import keep_first
 from pointloom.operators.formation import lead_clusters
-from pointloom.operators.geojoin import grid_join, nearest
+
+
+LEADERS = "physical_key string, ts timestamp, lat double, lon double"
+
+
+def known_sources(obs: DataFrame, registry: DataFrame, radius_km: float = 0.375) -> DataFrame:
+    """(physical_key, source_id) of observations within the radius of a known source: the nearest, ties to the smaller id."""
+    near = nearest_within(
+        obs.select("physical_key", "lat", "lon"), registry.select("source_id", "r_lat", "r_lon"), radius_km, "source_id", ("lat", "lon"), ("r_lat", "r_lon")
+    )
+    return near.select("physical_key", "source_id")
+
+
+def provisional_sources(fresh: DataFrame, radius_km: float = 0.375, leaders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(physical_key, source_id) of observations without a known source, and the leaders that they founded.
+
+    ``leaders`` are those of earlier observations, which lead again.
+    """
+    rows = fresh.select("physical_key", "ts", "lat", "lon")
+    if leaders is not None:
+        rows = rows.unionByName(leaders.select("physical_key", "ts", "lat", "lon"))
+    led = lead_clusters(rows, "physical_key", "ts", radius_km)
+    if leaders is not None:
+        led = led.join(leaders.select("physical_key"), "physical_key", "left_anti")
+    named = led.select("physical_key", F.concat(F.lit("LIVE-"), F.substring(F.sha2("leader", 256), 1, 10)).alias("source_id"))
+    founded = fresh.join(led.where("physical_key = leader").select("physical_key"), "physical_key", "left_semi")
+    return named, founded.select("physical_key", "ts", "lat", "lon")
 
 
 def associate(obs: DataFrame, registry: DataFrame, radius_km: float = 0.375) -> DataFrame:
@@ -18,16 +45,13 @@ def associate(obs: DataFrame, registry: DataFrame, radius_km: float = 0.375) ->
     join provisional clusters, which never match the registry later.
     """
     distinct = keep_first(obs, ["physical_key"], ["ts"])
-    pairs = grid_join(distinct.select("physical_key", "lat", "lon"), registry.select("source_id", "r_lat", "r_lon"), radius_km, ("lat", "lon"), ("r_lat", "r_lon"))
-    known = nearest(pairs, "physical_key", "source_id").select("physical_key", "source_id")
-    fresh = distinct.join(known, "physical_key", "left_anti")
-    leaders = lead_clusters(fresh, "physical_key", "ts", radius_km)
-    provisional = leaders.select(
-        F.col("key").alias("physical_key") if "key" in leaders.columns else F.col("physical_key"),
-        F.concat(F.lit("LIVE-"), F.substring(F.sha2("leader", 256), 1, 10)).alias("source_id"),
-    )
-    kinds = known.withColumn("kind", F.lit("EXISTING")).unionByName(provisional.withColumn("kind", F.lit("PROVISIONAL")))
-    return distinct.join(kinds, "physical_key")
+    known = known_sources(distinct, registry, radius_km)
+    provisional, _ = provisional_sources(distinct.join(known, "physical_key", "left_anti"), radius_km)
+    return distinct.join(kinds_of(known, provisional), "physical_key")
+
+
+def kinds_of(known: DataFrame, provisional: DataFrame) -> DataFrame:
+    return known.withColumn("kind", F.lit("EXISTING")).unionByName(provisional.withColumn("kind", F.lit("PROVISIONAL")))
 
 
 def live_sources(associated: DataFrame, flagged: DataFrame) -> DataFrame:

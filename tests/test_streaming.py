@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import formation
+from pointloom.operators import live as operators_live
 from pointloom.streaming import formation as streamed
+from pointloom.streaming import live
 from pointloom.streaming.state import Tiles
 
 SCHEMA = "pk string, ts timestamp, lat double, lon double"
@@ -85,3 +87,23 @@ def test_tiles_near_a_row_hold_all_points_within_reach(spark):
     assert all(r["x"] for r in seen.collect())
     with pytest.raises(ValueError):
         Tiles(0.01, 0.006)
+
+
+def test_live_batches_place_what_one_batch_places(spark, tmp_path):
+    """Provisional leaders outlive their batch; repeated rows count once; a failed batch says so and can be repeated."""
+    rows = wandering(120, seed=9)
+    registry = spark.createDataFrame([("S1", 20.01, 80.01), ("S2", 20.02, 80.0)], "source_id string, r_lat double, r_lon double")
+    obs = lambda part: observations(spark, part).withColumnRenamed("pk", "physical_key").withColumn("product", F.lit("p"))
+    whole = {r["physical_key"]: (r["source_id"], r["kind"]) for r in operators_live.associate(obs(rows), registry).collect()}
+    assert {k for _, k in whole.values()} == {"EXISTING", "PROVISIONAL"}
+    run = live.LiveRun(spark, str(tmp_path), registry, tile_degrees=0.02)
+    run.place(obs(rows[:50]), 0)
+    with pytest.raises(Exception, match="product"):
+        run.place(obs(rows[50:]).drop("product"), 1)
+    assert run.status().where("batch = 1").first()["status"] == "UNAVAILABLE"
+    run.place(obs(rows[50:] + rows[:7] + rows[60:70]), 1)
+    run.place(obs(rows[50:] + rows[:7] + rows[60:70]), 1)
+    assert {r["physical_key"]: (r["source_id"], r["kind"]) for r in run.placed().collect()} == whole
+    assert run.placed().count() == len(rows)
+    said = {r["batch"]: (r["status"], r["distinct_observations"]) for r in run.status().collect()}
+    assert said == {0: ("OK", 50), 1: ("OK", 70)}
