@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -119,3 +120,17 @@ def test_other_tokenizer_files_are_used_as_a_whole(text):
     path = packing.public_path("byte_bpe_50k.json")
     got = np.frombuffer(WordTokenizer(path).ids(text), "<u4").tolist()
     assert got == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_fast_patterns_find_the_same_words():
+    import re
+
+    from pointloom.llm import tokenize
+
+    every = "".join(map(chr, range(0x20, 0x7F))) + "\t\n\r"
+    draw = random.Random(8)
+    texts = ["".join(draw.choices(every, k=60)).lower() for _ in range(3000)] + ["it's 'street' we'll they've i'd'm''re _a_1b2 don't'", every.lower()]
+    words, fast, ascii_ = (re.compile(p).findall for p in (tokenize.WORDS, tokenize.FAST_WORDS, tokenize.ASCII_WORDS))
+    assert all(words(t) == fast(t) == ascii_(t) for t in texts)
+    latin = ["".join(draw.choices(every + "äöüßéñÉ¿«»–“”€…ĳſ", k=60)).lower() for _ in range(3000)]
+    assert all(words(t) == fast(t) for t in latin)
