@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointloom.catalog.base import (
     ACTIVITY, OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, source_activity, table,
 )
-from pointloom.operators import contract, coverage, packets, projections, relate
+from pointloom.operators import contract, coverage, legacy, packets, projections, relate
 
 DETECTIONS = OBS + """, det AS (SELECT source_id, ts, event_id, lat, lon, coalesce(frp, 0) AS frp, 300 + conf * 0.7::DOUBLE AS ti4,
   CASE WHEN conf >= 80 THEN 'h' WHEN conf >= 30 THEN 'n' ELSE 'l' END AS conf, CASE WHEN night THEN 'N' ELSE 'D' END AS dn,
@@ -240,3 +240,20 @@ def evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = projections.in_order_of_offer(o, "o_orderkey")
     return projections.best_items(placed, "group", "competing", "o_orderkey").select(F.col("group").alias("o_custkey"), "o_orderkey", "place")
+
+
+NAMES = {"view": "Viewed", "click": "Clicked", "purchase": "Bought"}
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'Viewed' WHEN 'click' THEN 'Clicked' WHEN 'purchase' THEN 'Bought' ELSE event_type END AS shown, event_type || '-' || printf('%06d', event_id) AS detection_id FROM events WHERE event_type = 'click'")
+def shown_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = projections.in_state(table(spark, sf_dir, "events"), "click", "event_type")
+    number = legacy.detection_id(F.col("event_type"), F.col("event_id"))
+    return rows.select("event_id", projections.named(F.col("event_type"), NAMES).alias("shown"), number.alias("detection_id"))
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS rank, event_id FROM events")
+def ranked_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map points of one document are a short list; here one list for each user."""
+    listed = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("points"))
+    return listed.select("user_id", projections.ranked(F.col("points"))).select("user_id", "rank", F.col("point.event_id").alias("event_id"))
