@@ -9,6 +9,7 @@ from pointloom.catalog.base import OBS, POINTS, RULES, SITES, alerts, km, obs, p
 from pointloom.catalog.spatial import FORMED, LIVE
 from pointloom.functions import fields
 from pointloom.operators import assess, baseline, facility, folds, geojoin, legacy, research, sessions, views
+from pointloom.plans import lineage
 from pointloom.plans.scratch import scratch_folder
 from pointloom.streaming import formation as streamed
 from pointloom.streaming import jobs
@@ -404,6 +405,14 @@ def pilot_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(research.pilot(o, {"1-URGENT": 3, "2-HIGH": 3, "5-LOW": 1}), "id long, kind string, group long, cell string, place int")
 
 
+@query("WITH " + RULES + " SELECT source_id, detection_count, active_days, round(night_frac, 9) AS night_frac, event_count, recent_detections, first_seen, last_seen, round(extent_m, 6) AS extent_m, rule_score, rule_flag FROM ruled")
+def unleaked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each source but those that were made, through whatever steps, from the measured value."""
+    clean = lineage.without(alerts(spark, sf_dir), ["events.value"])
+    clean = clean.drop("rule_reasons", "part_pihs", "part_recency", "part_persistence", "part_facility_context")
+    return rounded(rounded(clean, 9, "night_frac"), 6, "extent_m")
+
+
 @query("SELECT event_id, printf('%.2f', event_id / 1000.0::DOUBLE) AS two FROM events")
 def half_even_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

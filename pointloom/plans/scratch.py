@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: dict[str, SparkSession] = {}
+_ORIGIN: dict[str, DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,7 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     _WRITTEN[path] = spark
+    _ORIGIN[_bare(path)] = df
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out
@@ -89,7 +91,13 @@ def _bare(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
+def origin_of(path: str) -> DataFrame | None:
+    """What the table at ``path`` was written from, if :func:`written` wrote it and it is still there."""
+    return _ORIGIN.get(_bare(path.rstrip("/")))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    _ORIGIN.pop(_bare(path), None)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
