@@ -10,7 +10,9 @@ from pointloom.catalog.base import (
 )
 from pointloom.functions import geo
 from pointloom.operators import activity, attribution, celljoin, context, facility, formation, geojoin, live, relate, research
-from pointloom.plans.scratch import written
+from pointloom.plans import lineage
+from pointloom.plans.scratch import scratch_folder, written
+from pointloom.sources import publish
 
 D = km("lat", "lon", "s_lat", "s_lon")
 NEAR = POINTS + ", " + SITES + f", pairs AS (SELECT point_id, segment, nation, site_id, site_name, kind, {D} AS d FROM points JOIN sites ON abs(lat - s_lat) <= 0.05 WHERE {D} <= 5)"
@@ -170,6 +172,30 @@ def label_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("point_id", F.array_join("kinds", ",").alias("kinds"), F.round("nearest_km", 4).alias("nearest_km"), "status", "label")
 
 
+QUESTIONS = ";".join(f"""nwr["{k}"="{v}"]BOX""" for pairs in context.CATEGORIES.values() for k, v in pairs)
+
+
+@query("WITH " + POINTS + """, o AS (SELECT unnest([-1, 0, 1]) AS s), t AS (SELECT DISTINCT point_id, floor((lat + a.s * (5000.0::DOUBLE / 111320.0::DOUBLE)) / 0.25)::INT AS i, floor((lon + b.s * (5000.0::DOUBLE / (111320.0::DOUBLE * greatest(cos(radians(lat)), 1e-6)))) / 0.25)::INT AS j FROM points, o a, o b),
+g AS (SELECT i, j, count(*) AS n_points, printf('(%.4f,%.4f,%.4f,%.4f)', i * 0.25::DOUBLE, j * 0.25::DOUBLE, (i + 1) * 0.25::DOUBLE, (j + 1) * 0.25::DOUBLE) AS box FROM t GROUP BY i, j)
+SELECT printf('%+05d_%+05d', i, j) AS tile, n_points, substr(sha256('osm-context-q1' || chr(10) || '[out:json][timeout:90];(' || replace('""" + QUESTIONS + """;', 'BOX', box) || ');out center tags;'), 1, 16) AS question FROM g""")
+def tile_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles that all points need, with the name of each one's question."""
+    plan = context.tile_plan(points(spark, sf_dir), 5000.0)
+    return plan.withColumn("question", context.question_hash(context.tile_question(F.col("tile"))))
+
+
+@query("WITH " + NEAR + """, n AS (SELECT * FROM pairs WHERE d <= 2), g AS (SELECT point_id, min(kind) AS label, count(DISTINCT kind) AS k, min(round(d, 4)) AS nearest_km FROM n GROUP BY 1)
+SELECT point_id, round(nearest_km, 4) AS nearest_km, label FROM g WHERE k = 1""")
+def published_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates to review, published only because their plan reads no more of the registry than its key, and read back."""
+    home = scratch_folder(spark, "published")
+    candidates = research.expand_labels(near(spark, sf_dir), "point_id", "site_id", "kind", "site_name")
+    audit = lineage.audit(candidates, "customer", ["c_custkey"], ["c_acctbal", "c_mktsegment", "events.value"])
+    capacity = candidates.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("site_name").alias("groups"))
+    publish.publish_expansion(home, candidates, capacity, context.tile_plan(points(spark, sf_dir), 5000.0), audit)
+    return publish.read(spark, home, "review").select("point_id", F.round("nearest_km", 4).alias("nearest_km"), "label")
+
+
 #: The sequential rule as a recursion over the ordered rows of each proxy source.  Those lie more than the
 #: radius apart, and their points less than the extent, so sources never cross them and none is refused.
 FORMED = "WITH RECURSIVE " + OBS + f""", pts AS (SELECT source_id AS u, printf('%012d', event_id) AS pk, lat, lon, row_number() OVER (PARTITION BY source_id ORDER BY ts, event_id) AS k FROM obs),

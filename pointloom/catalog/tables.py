@@ -11,6 +11,7 @@ from pointloom.functions import fields
 from pointloom.operators import assess, baseline, facility, folds, geojoin, legacy, research, sessions, views
 from pointloom.plans import lineage
 from pointloom.plans.scratch import scratch_folder
+from pointloom.sources import publish
 from pointloom.streaming import formation as streamed
 from pointloom.streaming import jobs
 from pointloom.streaming import live as live_stream
@@ -126,6 +127,16 @@ def inclusion_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _draw(spark, sf_dir).select("stratum", "population", "inclusion").distinct()
 
 
+@query("WITH " + DRAW + f" SELECT c_custkey, stratum, cell, draw_order::INT AS draw_order, population, round(least(1.0::DOUBLE, {QUOTA_SQL} / population::DOUBLE), 8) AS inclusion FROM d WHERE draw_order <= {QUOTA_SQL}")
+def published_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw published over an earlier one and read back, verified, from what is current."""
+    home, drawn = scratch_folder(spark, "published"), _draw(spark, sf_dir)
+    frame = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("stratum"))
+    publish.publish_draw(home, drawn.where("draw_order <= 2"), frame, "stratum", {k: 2 for k in QUOTAS}, "s0")
+    publish.publish_draw(home, drawn, frame, "stratum", QUOTAS, "s1")
+    return publish.read(spark, home, "draw", publish.verify(spark, home)).select("c_custkey", "stratum", "cell", "draw_order", "population", "inclusion")
+
+
 CELL = OBS + ", cells AS (SELECT *, printf('%.2f_%.2f', round(lat, 2), round(lon, 2)) AS ck FROM obs)"
 
 
@@ -462,7 +473,9 @@ def annotation_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = lambda label, tier: l.select("doc_id", F.col(label).alias("label"), F.col(tier).alias("tier"), F.lit("NEWS").alias("sources"), F.lit("ref").alias("reference"), F.lit("me").alias("annotator"))
     judged = l.where(i % 3 == 0).select("doc_id", F.col("b").alias("final_label"))
     run = research.intake(l.select("doc_id"), sheet("a", "t1"), sheet("b", "t2"), judged, "doc_id", F.when(i % 11 == 0, "x").otherwise("y"), ["GOOD", "BAD"])
-    return run["final"]
+    home = scratch_folder(spark, "published")
+    publish.publish_intake(home, run, "packet")
+    return publish.read(spark, home, "final")
 
 
 @query("SELECT CASE event_id % 4 WHEN 0 THEN 'A_NRT.csv' ELSE 'B_SP.csv' END AS source_file, count(*) AS n FROM events WHERE (event_id % 10 = 0) <> (event_id % 4 = 0) GROUP BY 1")

@@ -1,11 +1,11 @@
-"""Map and land-cover context of points."""
+"""Map and land-cover context of points."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.geo import context_tile, haversine, tiles_around
+from pointloom.functions.geo import tiles_around
 from pointloom.operators.geojoin import grid_join
 
 #: Context categories by map tags.
@@ -26,6 +26,8 @@ CATEGORIES = {
     "forest": [("landuse", "forest"), ("natural", "wood")],
 }
 BACKGROUND = ("residential", "farmland", "forest")
+#: Fixed value: version of the question put to the map server.
+QUESTION = "osm-context-q1"
 
 
 def categories_of(tags: Column) -> Column:
@@ -89,10 +91,21 @@ def land_cover(points: DataFrame, pixels: DataFrame, key: str, radius_m: float =
     )
 
 
-__all__ = ["categories_of", "point_features", "land_cover", "context_tile", "haversine"]
-
-
 def tile_plan(points: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(tile, n_points): the distinct tiles that the points need."""
     each = points.select(F.explode(tiles_around(F.col(lat), F.col(lon), radius_m)).alias("tile"))
     return each.groupBy("tile").agg(F.count("*").alias("n_points"))
+
+
+def tile_question(tile: Column, degrees: float = 0.25, timeout_s: int = 90) -> Column:
+    """What a fetcher asks the map server for a tile: elements of any category inside its box."""
+    corner = lambda part, more: (F.split(tile, "_")[part].cast("int") + more) * degrees
+    box = F.format_string("(%.4f,%.4f,%.4f,%.4f)", corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))
+    wanted = [pair for pairs in CATEGORIES.values() for pair in pairs]
+    lines = [F.concat(F.lit(f'nwr["{key}"="{value}"]'), box, F.lit(";")) for key, value in wanted]
+    return F.concat(F.lit(f"[out:json][timeout:{timeout_s}];("), *lines, F.lit(");out center tags;"))
+
+
+def question_hash(question: Column) -> Column:
+    """Sixteen hex digits of a question and its version; names the cached answer."""
+    return F.substring(F.sha2(F.concat(F.lit(QUESTION + "\n"), question), 256), 1, 16)
