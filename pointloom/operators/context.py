@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.geo import tiles_around
+from pointloom.functions.geo import METRES_PER_DEGREE, land_tile, tiles_around
 from pointloom.operators.geojoin import grid_join
+from pointloom.sources import rasters
 
 #: Context categories by map tags.
 CATEGORIES = {
@@ -109,3 +110,66 @@ def tile_question(tile: Column, degrees: float = 0.25, timeout_s: int = 90) -> C
 def question_hash(question: Column) -> Column:
     """Sixteen hex digits of a question and its version; names the cached answer."""
     return F.substring(F.sha2(F.concat(F.lit(QUESTION + "\n"), question), 256), 1, 16)
+
+
+#: Names of the land-cover classes.
+COVER = {
+    10: "tree_cover", 20: "shrubland", 30: "grassland", 40: "cropland", 50: "built_up", 60: "bare_sparse",
+    70: "snow_ice", 80: "water", 90: "herbaceous_wetland", 95: "mangroves", 100: "moss_lichen",
+}
+
+
+def _cover_name(code: Column) -> Column:
+    names = F.create_map(*[F.lit(v) for pair in COVER.items() for v in pair])
+    return F.when(code.isNotNull(), F.coalesce(F.element_at(names, code), F.concat(F.lit("unknown_"), code.cast("string"))))
+
+
+def raster_cover(points: DataFrame, blocks: DataFrame, key: str, radius_m: float = 500.0) -> DataFrame:
+    """Land cover around points from rasters.
+
+    points: key, lat, lon.  blocks: as from ``rasters.raster_blocks``; a raster's tile is
+    part of its file's name.  Status OK, PARTIAL_TILE_MISSING, MISSING_NOT_FETCHED where
+    the point's own tile is not there, or READ_ERROR; with the last two every feature is
+    null.  Code 0 is no data: it counts as a pixel, never as a class.  ``shares`` maps
+    the names of classes to shares of the known pixels; ties of the dominant class go to
+    the smaller code.
+    """
+    tile = lambda a, b: land_tile(F.col("lat") + a, F.col("lon") + b)
+    dlat = F.lit(radius_m / METRES_PER_DEGREE)
+    dlon = radius_m / (METRES_PER_DEGREE * F.greatest(F.cos(F.radians("lat")), F.lit(1e-6)))
+    p = points.select(key, "lat", "lon").dropDuplicates([key])
+    corners = F.array_distinct(F.array(*[tile(a * dlat, b * dlon) for a in (-1, 1) for b in (-1, 1)]))
+    wanted = p.select(key, tile(F.lit(0), F.lit(0)).alias("_own"), F.explode(corners).alias("_tile"))
+    there = blocks.groupBy(F.regexp_extract("file", "_([NS][0-9]{2}[EW][0-9]{3})_", 1).alias("_tile")).agg(F.max("problem").alias("_file_problem"))
+    tiles = wanted.join(there.withColumn("_there", F.lit(True)), "_tile", "left").groupBy(key).agg(
+        F.array_join(F.sort_array(F.collect_set("_tile")), ";").alias("tiles"),
+        F.bool_and(F.col("_there").isNotNull()).alias("_all"),
+        F.coalesce(F.bool_or(F.when(F.col("_tile") == F.col("_own"), F.col("_there"))), F.lit(False)).alias("_has_own"),
+        F.max("_file_problem").alias("_file_problem"),
+    )
+    by_class = rasters.class_counts(p, blocks, key, radius_m).groupBy(key, "class").agg(
+        F.sum("n").alias("n"), F.bool_or("here").alias("here"), F.max("problem").alias("problem")
+    )
+    known = (F.col("class") != 0) & (F.col("n") > 0)
+    counts = by_class.groupBy(key).agg(
+        F.sum("n").alias("n_pixels"), F.sum(F.when(F.col("class") == 0, F.col("n")).otherwise(0)).alias("_none"),
+        F.sum(F.when(known, F.col("n"))).alias("_known"), F.max("problem").alias("_problem"),
+        F.max(F.when(F.col("here") & (F.col("class") != 0), F.col("class"))).alias("class_at_point"),
+        F.max_by("class", F.when(known, F.struct("n", (-F.col("class")).alias("c")))).alias("dominant"),
+        F.sort_array(F.collect_list(F.when(known, F.struct("class", "n")))).alias("_classes"),  # as many as there are classes
+    )
+    shares = F.map_from_entries(F.transform("_classes", lambda x: F.struct(_cover_name(x["class"]), F.round(x["n"] / F.col("_known"), 4))))
+    problem = F.coalesce("_file_problem", "_problem")
+    status = (
+        F.when(~F.col("_has_own"), "MISSING_NOT_FETCHED").when(problem.isNotNull(), F.concat(F.lit("READ_ERROR: "), problem))
+        .when(~F.col("_all"), "PARTIAL_TILE_MISSING").otherwise("OK")
+    )
+    out = p.select(key).join(tiles, key, "left").join(counts, key, "left").withColumn("status", F.coalesce(status, F.lit("MISSING_NOT_FETCHED")))
+    shown = F.col("status").isin("OK", "PARTIAL_TILE_MISSING")
+    n = F.coalesce("n_pixels", F.lit(0))
+    return out.select(
+        key, "status", "tiles", F.when(shown, F.col("class_at_point")).alias("class_at_point"),
+        F.when(shown, _cover_name(F.col("class_at_point"))).alias("name_at_point"), F.when(shown, n).alias("n_pixels"),
+        F.when(shown & (n > 0), F.round(F.col("_none") / n, 4)).alias("nodata_share"),
+        F.when(shown, _cover_name(F.col("dominant"))).alias("dominant"), F.when(shown & (F.size("_classes") > 0), shares).alias("shares"),
+    )
