@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.catalog.base import ACTIVITY, OBS, obs, query, rounded
 from pointloom.functions.fields import season, tier
-from pointloom.operators import activity, baseline, coverage, sessions, stats
+from pointloom.operators import assess, activity, baseline, coverage, sessions, stats
 
 AS_OF = "2024-01-30 00:00:00"
 SESSION = ACTIVITY + f""", stab AS (
@@ -248,6 +248,37 @@ def onrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.select("source_id", "detect_days", "possible_days", "status", "onrr"), 6, "onrr")
 
 
+def scores(of: str, key: str, value: str, x: str) -> str:
+    """SQL of robust scores of ``x`` against the values of ``of`` by ``key``, as (key, z, n)."""
+    return (
+        f"(SELECT {key}, n, CASE WHEN mad > 1e-9 THEN 0.6745::DOUBLE * (x - m) / mad WHEN ad > 1e-9 THEN (x - m) / (1.253314::DOUBLE * ad) END AS z FROM ("
+        f"SELECT {key}, {x} AS x, m, n, median(abs({value} - m)) AS mad, avg(abs({value} - m)) AS ad FROM {of} JOIN (SELECT {key}, median({value}) AS m, count(*) AS n FROM {of} GROUP BY ALL) USING ({key}) GROUP BY ALL))"
+    )
+
+
+PERSISTENCE = """, own AS (SELECT source_id, max(day) AS e, min(day) AS f FROM det GROUP BY 1),
+both_days AS (SELECT source_id, day FROM det UNION SELECT source_id, day FROM pos),
+rate AS (SELECT u.source_id, (e - u.day) // 2 AS k, count(d.day)::DOUBLE / count(*) AS r FROM both_days u JOIN own USING (source_id) LEFT JOIN (SELECT DISTINCT source_id, day FROM det) d ON d.source_id = u.source_id AND d.day = u.day
+  WHERE u.day <= e AND u.source_id IN (SELECT source_id FROM pos) AND ((e - u.day) // 2 = 0 OR e - (((e - u.day) // 2 + 1) * 2 - 1)::INT >= f) AND (e - u.day) // 2 <= 24 GROUP BY ALL),
+now AS (SELECT source_id, r AS x FROM rate WHERE k = 0), past AS (SELECT source_id, rate.k, r, x FROM rate JOIN now USING (source_id) WHERE rate.k > 0),
+pz AS """ + scores("past", "source_id", "r", "x") + """,
+others AS (SELECT a.source_id, a.k, a.r AS x, b.r FROM past a JOIN past b ON a.source_id = b.source_id AND a.k <> b.k),
+lz AS """ + scores("others", "source_id, k", "r", "x") + """,
+share AS (SELECT l.source_id, count(*) AS n, count(*) FILTER (greatest(0, l.z) <= greatest(0, pz.z) + 1e-12) AS below FROM lz l JOIN pz USING (source_id) WHERE l.n >= 3 AND l.z IS NOT NULL GROUP BY 1),
+persist AS (SELECT own.source_id, x AS onrr, coalesce(pz.n, 0)::INT AS n_windows,
+  CASE WHEN x IS NULL THEN 'OBSERVATION_OPPORTUNITY_UNKNOWN' WHEN coalesce(pz.n, 0) < 5 THEN 'INSUFFICIENT_HISTORY' WHEN pz.z IS NULL THEN 'DEGENERATE_BASELINE' ELSE 'OK' END AS p_status,
+  CASE WHEN pz.n >= 5 THEN pz.z END AS p_z, CASE WHEN pz.n >= 5 AND pz.z IS NOT NULL AND share.n >= 5 THEN below / share.n::DOUBLE END AS p_norm
+  FROM own LEFT JOIN now USING (source_id) LEFT JOIN pz USING (source_id) LEFT JOIN share USING (source_id))"""
+
+
+@query("WITH " + CHANCES + PERSISTENCE + " SELECT source_id, round(onrr, 6) AS onrr, n_windows, p_status, round(p_z, 6) AS p_z, round(p_norm, 6) AS p_norm FROM persist")
+def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's recurrence rate against its own earlier windows of two days."""
+    hits, possible = _chances(spark, sf_dir)
+    rates = coverage.window_rates(hits, possible, "source_id", "day", 2, 24)
+    return rounded(assess.persistence(hits, rates, "source_id", assess.AssessParams(least_windows=5)), 6, "onrr", "p_z", "p_norm")
+
+
 @query("WITH " + CHANCES + ", ends AS (SELECT source_id, max(e) AS e, min(day) AS f FROM det GROUP BY 1), k AS (SELECT source_id, e, f, unnest(range(1, 7))::INT AS k FROM ends) SELECT source_id, k, (e - k * 5 - 4)::VARCHAR AS window_from, (e - k * 5)::VARCHAR AS window_to FROM k WHERE e - k * 5 - 4 >= f")
 def onrr_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, _ = _chances(spark, sf_dir)

@@ -1,4 +1,4 @@
-"""Assessment objects of sources' latest events."""
+"""Assessment objects of sources' latest events."""
 
 from __future__ import annotations
 
@@ -32,14 +32,28 @@ def persistence_deviation(df: DataFrame, current: str, history: str, p: AssessPa
     out = out.withColumn("_loo", loo)
     norm = F.when(F.size("_loo") >= p.least_windows, stats.empirical_cdf(F.greatest(F.lit(0.0), F.col("p_z")), F.col("_loo")))
     status = (
-        F.when(F.col(current).isNull(), "CURRENT_UNKNOWN")
+        F.when(F.col(current).isNull(), "OBSERVATION_OPPORTUNITY_UNKNOWN")
         .when(F.size(history) < p.least_windows, "INSUFFICIENT_HISTORY")
-        .when(F.col("p_z").isNull(), "DEGENERATE")
+        .when(F.col("p_z").isNull(), "DEGENERATE_BASELINE")
         .otherwise("OK")
     )
     return out.withColumns({"p_status": status, "p_norm": norm}).drop("_loo")
 
 
+def persistence(sources: DataFrame, rates: DataFrame, source: str, p: AssessParams = AssessParams()) -> DataFrame:
+    """(source, onrr, n_windows, p_status, p_z, p_norm) of every source of ``sources``.
+
+    rates: as from ``coverage.window_rates``; a source holds at most as many as there are windows.
+    """
+    own = rates.groupBy(source).agg(
+        F.max(F.when(F.col("k") == 0, F.col("onrr"))).alias("onrr"),
+        F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.col("onrr")))).alias("_past"),
+    )
+    out = sources.select(source).distinct().join(own, source, "left").withColumn("_past", F.coalesce("_past", F.array().cast("array<double>")))
+    scored = persistence_deviation(out, "onrr", "_past", p)
+    return scored.select(source, "onrr", F.size("_past").alias("n_windows"), "p_status", "p_z", "p_norm")
+
+
 def fused(parts: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of the components that exist, null without any."""
     total, weight = F.lit(0.0), F.lit(0.0)
