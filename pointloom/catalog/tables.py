@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from pointloom.catalog.base import OBS, POINTS, RULES, SITES, alerts, km, obs, points, query, rounded, sites, table
 from pointloom.catalog.spatial import FORMED, LIVE
+from pointloom.catalog.times import PERSISTENCE, SEASON, scores
 from pointloom.functions import fields
-from pointloom.operators import assess, baseline, facility, folds, geojoin, legacy, research, sessions, views
+from pointloom.operators import assess, baseline, core, facility, folds, geojoin, legacy, research, sessions, views
 from pointloom.plans import lineage
 from pointloom.plans.scratch import scratch_folder
 from pointloom.sources import publish
@@ -306,6 +307,62 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess.assessment(placed, base, facility.decide(near, placed, "event_id", "site_id"), "source_id", "event_id")
 
 
+#: The chain of ``run_core`` over the formed sources: latest session, baseline, persistence, association, decision.
+CORE = FORMED + ", fobs AS (SELECT 'SRC-' || substr(sha1(anchor), 1, 10) AS source_id, event_id, sensor, ts, day, frp, o.lat, o.lon, pk FROM run JOIN obs o USING (pk) WHERE k > 0)".replace("obs o USING (pk)", "(SELECT *, printf('%012d', event_id) AS pk FROM obs) o USING (pk)") + """,
+gapped AS (SELECT *, ts - lag(ts) OVER (PARTITION BY source_id ORDER BY ts, pk) AS gap FROM fobs),
+numbered AS (SELECT *, sum((gap IS NULL OR gap > INTERVAL 36 HOUR)::INT) OVER (PARTITION BY source_id ORDER BY ts, pk ROWS UNBOUNDED PRECEDING) AS session FROM gapped),
+ev AS (SELECT source_id, session, count(*) AS n, max(ts) AS b, avg(lat) AS lat, avg(lon) AS lon FROM numbered GROUP BY source_id, session QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY b DESC, 'EVT-' || source_id || '-' || lpad(session::VARCHAR, 3, '0') DESC) = 1),
+tgt AS (SELECT source_id, day AS td, sensor, max(max(frp)) OVER (PARTITION BY source_id) AS x FROM fobs SEMI JOIN (SELECT source_id, max(day) AS day FROM fobs GROUP BY 1) USING (source_id, day) GROUP BY source_id, day, sensor QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, sensor) = 1),
+el AS (SELECT f.source_id, f.day, max(frp) AS v, x FROM fobs f JOIN tgt t ON f.source_id = t.source_id AND f.sensor = t.sensor AND f.day < td AND """ + SEASON.format("f.day") + " = " + SEASON.format("td") + """ GROUP BY ALL HAVING max(frp) IS NOT NULL),
+bz AS """ + scores("el", "source_id", "v", "x") + """,
+el2 AS (SELECT a.source_id, a.day, a.v AS x, b.v FROM el a JOIN el b ON a.source_id = b.source_id AND a.day <> b.day),
+bl AS """ + scores("el2", "source_id, day", "v", "x") + """,
+bshare AS (SELECT l.source_id, count(*) AS n, count(*) FILTER (greatest(0, l.z) <= greatest(0, bz.z) + 1e-12) AS below FROM bl l JOIN bz USING (source_id) WHERE l.n >= 3 AND l.z IS NOT NULL GROUP BY 1),
+based AS (SELECT tgt.source_id, CASE WHEN tgt.x IS NULL THEN 'TARGET_FRP_MISSING' WHEN coalesce(bz.n, 0) < 5 THEN 'INSUFFICIENT_HISTORY' WHEN bz.z IS NULL THEN 'DEGENERATE_BASELINE' ELSE 'OK' END AS status, bz.z,
+  CASE WHEN tgt.x IS NOT NULL AND bz.n >= 5 AND bz.z IS NOT NULL AND bshare.n >= 5 THEN below / bshare.n::DOUBLE END AS t_anom FROM tgt LEFT JOIN bz USING (source_id) LEFT JOIN bshare USING (source_id)),
+det AS (SELECT DISTINCT source_id, day FROM fobs), region AS (SELECT DISTINCT source_id, day, floor(lat / 5) AS ry, floor(lon / 5) AS rx FROM fobs WHERE floor(lat / 5) % 5 <> 2),
+pos AS (SELECT DISTINCT a.source_id, b.day FROM (SELECT DISTINCT source_id, ry, rx FROM region) a JOIN (SELECT DISTINCT day, ry, rx FROM region) b USING (ry, rx))""" + PERSISTENCE + """,
+""" + SITES + f""", near AS (SELECT source_id, count(site_id) AS n_sites, min(site_id) AS one FROM ev LEFT JOIN sites ON abs(lat - s_lat) < 0.03 AND {KM} <= 1 GROUP BY 1),
+fused AS (SELECT ev.*, status, z, t_anom, p_status, p_norm, onrr, n_sites, one, (t_anom IS NOT NULL)::INT + (p_norm IS NOT NULL)::INT AS parts,
+  CASE WHEN t_anom IS NULL AND p_norm IS NULL THEN NULL ELSE (coalesce(p_norm, 0) + coalesce(t_anom, 0)) / ((t_anom IS NOT NULL)::INT + (p_norm IS NOT NULL)::INT) END AS score
+  FROM ev JOIN based USING (source_id) JOIN persist USING (source_id) JOIN near USING (source_id))
+SELECT 'EVT-' || source_id || '-' || lpad(session::VARCHAR, 3, '0') AS event_id, source_id, n, CASE WHEN TIMESTAMP '2024-01-30' - b <= INTERVAL 36 HOUR THEN 'active' ELSE 'archived' END AS state,
+  status AS baseline_status, round(z, 6) AS robust_z, round(t_anom, 6) AS t_anom, p_status, round(onrr, 6) AS onrr, round(p_norm, 6) AS p_norm,
+  CASE n_sites WHEN 0 THEN 'UNRESOLVED' WHEN 1 THEN 'ASSOCIATED' ELSE 'MULTIPLE_CANDIDATES' END AS association, CASE WHEN n_sites = 1 THEN one::VARCHAR END AS selected, round(score, 6) AS fused_score,
+  CASE WHEN n_sites <> 1 OR n % 5 < 2 THEN 'Insufficient Evidence' WHEN status = 'INSUFFICIENT_HISTORY' AND parts = 0 THEN 'Insufficient History' WHEN score IS NULL THEN 'Insufficient Evidence'
+    WHEN score >= 0.8 AND parts > 1 THEN 'Abnormal' WHEN score >= 0.5 THEN 'Elevated' ELSE 'Normal' END AS decision,
+  concat_ws(',', CASE WHEN n_sites <> 1 OR n % 5 < 2 THEN 'G4_NOT_PASSED' END, CASE WHEN n % 5 < 2 THEN 'NOT_INDUSTRIAL_ABOVE_GATE' END, CASE WHEN n_sites <> 1 THEN 'NO_USABLE_FACILITY_ASSOCIATION' END,
+    CASE WHEN n_sites = 1 AND n % 5 >= 2 THEN CASE WHEN status = 'INSUFFICIENT_HISTORY' AND parts = 0 THEN 'INSUFFICIENT_HISTORY' WHEN score IS NULL THEN 'NO_COMPUTABLE_ABNORMALITY_COMPONENT' WHEN score >= 0.8 AND parts < 2 THEN 'SINGLE_DIMENSION_EVIDENCE_CAPPED' END END) AS codes
+FROM fused"""
+
+
+@query(CORE)
+def core_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations to decisions in one run: sources formed, latest events assessed; a day is an opportunity if its region was seen."""
+    o = obs(spark, sf_dir).select(F.format_string("%012d", "event_id").alias("physical_key"), "ts", "day", "lat", "lon", "sensor", F.col("frp").alias("value"))
+
+    def opportunity(formed: DataFrame) -> DataFrame:
+        cells = formed.select("source_id", "day", F.floor(F.col("lat") / 5).alias("ry"), F.floor(F.col("lon") / 5).alias("rx")).where("ry % 5 <> 2")
+        return cells.select("source_id", "ry", "rx").distinct().join(cells.select("day", "ry", "rx").distinct(), ["ry", "rx"]).select("source_id", "day").distinct()
+
+    def classes(events: DataFrame) -> DataFrame:
+        likely = (40 + 10 * (F.col("n") % 5)) / 100
+        return events.select("source_id", F.lit("Industrial").alias("source_class"), F.create_map(F.lit("Industrial"), likely, F.lit("Other"), 1 - likely).alias("probabilities"))
+
+    p = core.CoreParams(
+        baseline=baseline.BaselineParams(least_history=5, least_reference=5),
+        assess=assess.AssessParams(elevated=0.5, abnormal=0.8, least_windows=5), window_days=2,
+    )
+    places = sites(spark, sf_dir).withColumn("ring", F.lit(None).cast("array<struct<lat:double,lon:double>>"))
+    run = core.run_core(o, F.lit("2024-01-30 00:00:00").cast("timestamp"), opportunity, places, classes, p)
+    flat = run.select(
+        "event_id", "source_id", "event.n", "event.state", F.col("baseline.status").alias("baseline_status"), "baseline.robust_z", "baseline.t_anom",
+        F.col("persistence.status").alias("p_status"), "persistence.onrr", "persistence.p_norm", F.col("association.status").alias("association"),
+        "association.selected", "fused_score", F.col("decision.status").alias("decision"), F.array_join("decision.codes", ",").alias("codes"),
+    )
+    return rounded(flat, 6, "robust_z", "t_anom", "onrr", "p_norm", "fused_score")
+
+
 def _stream(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
     """Run a streaming job over the events table until it is read, and return the table it wrote."""
     path = f"{sf_dir}/events.parquet"

@@ -256,6 +256,7 @@ def scores(of: str, key: str, value: str, x: str) -> str:
     )
 
 
+#: SQL of persistence from det (source_id, day) and pos (source_id, day), windows of two days, five at least.
 PERSISTENCE = """, own AS (SELECT source_id, max(day) AS e, min(day) AS f FROM det GROUP BY 1),
 both_days AS (SELECT source_id, day FROM det UNION SELECT source_id, day FROM pos),
 rate AS (SELECT u.source_id, (e - u.day) // 2 AS k, count(d.day)::DOUBLE / count(*) AS r FROM both_days u JOIN own USING (source_id) LEFT JOIN (SELECT DISTINCT source_id, day FROM det) d ON d.source_id = u.source_id AND d.day = u.day
