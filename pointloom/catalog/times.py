@@ -260,7 +260,7 @@ def scores(of: str, key: str, value: str, x: str) -> str:
 PERSISTENCE = """, own AS (SELECT source_id, max(day) AS e, min(day) AS f FROM det GROUP BY 1),
 both_days AS (SELECT source_id, day FROM det UNION SELECT source_id, day FROM pos),
 rate AS (SELECT u.source_id, (e - u.day) // 2 AS k, count(d.day)::DOUBLE / count(*) AS r FROM both_days u JOIN own USING (source_id) LEFT JOIN (SELECT DISTINCT source_id, day FROM det) d ON d.source_id = u.source_id AND d.day = u.day
-  WHERE u.day <= e AND u.source_id IN (SELECT source_id FROM pos) AND ((e - u.day) // 2 = 0 OR e - (((e - u.day) // 2 + 1) * 2 - 1)::INT >= f) AND (e - u.day) // 2 <= 24 GROUP BY ALL),
+  WHERE u.day <= e AND u.source_id IN (SELECT source_id FROM pos) AND e - ((e - u.day) // 2 * 2)::INT >= f AND (e - u.day) // 2 <= 24 GROUP BY ALL),
 now AS (SELECT source_id, r AS x FROM rate WHERE k = 0), past AS (SELECT source_id, rate.k, r, x FROM rate JOIN now USING (source_id) WHERE rate.k > 0),
 pz AS """ + scores("past", "source_id", "r", "x") + """,
 others AS (SELECT a.source_id, a.k, a.r AS x, b.r FROM past a JOIN past b ON a.source_id = b.source_id AND a.k <> b.k),
@@ -280,7 +280,7 @@ def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(assess.persistence(hits, rates, "source_id", assess.AssessParams(least_windows=5)), 6, "onrr", "p_z", "p_norm")
 
 
-@query("WITH " + CHANCES + ", ends AS (SELECT source_id, max(e) AS e, min(day) AS f FROM det GROUP BY 1), k AS (SELECT source_id, e, f, unnest(range(1, 7))::INT AS k FROM ends) SELECT source_id, k, (e - k * 5 - 4)::VARCHAR AS window_from, (e - k * 5)::VARCHAR AS window_to FROM k WHERE e - k * 5 - 4 >= f")
+@query("WITH " + CHANCES + ", ends AS (SELECT source_id, max(e) AS e, min(day) AS f FROM det GROUP BY 1), k AS (SELECT source_id, e, f, unnest(range(1, 7))::INT AS k FROM ends) SELECT source_id, k, (e - k * 5 - 4)::VARCHAR AS window_from, (e - k * 5)::VARCHAR AS window_to FROM k WHERE e - k * 5 >= f")
 def onrr_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, _ = _chances(spark, sf_dir)
     ends = hits.select("source_id", "e", "first").distinct()

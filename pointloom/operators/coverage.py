@@ -88,19 +88,18 @@ def recurrence_rate(detected: DataFrame, possible: DataFrame, source: str, day:
 
 
 def past_windows(ends: DataFrame, source: str, end: str, first: str, days: int = 30, most: int = 24) -> DataFrame:
-    """(source, k, from, to): disjoint earlier windows, back to the first detection."""
+    """(source, k, from, to): disjoint earlier windows; the last is the one that holds the first detection."""
     k = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")
     spread = ends.select(source, end, first, k)
     to = F.date_sub(F.col(end), F.col("k") * days)
     out = spread.select(source, "k", F.date_sub(to, days - 1).alias("window_from"), to.alias("window_to"), first)
-    return out.where(F.col("window_from") >= F.col(first)).drop(first)
+    return out.where(F.col("window_to") >= F.col(first)).drop(first)
 
 
 def window_rates(detected: DataFrame, possible: DataFrame, source: str, day: str, days: int = 30, most: int = 24) -> DataFrame:
     """(source, k, detect_days, possible_days, onrr): the window up to a source's last detection (k = 0) and earlier ones.
 
-    Windows are disjoint and go back to the first detection; a window that begins
-    before it does not count.  A detection makes its day a possible one.  A window
+    Windows are disjoint and go back to the one that holds the first detection.  A detection makes its day a possible one.  A window
     without a possible day, and a source without any day in ``possible``, has no
     rate and no row.  A day's window is arithmetic, so each day is shuffled once,
     however many windows there are.
@@ -111,8 +110,8 @@ def window_rates(detected: DataFrame, possible: DataFrame, source: str, day: str
     known = chances.select(source).distinct()
     union = hits.join(chances, [source, day], "full_outer").join(ends.join(known, source), source)
     k = F.floor(F.date_diff(F.col("_end"), F.col(day)) / days).cast("int")
-    whole = (F.col("k") == 0) | (F.date_sub(F.col("_end"), (F.col("k") + 1) * days - 1) >= F.col("_first"))
-    counted = union.where(F.col(day) <= F.col("_end")).withColumn("k", k).where((F.col("k") <= most) & whole).groupBy(source, "k").agg(
+    reached = F.date_sub(F.col("_end"), F.col("k") * days) >= F.col("_first")
+    counted = union.where(F.col(day) <= F.col("_end")).withColumn("k", k).where((F.col("k") <= most) & reached).groupBy(source, "k").agg(
         F.count("_hit").alias("detect_days"), F.count("*").alias("possible_days")
     )
     return counted.withColumn("onrr", F.col("detect_days") / F.col("possible_days"))
