@@ -523,6 +523,18 @@ def draw_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.audited(_draw(spark, sf_dir), _draw(spark, sf_dir), c, "c_custkey", "stratum")
 
 
+@query("WITH " + DRAW + f""", drawn AS (SELECT c_custkey, stratum, draw_order, population AS p, round(least(1.0::DOUBLE, {QUOTA_SQL} / population::DOUBLE), 8) AS inclusion FROM d WHERE draw_order <= {QUOTA_SQL}),
+held AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n FROM drawn WHERE draw_order <> 3)
+SELECT unnest(['population', 'inclusion', 'redraw']) AS "check", unnest([count(*) FILTER (c_custkey % 2 = 0), count(*) FILTER (abs(inclusion - least(1.0::DOUBLE, n / p::DOUBLE)) > 5e-9), (SELECT count(*) FROM drawn WHERE draw_order = 3)]) AS n_bad,
+  unnest([count(*) FILTER (c_custkey % 2 = 0) = 0, count(*) FILTER (abs(inclusion - least(1.0::DOUBLE, n / p::DOUBLE)) > 5e-9) = 0, (SELECT count(*) FROM drawn WHERE draw_order = 3) = 0]) AS ok FROM held""")
+def draw_audit_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw with wrong populations and a row of each stratum lost: the audit counts what is wrong."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("stratum"))
+    drawn = _draw(spark, sf_dir)
+    wrong = drawn.where("draw_order <> 3").withColumn("population", F.col("population") + (F.col("c_custkey") % 2 == 0).cast("long"))
+    return research.audited(wrong, drawn, c, "c_custkey", "stratum")
+
+
 @query("WITH " + LABELS + """, d AS (SELECT *, a <> b OR doc_id % 11 = 0 AS disputed, doc_id % 3 = 0 AS judged, nullif(list_position(['LOW','MEDIUM','HIGH'], t1), 0) AS x, nullif(list_position(['LOW','MEDIUM','HIGH'], t2), 0) AS y FROM lab)
 SELECT doc_id, CASE WHEN NOT disputed THEN a WHEN judged THEN b END AS label, ['LOW','MEDIUM','HIGH'][least(x, y)] AS tier, CASE WHEN NOT disputed THEN 'AGREED' WHEN judged THEN 'ADJUDICATED' ELSE 'OPEN' END AS status FROM d""")
 def annotation_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
