@@ -47,14 +47,14 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = out.when(i % mod == rest, value)
         return out.otherwise(other)
 
-    degrees = lambda start, factor: F.format_string("%.5f", start + (F.col("user_id") * factor % 2900) / 100)
+    degrees = lambda start, factor: geo.decimals(start + (F.col("user_id") * factor % 2900) / 100, 5)
     return e.select(
         i.alias("row_number"),
         cases((101, 0, ""), (103, 0, "abc"), (107, 0, "91"), other=degrees(8, 37)).alias("latitude"),
         degrees(68, 53).alias("longitude"),
         cases((109, 0, ""), (113, 0, "2024-13-40"), (127, 0, "1999-12-31"), (131, 0, "2031-01-01"), other=F.date_format("ts", "yyyy-MM-dd")).alias("acq_date"),
         F.date_format("ts", "HHmm").cast("int").cast("string").alias("acq_time"),
-        cases((11, 0, ""), (13, 0, "x"), (17, 0, "-1"), (19, 0, "0"), (23, 0, "5001"), other=F.format_string("%.2f", "value")).alias("frp"),
+        cases((11, 0, ""), (13, 0, "x"), (17, 0, "-1"), (19, 0, "0"), (23, 0, "5001"), other=geo.decimals(F.col("value"), 2)).alias("frp"),
         cases((29, 0, "149.9"), (31, 0, "550"), (37, 0, "?"), other=F.lit("300")).alias("brightness"),
         cases(*[(9, k, v) for k, v in enumerate(["l", "n", "h", "30", "79", "80", "101", ""])], other=F.lit("55")).alias("confidence"),
         cases((4, 0, "VIIRS"), (4, 1, "modis"), (4, 2, "VIIRS"), other=F.lit(None)).alias("instrument"),
@@ -272,7 +272,7 @@ SELECT event_id FROM k WHERE r = 1"""
 )
 def dedup_minute_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir).withColumns(
-        {"a": F.format_string("%.3f", "lat"), "b": F.format_string("%.3f", "lon"), "m": F.date_format("ts", "yyyy-MM-dd HH:mm")}
+        {"a": geo.decimals(F.col("lat"), 3), "b": geo.decimals(F.col("lon"), 3), "m": F.date_format("ts", "yyyy-MM-dd HH:mm")}
     )
     return dedup.keep_first(o, ["sensor", "a", "b", "m"], ["event_id"]).select("event_id")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pointloom.functions import geo
+
 #: Satellite spellings and their canonical token.
 SATELLITES = {
     "NOAA-21": "N21", "NOAA21": "N21", "NOAA-20": "N20", "NOAA20": "N20",
@@ -90,7 +92,7 @@ def observation_id(mode, sensor, sat, date, time, lat, lon) -> Column:
     """``mode:instrument:satellite:date:time:lat5:lon5`` with NA for nulls."""
     or_na = lambda x: F.coalesce(x, F.lit("NA"))
     return F.concat_ws(
-        ":", mode, or_na(sensor), or_na(sat), date, time, F.format_string("%.5f", lat), F.format_string("%.5f", lon)
+        ":", mode, or_na(sensor), or_na(sat), date, time, geo.decimals(lat, 5), geo.decimals(lon, 5)
     )
 
 

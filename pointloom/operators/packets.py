@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.geo import haversine
+from pointloom.functions.geo import decimals, haversine
 from pointloom.operators import relate
 from pointloom.operators.research import blind_ids
 
@@ -96,7 +96,7 @@ def blinded(packets: DataFrame, source: str, private: Sequence[str] = ("first_se
 
     Coordinates are cut to three decimals.
     """
-    cut = {c: F.format_string("%.3f", c) for c in ("centroid_lat", "centroid_lon") if c in packets.columns}
+    cut = {c: decimals(F.col(c), 3) for c in ("centroid_lat", "centroid_lon") if c in packets.columns}
     shown = packets.withColumns(cut).drop(source, *private)
     return shown, packets.select("annotation_id", source)
 

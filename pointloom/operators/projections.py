@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.functions.geo import decimals
 from pointloom.operators.activity import POINTS, ScoreParams
 from pointloom.operators.geojoin import grid_join
 
@@ -151,7 +152,7 @@ def thermal_ratios(frp_max: Column, frp_mean: Column, night: Column) -> dict[str
 
 def coordinate(lat: Column, lon: Column) -> Column:
     """``21.1234°N, 78.5000°E``."""
-    half = lambda x, plus, minus: F.concat(F.format_string("%.4f", F.abs(x)), F.when(x < 0, f"°{minus}").otherwise(f"°{plus}"))
+    half = lambda x, plus, minus: F.concat(decimals(F.abs(x), 4), F.when(x < 0, f"°{minus}").otherwise(f"°{plus}"))
     return F.concat_ws(", ", half(lat, "N", "S"), half(lon, "E", "W"))
 
 

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions import geo
 from pointloom.operators import digest
 from pointloom.operators.packets import blinded
 from pointloom.plans.scratch import written
@@ -35,7 +36,7 @@ def write_formation(sources: DataFrame, events: DataFrame, assignments: DataFram
 
 def write_activity(df: DataFrame, path: str, decimals: dict[str, int]) -> None:
     """CSV sorted by source with fixed decimals (K04); several part files keep the order."""
-    shown = df.withColumns({c: F.format_string(f"%.{n}f", c) for c, n in decimals.items()})
+    shown = df.withColumns({c: geo.decimals(F.col(c), n) for c, n in decimals.items()})
     shown.orderBy("source_id").write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
