@@ -27,6 +27,8 @@ class CoreParams:
     gap_hours: float = 36.0
     window_days: int = 30
     windows: int = 24
+    #: A string column of the observations whose values form sources of their own.
+    within: str | None = None
     #: The class, and the probability from which on it lets a decision be made.
     wanted_class: str = "Industrial"
     least_probability: float = 0.60
@@ -81,7 +83,8 @@ def run_core(
     site_id, s_lat, s_lon, ring; without them no association is computed.  classes: from
     the latest events to (source_id, source_class, probabilities).
     """
-    ids = form_sources(obs.select("physical_key", "ts", "lat", "lon"), "physical_key", "ts", p.formation)
+    asked = obs.select("physical_key", "ts", "lat", "lon", *([p.within] if p.within else []))
+    ids = form_sources(asked, "physical_key", "ts", p.formation, within=p.within)
     formed = written(obs.join(ids.select("physical_key", "source_id"), "physical_key"), "core")
     cut = sessions.sessionize(formed, "source_id", "ts", ["physical_key"], p.gap_hours)
     table = sessions.session_table(cut, "source_id", "ts", "sensor", as_of).withColumn("event_id", sessions.event_id())

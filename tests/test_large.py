@@ -37,3 +37,19 @@ def test_decimals_are_those_of_c(spark):
     for places in (3, 5):
         got = {r["k"]: r["t"] for r in rows.select("k", geo.decimals(F.col("v"), places).alias("t")).collect()}
         assert got == {k: f"{v:.{places}f}" for k, v in enumerate(values)}
+
+
+def test_sources_form_within_a_column(spark):
+    rows = [("a", 0, "x"), ("b", 1, "y"), ("c", 2, "x"), ("d", 3, "y")]
+    obs = spark.createDataFrame(rows, "pk string, s int, part string").select("pk", F.timestamp_seconds("s").alias("ts"), F.lit(20.0).alias("lat"), F.lit(75.0).alias("lon"), "part")
+    formed = written(formation.assign(obs, "pk", "ts", within="part"), "formed")
+    assert {(r["key"], r["anchor"], r["within"]) for r in formed.collect()} == {("a", "a", "x"), ("b", "b", "y"), ("c", "a", "x"), ("d", "b", "y")}
+    state = formation.state_of(formed)
+    later = obs.select(F.concat(F.lit("z"), "pk").alias("pk"), F.timestamp_seconds(F.lit(9)).alias("ts"), "lat", "lon", "part")
+    again = formation.assign(later, "pk", "ts", state=state, within="part")
+    assert {(r["key"], r["anchor"]) for r in again.collect()} == {("za", "a"), ("zb", "b"), ("zc", "a"), ("zd", "b")}
+
+
+@pytest.mark.parametrize("name", ["formation_components", "formation_diagnostics", "core_run"])
+def test_formation_where_proxy_sources_share_places(spark, repeated, name):
+    equal(spark, repeated, name)
