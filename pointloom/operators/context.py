@@ -50,25 +50,28 @@ def point_features(points: DataFrame, elements: DataFrame, fetched: DataFrame, k
     with status MISSING_NOT_FETCHED; with them, absences are real zeros.
     """
     far = max(radii_m)
-    needed = points.select(key, F.explode(tiles_around(F.col("lat"), F.col("lon"), far)).alias("tile"))
-    missing = needed.join(fetched.select("tile").distinct(), "tile", "left_anti").select(key).distinct()
-    distinct = elements.dropDuplicates(["ref"])
-    pairs = grid_join(points.select(key, "lat", "lon"), distinct, far / 1000, ("lat", "lon"), ("e_lat", "e_lon"))
-    one = pairs.select(key, "ref", (F.col("distance_km") * 1000).alias("d"), F.explode("categories").alias("category"))
+    # places, not points, meet elements, which are merged where they are at one place, too
+    places = points.select("lat", "lon").distinct()
+    needed = places.select("lat", "lon", F.explode(tiles_around(F.col("lat"), F.col("lon"), far)).alias("tile"))
+    missing = needed.join(fetched.select("tile").distinct(), "tile", "left_anti").select("lat", "lon").distinct()
+    merged = elements.dropDuplicates(["ref"]).groupBy("e_lat", "e_lon", "categories").agg(F.count("*").alias("_n"), F.min("ref").alias("ref"))
+    pairs = grid_join(places, merged, far / 1000, ("lat", "lon"), ("e_lat", "e_lon"))
+    one = pairs.select("lat", "lon", "ref", "_n", (F.col("distance_km") * 1000).alias("d"), F.explode("categories").alias("category"))
     aggs = []
     for name in sorted(CATEGORIES):
         own = F.col("category") == name
-        aggs += [F.count_if(own & (F.col("d") <= r)).alias(f"n_{name}_{r}m") for r in radii_m]
+        aggs += [F.sum(F.when(own & (F.col("d") <= r), F.col("_n")).otherwise(0)).alias(f"n_{name}_{r}m") for r in radii_m]
         aggs.append(F.min(F.when(own, F.col("d"))).alias(f"nearest_{name}_m"))
-    counts = one.groupBy(key).agg(
+    counts = one.groupBy("lat", "lon").agg(
         *aggs,
         F.min_by("ref", F.when(~F.col("category").isin(*BACKGROUND), F.struct("d", "ref"))).alias("nearest_ref"),
     )
-    out = points.select(key).join(counts, key, "left").join(missing.withColumn("_missing", F.lit(True)), key, "left")
+    by_place = places.join(counts, ["lat", "lon"], "left").join(missing.withColumn("_missing", F.lit(True)), ["lat", "lon"], "left")
+    out = points.select(key, "lat", "lon").join(by_place, ["lat", "lon"], "left")
     cols = [
         F.when(F.col("_missing").isNull(), F.coalesce(F.col(c), F.lit(0)) if c.startswith("n_") else F.col(c)).alias(c)
         for c in counts.columns
-        if c != key
+        if c not in ("lat", "lon")
     ]
     status = F.when(F.col("_missing").isNull(), "OK").otherwise("MISSING_NOT_FETCHED")
     return out.select(key, status.alias("context_status"), *cols)
