@@ -32,15 +32,17 @@ def modifier(active_days: Column, night_frac: Column, n_obs: Column, p: Attribut
     return F.when(persistent, p.persistent_factor).when(n_obs == 1, p.single_factor).otherwise(1.0)
 
 
-def weights(pairs: DataFrame, source: str, kind: str, factor: str | None = None, p: AttributionParams = AttributionParams()) -> DataFrame:
+def weights(pairs: DataFrame, source: str, kind: str, factor: str | None = None, p: AttributionParams = AttributionParams(), count: str | None = None) -> DataFrame:
     """(source, category, weight): summed pulls of sites by category, and the background.
 
     ``pairs`` are sources and sites within reach with distance_km; a source
-    without any has no weights at all.
+    without any has no weights at all.  ``count`` says how many sites of one place a
+    row stands for.
     """
     table = F.create_map(*[F.lit(v) for pair in CATEGORIES.items() for v in pair])
     near = pairs.where(F.col("distance_km") <= p.reach_km)
     scale = F.col(factor) if factor else F.lit(1.0)
+    scale = scale * F.col(count) if count else scale
     found = near.groupBy(source, F.coalesce(F.element_at(table, F.col(kind)), F.col(kind)).alias("category")).agg(
         F.sum(pull(F.col("distance_km"), p) * scale).alias("weight")
     )
@@ -61,17 +63,17 @@ def percents(weighted: DataFrame, key: str, category: str = "category", weight:
     return share.withColumn("percent", F.col("_b") + extra).drop("_x", "_b")
 
 
-def attribution(pairs: DataFrame, source: str, site: str, kind: str, factor: str | None = None, p: AttributionParams = AttributionParams()) -> DataFrame:
+def attribution(pairs: DataFrame, source: str, site: str, kind: str, factor: str | None = None, p: AttributionParams = AttributionParams(), count: str | None = None) -> DataFrame:
     """Top category, its percent, the nearest site and confidence of each source with a site in reach.
 
     MEDIUM confidence needs context evidence that this table does not carry, so it is LOW.
     """
-    shares = percents(weights(pairs, source, kind, factor, p), source)
+    shares = percents(weights(pairs, source, kind, factor, p, count), source)
     order = Window.partitionBy(source).orderBy(F.desc("percent"), "category")
     top = shares.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(
         source, F.col("category").alias("top"), F.col("percent").alias("top_percent")
     )
     near = pairs.groupBy(source).agg(
-        F.min_by(site, F.struct("distance_km", site)).alias("nearest_site"), F.min("distance_km").alias("nearest_km")
+        F.min_by(site, F.struct(F.round("distance_km", 9), site)).alias("nearest_site"), F.min("distance_km").alias("nearest_km")
     )
     return top.join(near, source).withColumn("confidence", F.lit("LOW"))

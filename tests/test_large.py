@@ -53,3 +53,8 @@ def test_sources_form_within_a_column(spark):
 @pytest.mark.parametrize("name", ["formation_components", "formation_diagnostics", "core_run"])
 def test_formation_where_proxy_sources_share_places(spark, repeated, name):
     equal(spark, repeated, name)
+
+
+@pytest.mark.parametrize("name", ["attribution_top", "attribution_weights", "largest_remainder", "polygon_containment", "facility_decisions", "context_features"])
+def test_places_with_several_points_and_sites(spark, repeated, name):
+    equal(spark, repeated, name)
