@@ -61,6 +61,8 @@ class Former:
     as_of: str | None = None
     #: The side of a tile; what a batch rewrites around its rows.
     tile_degrees: float = 0.1
+    #: A string column of the batches whose values form sources of their own.
+    within: str | None = None
 
     def __post_init__(self):
         if self.params.pixel_aware:
@@ -74,6 +76,14 @@ class Former:
     def state(self) -> TileState:
         return TileState(self.spark, self.folder)
 
+    @property
+    def apart(self) -> list[str]:
+        return ["within"] if self.within else []
+
+    @property
+    def members(self) -> str:
+        return MEMBERS + "".join(f", {c} string" for c in self.apart)
+
     def place(self, batch: DataFrame, number: int) -> None:
         """Place one micro-batch of (pk, ts, lat, lon); for ``foreachBatch``."""
         tables = Leftovers()
@@ -83,7 +93,7 @@ class Former:
 
     def _place(self, batch: DataFrame, number: int) -> None:
         spark = self.spark
-        rows = batch.select("pk", F.col("ts").cast("timestamp").alias("ts"), "lat", "lon")
+        rows = batch.select("pk", F.col("ts").cast("timestamp").alias("ts"), "lat", "lon", *[F.col(self.within).alias(c) for c in self.apart])
         limit = F.lit(self.as_of).cast("timestamp")
         hidden = rows.where(F.col("ts") > limit).count() if self.as_of else 0
         rows = written(rows.where(F.col("ts") <= limit) if self.as_of else rows, "batch")
@@ -94,7 +104,7 @@ class Former:
         require_order(rows, "pk", "ts", after)
         members, sums = self._around(rows, number)
         seeds = written(members.join(sums.drop("tile", "tiles"), "anchor"), "seeds")
-        formed = formation.assign(rows, "pk", "ts", self.params, state=seeds)
+        formed = formation.assign(rows, "pk", "ts", self.params, state=seeds, within="within" if self.within else None)
         formed.write.mode("overwrite").parquet(f"{self.folder}/formed/batch={number}")
         formed = spark.read.parquet(f"{self.folder}/formed/batch={number}")
         changed = self._keep(formed, seeds, number)
@@ -107,22 +117,22 @@ class Former:
     def _around(self, rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
         """Members near the rows, all members of their sources, and those sources' sums."""
         near = _distinct(rows.select(F.explode(self.tiles.near(F.col("lat"), F.col("lon"))).alias("tile")))
-        there = self.state.read("members", MEMBERS, near, number)
+        there = self.state.read("members", self.members, near, number)
         named = written(there.select("anchor", "home").distinct(), "named")
         sums = written(self.state.read("sums", SUMS, _distinct(named.select(F.col("home").alias("tile"))), number).join(named.select("anchor"), "anchor", "left_semi"), "sums")
         others = set(_distinct(sums.select(F.explode("tiles").alias("tile")))) - set(near)
-        away = self.state.read("members", MEMBERS, sorted(others), number).join(named.select("anchor"), "anchor", "left_semi")
+        away = self.state.read("members", self.members, sorted(others), number).join(named.select("anchor"), "anchor", "left_semi")
         return there.unionByName(away), sums
 
     def _keep(self, formed: DataFrame, seeds: DataFrame, number: int) -> int:
         """Writes the tiles that the batch changed; how many rows these are."""
         tile = self.tiles.of(F.col("lat"), F.col("lon"))
         homes = formed.where("key = anchor").select("anchor", tile.alias("home")).unionByName(seeds.select("anchor", "home")).distinct()
-        own = formed.groupBy("anchor", "lat", "lon").agg(F.max("pixel").alias("pixel")).join(homes, "anchor")
+        own = formed.groupBy(*self.apart, "anchor", "lat", "lon").agg(F.max("pixel").alias("pixel")).join(homes, "anchor")
         own = written(own.withColumn("tile", tile), "own")
         touched = _distinct(own.select("tile"))
-        before = self.state.read("members", MEMBERS, touched, number)
-        members = before.unionByName(own).groupBy("anchor", "home", "lat", "lon", "tile").agg(F.max("pixel").alias("pixel"))
+        before = self.state.read("members", self.members, touched, number)
+        members = before.unionByName(own).groupBy(*self.apart, "anchor", "home", "lat", "lon", "tile").agg(F.max("pixel").alias("pixel"))
         members = written(members, "members")
         self.state.write("members", members, number)
 

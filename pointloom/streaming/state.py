@@ -9,6 +9,7 @@ batch that touches the tile; older ones go.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -50,20 +51,25 @@ class TileState:
     spark: SparkSession
     folder: str
 
-    def _versions(self, kind: str, tile: str) -> list[int]:
-        """Batches that wrote the tile."""
-        home = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/tile={tile}")
+    def _versions(self, kind: str) -> dict[str, list[int]]:
+        """Batches that wrote each tile, in order; one listing of the folder, however many tiles there are."""
+        jvm = self.spark._jvm
+        home = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
         files = home.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not files.exists(home):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(home)]
-        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+            return {}
+        paths, said = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths, jvm.org.apache.commons.lang3.ArrayUtils.toString
+        found: dict[str, list[int]] = {}
+        # as one text: a call for each path would cost more than the listing
+        for tile, number in re.findall(r"/tile=([^/,]+)/batch=(\d+)(?=[,}])", said(paths(files.listStatus(paths(files.listStatus(home)))))):
+            found.setdefault(tile, []).append(int(number))
+        return {tile: sorted(numbers) for tile, numbers in found.items()}
 
     def read(self, kind: str, schema: str, tiles: Iterable[str], before: int) -> DataFrame:
         """The tiles' rows as of before a batch, with the column ``tile``; tiles without any are left out."""
-        paths = []
+        paths, known = [], self._versions(kind)
         for tile in tiles:
-            found = [v for v in self._versions(kind, tile) if v < before]
+            found = [v for v in known.get(tile, []) if v < before]
             if found:
                 paths.append(f"{self.folder}/{kind}/tile={tile}/batch={found[-1]}")
         full = f"{schema}, tile string"
@@ -80,7 +86,8 @@ class TileState:
 
     def prune(self, kind: str, tiles: Iterable[str], number: int) -> None:
         """Deletes versions that are older than the newest from before the batch."""
+        known = self._versions(kind)
         for tile in tiles:
-            for old in [v for v in self._versions(kind, tile) if v < number][:-1]:
+            for old in [v for v in known.get(tile, []) if v < number][:-1]:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/tile={tile}/batch={old}")
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
