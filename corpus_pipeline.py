@@ -75,6 +75,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group linked by 0.8 of their five-word shingles.
 
+    SimHash and its trie walk give the first links, MinHash bands those it misses; each is held against the exact similarity.
     Texts without a word (nulls among them) are one group; of repeated rows one stays.
     """
     arrow_batches(spark)
@@ -100,7 +101,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality_classifier", quality_stage),
     ("quality_rules", rules_stage),
-    ("shingle_near_dedup", dedup_stage),
+    ("simhash_near_dedup", dedup_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]

@@ -1,14 +1,16 @@
-"""Near-duplicate documents by the Jaccard similarity of their sets of word shingles.
+"""Near-duplicate documents by SimHash, held against the Jaccard similarity of their sets of word shingles.
 
-Texts with equal sets are merged first, so copies cost one row.  Candidates come
-from MinHash bands: two sets of similarity s meet in a band with probability
+Texts with equal sets are merged first, so copies cost one row.  Each set has a
+SimHash fingerprint, and the trie walk of :mod:`pointloom.llm.simhash` gives the
+first candidates.  It finds most pairs of few edits but few of those near a
+threshold of 0.8, so MinHash bands give the rest: two sets of similarity s meet in a band with probability
 s ** ROWS and in none of the bands with (1 - s ** ROWS) ** BANDS, 2.4e-6 at 0.8;
 at 0.4, 0.3 and 0.2, as where documents share a passage, in any of them with
 0.09, 0.012 and 0.0007.
 Every candidate is then held against its exact similarity; only those that reach
-the threshold are links.  Within a band's bucket each set is first compared with
-the smallest one, then, if that is in another component by now, with others drawn by
-a hash, so that groups of near copies grow together.  The sets of buckets that
+the threshold are links.  Within a band's bucket each set is compared with one
+drawn by a hash if that is in another component by now, then with further ones, so
+that groups of near copies grow together.  The sets of buckets that
 still hold several components are joined by prefixes, which is exact: of two sets
 of similarity t, in any order of all shingles, the first ``n - o + 1`` shingles of
 each share one, where o is the overlap that t demands of their sizes.  The order is
@@ -26,14 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.llm.simhash import majority, trie_links
 from pointloom.operators.graph import connected_components
 from pointloom.plans.joins import broadcast_if_small, join_heavy
 from pointloom.plans.scratch import Leftovers, drop, written
 
 SEED = 42
 BANDS, ROWS = 55, 7
+#: Bits in which the fingerprints of candidates differ at most.
+RADIUS = 4
 #: How often the sets of a bucket are held against another one of it before prefixes are joined.
-STARS = 2
+STARS = 3
 #: Sizes whose prefixes are joined under one key lie within this factor.
 SIZE_STEP = 1.05
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,25 +101,27 @@ def _longs(values: list[int]) -> pa.Array:
 
 
 def with_bands(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, _hash, sig, n, bands): a hash of the text, one of its set, the set's size and band keys."""
+    """(id, _hash, sig, n, fp, bands): a hash of the text, one of its set, the set's size, fingerprint and band keys."""
     fields = [
         docs.schema[id_col],
         T.StructField("_hash", T.LongType()),
         T.StructField("sig", T.LongType()),
         T.StructField("n", T.LongType()),
+        T.StructField("fp", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 
     def prints(batches):
         for batch in batches:
-            sigs, sizes, bands = [], [], []
+            sigs, sizes, fps, bands = [], [], [], []
             for t in batch.column(2):
                 found = shingle_set(t.as_py(), width)
                 sigs.append(set_hash(found))
                 sizes.append(len(found))
+                fps.append(majority(found))
                 bands.append(band_keys(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _longs(sigs), pa.array(sizes, pa.int64()), _lists(bands)],
+                [batch.column(0), batch.column(1), _longs(sigs), pa.array(sizes, pa.int64()), _longs(fps), _lists(bands)],
                 [f.name for f in fields],
             )
 
@@ -148,6 +155,21 @@ def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataF
     return held.where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= similarity).select("src", "dst")
 
 
+def simhash_pairs(sets: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """(src, dst) of sets (sig, n, fp) by their fingerprints: links of the trie walk, and each set with the least one of its fingerprint.
+
+    Pairs that cannot reach the similarity by their sizes are left out.
+    """
+    heads = written(sets.groupBy("fp").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("_sets")), "heads")
+    end = lambda name: heads.select(F.col("fp").alias(name), F.col("head").alias(f"_{name}"))
+    across = trie_links(heads.select("fp"), radius).join(end("src"), "src").join(end("dst"), "dst").select("_src", "_dst")
+    shared = heads.where("_sets > 1")
+    within = join_heavy(sets, shared, "fp", "_sets").where(F.col("sig") != F.col("head.sig"))
+    pairs = across.unionByName(within.select(F.col("head").alias("_src"), F.struct("sig", "n").alias("_dst")))
+    fits = F.least("_src.n", "_dst.n") >= similarity * F.greatest("_src.n", "_dst.n") - 1e-6
+    return pairs.where(fits).select(F.least("_src.sig", "_dst.sig").alias("src"), F.greatest("_src.sig", "_dst.sig").alias("dst"))
+
+
 def _classed(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of buckets with the component of each set, its own hash if it has no link."""
     named_by = connected_components(links).withColumnRenamed("node", "sig")
@@ -241,23 +263,18 @@ def _components(
     row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("_hash").alias("hash"))
     distinct = written(
         prints.groupBy("sig").agg(
-            F.min(row).alias("_least"), F.count("*").alias("_rows"), F.first("n").alias("n"), F.first("bands").alias("bands")
+            F.min(row).alias("_least"), F.count("*").alias("_rows"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
         ),
         "sets",
     )
+    near = written(simhash_pairs(distinct.select("sig", "n", "fp"), similarity), "near")
     keyed = distinct.select("sig", "n", F.explode("bands").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("sig").alias("centre"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    buckets = written(keyed.join(centres, "key"), "buckets")
-    sizes = distinct.select(F.col("sig").alias("centre"), F.col("n").alias("_n"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    buckets = written(keyed.join(shared, "key"), "buckets")
     fits = F.least("n", "_n") >= similarity * F.greatest("n", "_n") - 1e-6
-    stars = (
-        buckets.where("sig <> centre").select("sig", "centre", "n").distinct().join(sizes, "centre")
-        .where(fits).select(F.col("centre").alias("src"), F.col("sig").alias("dst"))
-    )
-    stars = written(stars, "stars")
-    named = buckets.select("sig").distinct()
+    named = buckets.select("sig").union(near.select("src")).union(near.select("dst")).distinct()
     sets = written(_sets(docs, distinct.join(named, "sig", "left_semi"), id_col, text_col, width), "shingles")
-    links = written(similar_links(sets, stars, similarity), "links")
+    links = written(similar_links(sets, near, similarity), "links")
     classed = _classed(buckets, links)
     for k in range(STARS):
         again = _star_pairs(_unsettled(classed), k, fits)

@@ -60,6 +60,12 @@ def fingerprint(text: str | None, width: int = 4) -> int:
         hashes = np.fromiter(
             (xxh64_intdigest(line[s], SEED) for s in spans), np.uint64, count
         )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    count = len(hashes)
     set_bits = np.zeros(BITS, np.int64)
     for at in range(0, count, 1 << 16):  # bounded memory for very long texts
         part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)

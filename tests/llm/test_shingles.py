@@ -107,3 +107,19 @@ def test_odd_and_empty_documents(spark):
     got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs).collect()}
     assert got == brute_components(rows)
     assert shingles.one_of_each(odd.empty(spark)).count() == 0
+
+
+def test_fingerprints_link_without_bands(spark, monkeypatch):
+    """The trie walk of SimHash gives links of its own, and the exact check keeps only those at the threshold."""
+    import numpy as np
+
+    monkeypatch.setattr(shingles, "band_keys", lambda _: np.zeros(0, np.uint64))
+    rows = edited()
+    prints = {key: shingles.majority(shingles.shingle_set(text)) for key, text in rows}
+    wanted = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs).collect()}
+    assert all(wanted[key] == wanted[first] for key, first in got.items())
+    linked = {key for key, first in got.items() if key != first}
+    close = {b for a in prints for b in prints if a < b and wanted[a] == wanted[b] and (prints[a] ^ prints[b]).bit_count() <= 4}
+    assert len(linked) > 20 and len(linked) >= 0.9 * len(close)
