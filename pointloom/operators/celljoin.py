@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.geo import EARTH_KM, haversine
+from pointloom.plans.joins import broadcast_if_small
 from pointloom.plans.scratch import written
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
 LEVELS = 12
 #: Places of a cell that meet those of another, at most, unless the last level is reached.
 MOST_LEFT, MOST_RIGHT = 512, 8
+#: Keys of one place in an array, about; a place with more has several.
+MOST_KEYS = 256
 #: The largest radius for which boxes are measured in the plane, with a margin of a thousandth.
 MOST_KM = 50.0
 
@@ -170,17 +173,40 @@ def least_distance(left: DataFrame, right: DataFrame, radius_km: float, left_xy=
     return _back(left, best, left_xy)
 
 
-def pairs_within(rows: DataFrame, key: str, radius_km: float, xy=("lat", "lon")) -> DataFrame:
-    """(a, b, distance_km), a < b, of all rows within the radius of each other.
+def _chunks(rows: DataFrame, placed: DataFrame, key: str, xy: tuple[str, str]) -> DataFrame:
+    """The places (lat, lon, y, x, v, u) with their keys in arrays (keys, chunk) of about ``MOST_KEYS`` at most."""
+    at = rows.select(F.col(key).alias("_k"), F.col(xy[0]).cast("double").alias("_lat"), F.col(xy[1]).cast("double").alias("_lon"))
+    many = placed.where(F.col("_rows") > MOST_KEYS).select("lat", "lon", F.ceil(F.col("_rows") / MOST_KEYS).alias("_parts"))
+    same = (F.col("_lat") == F.col("lat")) & (F.col("_lon") == F.col("lon"))
+    part = F.coalesce(F.pmod(F.xxhash64("_k"), F.col("_parts")), F.lit(0))
+    dealt = at.join(broadcast_if_small(many), same, "left").select("_k", "_lat", "_lon", part.alias("chunk"))
+    held = dealt.groupBy("_lat", "_lon", "chunk").agg(F.collect_list("_k").alias("keys"))
+    return written(placed.drop("_rows").join(held, same).drop("_lat", "_lon"), "chunks")
+
+
+def pairs_within(rows: DataFrame, key: str, radius_km: float, xy=("lat", "lon"), decimals: int | None = None) -> DataFrame:
+    """(a, b, distance_km), a < b, of all rows within the radius of each other (J01); distances to ``decimals`` if given.
 
-    Rows at one place meet only here: the pairs of a place with itself and with
-    others are found once and then dealt out by both keys.
+    Places meet, each two of them once, and bring their keys along in arrays of
+    bounded size; a distance is computed and rounded once for two places.  Only the
+    result itself has a row for each pair of rows, and nothing that long is shuffled.
     """
     grid = Grid(radius_km)
     p = _places(rows, xy, grid)
-    met = written(place_pairs(p, p, grid, False), "met")
-    at = rows.select(F.col(key).alias("_k"), F.col(xy[0]).cast("double").alias("_lat"), F.col(xy[1]).cast("double").alias("_lon"))
-    own = (F.col("lat") == F.col("a._lat")) & (F.col("lon") == F.col("a._lon"))
-    other = (F.col("r_lat") == F.col("b._lat")) & (F.col("r_lon") == F.col("b._lon"))
-    out = met.join(at.alias("a"), own).join(at.alias("b"), other & (F.col("a._k") < F.col("b._k")))
-    return out.select(F.col("a._k").alias("a"), F.col("b._k").alias("b"), "distance_km")
+    held = _chunks(rows, p, key, xy)
+    out = None
+    for level, pairs in cell_pairs(p, p, grid, False):
+        left = held.select("lat", "lon", "chunk", "keys", F.struct(*_cell(level)).alias("l"))
+        right = held.select(*[F.col(c).alias(f"r_{c}") for c in ("lat", "lon", "chunk", "keys")], F.struct(*_cell(level)).alias("r"))
+        # of two chunks either can be the left one
+        once = F.struct("lat", "lon", "chunk") <= F.struct(F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon"), F.col("r_chunk").alias("chunk"))
+        met = pairs.join(left, "l").join(right, "r").where(once)
+        out = met if out is None else out.unionByName(met)
+    distance = haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"), EARTH_KM)
+    near = out.withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
+    own = (F.col("lat") == F.col("r_lat")) & (F.col("lon") == F.col("r_lon")) & (F.col("chunk") == F.col("r_chunk"))
+    shown = F.col("distance_km") if decimals is None else F.round("distance_km", decimals)
+    near = near.select("keys", "r_keys", own.alias("_own"), shown.alias("distance_km"))
+    each = near.select(F.explode("keys").alias("_x"), "r_keys", "_own", "distance_km").select("_x", F.explode("r_keys").alias("_y"), "_own", "distance_km")
+    each = each.where(F.when(F.col("_own"), F.col("_x") < F.col("_y")).otherwise(F.col("_x") != F.col("_y")))
+    return each.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "distance_km")

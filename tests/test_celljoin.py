@@ -56,6 +56,19 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     assert got == {(i, j) for i in range(240) for j in range(i + 1, 240) if km(points[i], points[j]) <= 0.9}
 
 
+def test_pairs_of_a_hot_place_come_from_arrays_of_bounded_size(spark, monkeypatch):
+    """Repeated places in several arrays; the long result is made from arrays, after the last shuffle."""
+    monkeypatch.setattr(celljoin, "MOST_KEYS", 3)
+    points = [(20.0, 80.0)] * 30 + [(20.0, 80.0 + 0.001 * (k % 4)) for k in range(20)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "k int, lat double, lon double")
+    found = celljoin.pairs_within(df, "k", 0.25, decimals=6)
+    got = [(r["a"], r["b"], r["distance_km"]) for r in found.collect()]
+    wanted = {(i, j): km(points[i], points[j]) for i in range(50) for j in range(i + 1, 50) if km(points[i], points[j]) <= 0.25}
+    assert len(got) == len(wanted) and {(a, b): d for a, b, d in got} == pytest.approx(wanted, abs=1e-6)
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(celljoin.pairs_within(df, "k", 0.25)._jdf.queryExecution(), "simple")
+    assert plan.rindex("Generate explode") < plan.index("Exchange")
+
+
 def met_places(spark, rows):
     df = spark.createDataFrame(rows, "lat double, lon double")
     grid = celljoin.Grid(0.375)
