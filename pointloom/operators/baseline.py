@@ -17,6 +17,8 @@ class BaselineParams:
     least_history: int = 10
     daily: str = "max"
     least_reference: int = 10
+    #: Whether a history of one day at least that is shorter than ``least_history`` is scored too; its status says so, and it has no t_anom.
+    score_short: bool = False
 
 
 def targets(df: DataFrame, source: str, day: str, sensor: str) -> DataFrame:
@@ -62,7 +64,7 @@ def baseline(df: DataFrame, source: str, day: str, sensor: str, value: str, excl
         "history", F.coalesce("history", F.array().cast("array<double>"))
     )
     n = F.size("history")
-    enough = F.col("target_value").isNotNull() & (n >= p.least_history)
+    enough = F.col("target_value").isNotNull() & (n >= (1 if p.score_short else p.least_history))
     z = F.when(enough, stats.array_robust_score(F.col("target_value"), F.col("history")))
     out = out.withColumns({"n_eligible": n, "robust_z": z})
     status = (

@@ -68,6 +68,18 @@ def test_without_optional_parts_it_abstains(spark):
     assert r["decision"]["codes"] == ["G4_NOT_PASSED", "CLASSIFIER_NOT_AVAILABLE", "FACILITY_ASSOCIATION_NOT_COMPUTED"]
 
 
+def test_a_short_history_is_scored_if_asked(spark):
+    """The score is shown as the SQL of the whole run shows it; status and shares abstain as before."""
+    end = F.lit("2024-01-15").cast("timestamp")
+    for asked in (False, True):
+        p = core.CoreParams(baseline=core.baseline.BaselineParams(least_history=5, least_reference=5, score_short=asked))
+        b = core.run_core(rows(spark, 4), end, p=p).first()["baseline"]
+        assert b["status"] == "INSUFFICIENT_HISTORY" and b["n_eligible"] == 3 and b["t_anom"] is None
+        # history 10, 11, 12: median 11, MAD 1
+        assert b["robust_z"] == (pytest.approx(0.6745 * 79) if asked else None)
+    assert core.run_core(rows(spark, 1), end, p=p).first()["baseline"]["robust_z"] is None  # no history at all
+
+
 def test_no_observations(spark):
     assert core.run_core(rows(spark, 0), F.lit("2024-01-15").cast("timestamp")).count() == 0
 
