@@ -94,7 +94,6 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens; a null text is its end token alone."""
-    arrow_batches(spark)
     return packing.pack(docs, packing.PackingParams(packing.public_path()))
 
 

@@ -33,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,7 +267,9 @@ def _fit_local(cells: DataFrame, params: MixParams, bounded: bool):
     factor = np.prod([f[c] for f, c in zip(factors, codes, strict=True)], axis=0)
     table["factor"] = np.minimum(1.0, factor) if bounded else factor
     kind = T.StructType([*cells.schema.fields, T.StructField("factor", T.DoubleType())])
-    return written(cells.sparkSession.createDataFrame(table, kind), "raked"), rounds, float(error), moved
+    # as Arrow: rows of Python objects would start Python workers of their own on the executors
+    fitted = cells.sparkSession.createDataFrame(pa.Table.from_pandas(table, preserve_index=False), kind)
+    return written(fitted, "raked"), rounds, float(error), moved
 
 
 def _fit_distributed(cells: DataFrame, params: MixParams, bounded: bool):

@@ -25,7 +25,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +33,7 @@ from pyspark.sql import types as T
 from pointloom.llm.tokenize import tokenizer
 from pointloom.plans.numbering import number_within
 from pointloom.plans.scratch import written
+from pointloom.plans.session import arrow_batches
 
 LOG = logging.getLogger(__name__)
 
@@ -219,10 +219,14 @@ def pack(
 ) -> DataFrame:
     """Cut all documents into pieces and give each piece its sequence and offset.
 
+    Texts go to the workers in small Arrow batches, so that what a worker and its executor
+    hold of them is little beside the tokenizer.
+
     Sequences are numbered from 0 without gaps; offsets within a sequence are
     gapless from 0.  Returns id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, lp_gap and, on request, the piece's ids.
     """
+    arrow_batches(docs.sparkSession, 500, 4 << 20)
     pieces = written(
         cut_documents(docs, params, id_col, text_col, with_ids).withColumn(
             "_size", F.ceil(F.col("length") / params.grain).cast("int")
@@ -250,10 +254,12 @@ def pack(
         places[s] = (begin, per, first[held])
     ordered = number_within(pieces, ["_size"], [id_col, "start", "ids_crc32", "doc_tokens"], "_rank")
 
+    schema = T.StructType([*ordered.schema.fields, T.StructField("sequence_id", T.LongType())])
+
     def place(batches):
         for batch in batches:
-            sequence = batch["_rank"].to_numpy(copy=True)
-            sizes = batch["_size"].to_numpy()
+            sequence = batch.column("_rank").to_numpy().copy()
+            sizes = batch.column("_size").to_numpy()
             for s in np.unique(sizes):
                 if s == capacity:
                     continue  # a full piece is a sequence of its own
@@ -262,10 +268,9 @@ def pack(
                 rank = sequence[at]
                 k = np.searchsorted(begin, rank, side="right") - 1
                 sequence[at] = base[k] + (rank - begin[k]) // per[k]
-            yield batch.assign(sequence_id=sequence)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence, pa.int64())], [f.name for f in schema])
 
-    schema = T.StructType([*ordered.schema.fields, T.StructField("sequence_id", T.LongType())])
-    placed = ordered.mapInPandas(place, schema)
+    placed = ordered.mapInArrow(place, schema)
     before = (
         Window.partitionBy("sequence_id")
         .orderBy(F.desc("_size"), "_rank")

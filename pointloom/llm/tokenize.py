@@ -52,8 +52,10 @@ SETTINGS = {
     "padding": None,
 }
 MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
-#: Words kept in memory by one Python worker.
-MOST_WORDS = 400_000
+#: Words in each of the two generations that one Python worker keeps in memory.
+MOST_WORDS = 100_000
+#: Characters of all words of a generation, so that long words cannot fill a worker; a text's own words are held besides.
+MOST_LETTERS = 2_000_000
 
 
 def words_are_known(path: str) -> bool:
@@ -78,7 +80,11 @@ def byte_letters() -> list[str]:
 
 
 class WordTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes."""
+    """Ids as little-endian unsigned 32-bit bytes.
+
+    Words are remembered in two generations: when the newer one is full it becomes the
+    older one, from which words that occur again come back, and what is older is forgotten.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,14 +98,23 @@ class WordTokenizer:
         self.plain = re.compile(PLAIN).fullmatch
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, words) -> None:
-        if len(self.known) + len(words) > MOST_WORDS:
-            self.known.clear()
-        for word in words:
-            shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            ids = [token.id for token in self.model.tokenize(shown)]
-            self.known[word] = np.array(ids, "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+        self.letters_known = 0
+
+    def _learn(self, words: set[str]) -> None:
+        """Let ``known`` have all of ``words``."""
+        new = words.difference(self.known)
+        size = sum(map(len, new))
+        if len(self.known) + len(new) > MOST_WORDS or self.letters_known + size > MOST_LETTERS:
+            self.older, self.known, self.letters_known = self.known, {}, 0
+            new, size = words, sum(map(len, words))
+        for word in new:
+            ids = self.older.get(word)
+            if ids is None:
+                shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+                ids = np.array([token.id for token in self.model.tokenize(shown)], "<u4").tobytes()
+            self.known[word] = ids
+        self.letters_known += size
 
     def ids(self, text: str) -> bytes:
         if not self.remembers or not self.plain(text) or "<|" in text:
@@ -108,10 +123,11 @@ class WordTokenizer:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            self._learn(set(words).difference(self.known))
-            if any(word not in self.known for word in set(words)):  # the memory was cleared
-                self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            self._learn(set(words))
+            found = b"".join(map(self.known.__getitem__, words))
+        if len(self.known) > MOST_WORDS or self.letters_known > MOST_LETTERS:  # this text alone is larger
+            self.known, self.letters_known = {}, 0
+        return found
 
 
 _LOADED: dict[str, WordTokenizer] = {}

@@ -134,3 +134,29 @@ def test_fast_patterns_find_the_same_words():
     assert all(words(t) == fast(t) == ascii_(t) for t in texts)
     latin = ["".join(draw.choices(every + "äöüßéñÉ¿«»–“”€…ĳſ", k=60)).lower() for _ in range(3000)]
     assert all(words(t) == fast(t) for t in latin)
+
+
+def test_remembered_words_are_bounded_in_number_and_letters(monkeypatch):
+    from pointloom.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "MOST_WORDS", 50)
+    monkeypatch.setattr(tokenize, "MOST_LETTERS", 2000, raising=False)
+    words, draw = WordTokenizer(PATH), random.Random(3)
+    many = " ".join("".join(draw.choices("abcdeé", k=4)) for _ in range(300))
+    texts = ["the same words come again and again", many, "".join(draw.choices("abcde", k=5000)), ""]
+    texts += ["".join(draw.choices("abcde ", k=400)) for _ in range(30)] + ["".join(draw.choices("xyz", k=700)) for _ in range(30)]
+    for text in [*texts, *texts]:
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == ids_of(text)[:-1]
+        for held in (words.known, getattr(words, "older", {})):
+            assert len(held) <= 50 and sum(map(len, held)) <= 2000
+
+
+def test_texts_go_to_workers_in_small_batches_without_pandas(spark):
+    from pointloom.plans.session import arrow_batches
+
+    arrow_batches(spark)
+    docs = spark.range(1200).selectExpr("id as doc_id", "concat('word ', id) as text").coalesce(1)
+    packed = packing.pack(docs, packing.PackingParams(PATH))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert "Pandas" not in packed._jdf.queryExecution().executedPlan().toString()
+    check(packed.collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
